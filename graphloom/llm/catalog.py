@@ -5,8 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import quality
-from graphloom.llm.common import table
+from graphloom.llm import embedding_dedup, packing, quality, simhash, token_counts, token_files, warc
+from graphloom.llm.common import table, tokenizer_path
+
+WORD_BPE, PIECE_BPE, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 1
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE), 4096)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +78,14 @@ FROM z
 """
 
 
-QUERIES = {"op10_quality": op10_quality}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
+    "op4_token_files": op4_token_files,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_quality": op10_quality,
+}
 
 ORACLE_SQL = {"op10_quality": _op10_sql()}
