@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, packing, quality, simhash, substring_dedup, token_counts, token_files, toxicity, warc
+from graphloom.llm import embedding_dedup, mixing, packing, quality, simhash, substring_dedup, token_counts, token_files, toxicity, warc
 from graphloom.llm.common import table, tokenizer_path
 
 WORD_BPE, PIECE_BPE, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 1
@@ -48,6 +48,58 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    """The same mix; both bisections run in recursive queries."""
+    seed, block, top = mixing.SEED, mixing.BLOCK_TOKENS, mixing.KEY_BITS // 4
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, 'null') AS src,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+s AS (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY src),
+q AS (SELECT tokens, CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM s) AS p FROM s WHERE tokens > 0),
+k AS (SELECT count(*) AS n, CAST(max(tokens) AS DOUBLE) AS most, CAST(max(tokens) AS DOUBLE) / min(tokens) AS spread FROM q),
+h(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN e >= {mixing.ENTROPY} * ln(n) THEN mid ELSE low END, CASE WHEN e >= {mixing.ENTROPY} * ln(n) THEN high ELSE mid END
+  FROM (SELECT i, low, high, (low + high) / 2 AS mid, k.n,
+               (SELECT ln(sum(pow(p, (low + high) / 2))) - sum(pow(p, (low + high) / 2) * (low + high) / 2 * ln(p)) / sum(pow(p, (low + high) / 2)) FROM q) AS e
+        FROM h, k WHERE i < {mixing.HALVINGS})),
+r(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(spread, (low + high) / 2) <= {mixing.REPEAT_LIMIT} THEN (low + high) / 2 ELSE low END,
+         CASE WHEN pow(spread, (low + high) / 2) <= {mixing.REPEAT_LIMIT} THEN high ELSE (low + high) / 2 END
+  FROM r, k WHERE i < {mixing.HALVINGS}),
+natural_entropy AS (SELECT -sum(p * ln(p)) AS e FROM q),
+t AS (
+  SELECT CASE WHEN n < 2 THEN 1.0 ELSE greatest(
+           CASE WHEN (SELECT e FROM natural_entropy) >= {mixing.ENTROPY} * ln(n) THEN 1.0 ELSE (SELECT low FROM h WHERE i = {mixing.HALVINGS}) END,
+           1.0 - CASE WHEN spread <= {mixing.REPEAT_LIMIT} THEN 1.0 ELSE (SELECT low FROM r WHERE i = {mixing.HALVINGS}) END) END AS t FROM k),
+g AS (SELECT src, tokens, CASE WHEN tokens > 0 THEN CAST(round_even(tokens * pow(most / tokens, 1 - t), 0) AS BIGINT) ELSE 0 END AS target FROM s, k, t),
+f AS (SELECT *, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS full_, CASE WHEN tokens > 0 THEN target % tokens ELSE 0 END AS rest,
+             (SELECT CAST(sum(target) AS BIGINT) FROM g) AS total FROM g),
+e AS (
+  SELECT doc_id, f.*, n_tokens, epoch,
+         CAST('0x' || substr(md5('{seed}:' || epoch || ':' || doc_id), 1, {top}) AS BIGINT) AS key
+  FROM d JOIN f USING (src), LATERAL (SELECT unnest(range(0, full_ + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch)),
+c AS (
+  SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS in_epoch FROM e),
+b AS (
+  SELECT *, epoch * tokens + in_epoch AS before,
+         CASE WHEN target > 0 THEN CAST(floor(CAST(epoch * tokens + in_epoch AS DOUBLE) / target * total / {block}) AS BIGINT)
+              ELSE key % greatest(1, CAST(ceil(total / {block}) AS BIGINT)) END AS block_id
+  FROM c WHERE epoch < full_ OR in_epoch + n_tokens <= rest)
+SELECT doc_id, CASE WHEN src <> 'null' THEN substr(src, 2) END AS source, CAST(epoch AS BIGINT) AS epoch, n_tokens, CAST(before AS BIGINT) AS before, block_id,
+       row_number() OVER (PARTITION BY block_id ORDER BY md5('{seed}-slot:' || epoch || ':' || doc_id), doc_id, epoch) AS slot
+FROM b
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -96,7 +148,8 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL = {"op10_quality": _op10_sql()}
+ORACLE_SQL = {"op9_mixing": _op9_sql(), "op10_quality": _op10_sql()}

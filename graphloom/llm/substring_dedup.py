@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import shuffle_partitions, written
 
@@ -207,6 +208,7 @@ class _Group:
         ids, texts, sums = (docs.column(c).to_pylist() for c in ("doc_id", "text", "sha"))
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, sums[i]))
         self.ids, self.texts, self.sums = [ids[i] for i in order], [texts[i] for i in order], [sums[i] for i in order]
+        self.order = order
         self.copy = [(i, s) in copies for i, s in zip(self.ids, self.sums, strict=True)]
         self.length, self.gram, self.parts = length, gram, parts
 
@@ -234,12 +236,17 @@ def _table(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table
     return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(schema)})
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, starts, ends, kept (binary) for every row of docs."""
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, starts, ends, kept (binary) for every row of docs.
+
+    The columns in ``carry`` come along in a struct ``row``; ``kept`` then lacks
+    characters of which a cut has left a part.
+    """
     if not 8 <= length - 8 or gram % 8 or not 8 <= gram <= length or length - gram + 1 > 63:
         raise ValueError("length must be at least 16, gram a multiple of 8 below it by at most 62")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    row = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"), *row).withColumn("sha", F.unhex(F.sha2("text", 256)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(2 * shuffle_partitions(spark), total // group_bytes)
     parts = max(shuffle_partitions(spark), total // (2 * group_bytes))
@@ -343,15 +350,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def cut(docs_, told):
         """Every document without its covered spans."""
-        out = []
+        out, order = [], []
         if docs_.num_rows:
             mine = group(docs_, told.filter(pc.is_valid(told.column("sha"))))
             found = [unpacked(b, ("<u4", n), ("<i8", n), ("<i8", n)) for n, b in zip(told.column("n").to_pylist(), told.column("block").to_pylist(), strict=True) if b is not None]
             doc, a, z = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-            order = np.argsort(doc, kind="stable")
-            bounds = np.searchsorted(doc[order], np.arange(len(mine.ids) + 1))
+            order = mine.order
+            by_doc = np.argsort(doc, kind="stable")
+            bounds = np.searchsorted(doc[by_doc], np.arange(len(mine.ids) + 1))
             for k, (i, t, copy) in enumerate(zip(mine.ids, mine.texts, mine.copy, strict=True)):
-                at = order[bounds[k] : bounds[k + 1]]
+                at = by_doc[bounds[k] : bounds[k + 1]]
                 if copy and len(t) >= length:
                     s, e = np.array([0]), np.array([len(t)])
                 elif len(at):
@@ -360,9 +368,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     s = e = np.zeros(0, np.int64)
                 ends = [0, *e.tolist()]
                 kept = b"".join(t[x:y] for x, y in zip(ends, [*s.tolist(), len(t)], strict=True))
-                out.append((i, len(t), len(t) - len(kept), len(s), s.tolist(), e.tolist(), kept))
+                n_removed = len(t) - len(kept)
+                out.append((i, len(t), n_removed, len(s), s.tolist(), e.tolist(), kept_text(kept).encode() if carry else kept))
         lists = pa.list_(pa.int64())
-        return _table([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("starts", lists), ("ends", lists), ("kept", pa.binary())], out)
+        cuts = _table([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("starts", lists), ("ends", lists), ("kept", pa.binary())], out)
+        return cuts.append_column("row", docs_.column("row").take(pa.array(order, pa.int64()))) if carry else cuts
 
     by_group = rows.groupBy("g")
     hashed = by_group.cogroup(copies.groupBy("g")).applyInArrow(hashes, "p int, g int, n int, docs int, block binary")
@@ -372,4 +382,14 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     runs_ = by_group.cogroup(asked.groupBy("g")).applyInArrow(texts, "p int, g int, n int, heads binary, text binary")
     found = runs_.groupBy("p").applyInArrow(spans, "g int, n int, block binary")
     told = copies.select("g", "doc_id", "sha", none("int").alias("n"), none("binary").alias("block")).unionByName(found.select("g", none("bigint").alias("doc_id"), none("binary").alias("sha"), "n", "block"))
-    return by_group.cogroup(told.groupBy("g")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, starts array<bigint>, ends array<bigint>, kept binary")
+    schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, starts array<bigint>, ends array<bigint>, kept binary")
+    if carry:
+        schema = schema.add("row", rows.schema["row"].dataType)
+    return by_group.cogroup(told.groupBy("g")).applyInArrow(cut, schema)
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with its own columns, the text without its repeated strings; broken characters are dropped."""
+    cuts = removed(docs, id_col, text_col, carry=tuple(docs.columns), **how)
+    kept = F.col("kept").cast("string")
+    return cuts.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
