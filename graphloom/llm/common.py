@@ -2,62 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    there = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if there.isDefined():
-        return there.get().rstrip("/")
-    root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
-    return path
-
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path through the file system that Spark uses for it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from graphloom.sources.shared import new_path, remove, shared_dir, written
 
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001  the JVM may have ended before
-        pass
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as a Parquet table in the shared folder and reads it back.
-
-    The table cuts the lineage, outlives lost executors and gives the optimizer
-    its true size.  Returns the table and its path, for ``remove``.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+__all__ = ["new_path", "remove", "shared_dir", "shuffle_partitions", "table", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +17,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(column: str = "text"):
-    """UTF-8 bytes of a text column, null as empty."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; operators take the path as a parameter."""
     import public_tokenizers

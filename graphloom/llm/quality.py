@@ -113,7 +113,9 @@ def base_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(_erase(F.col("_t"), _SPACES)).cast("bigint").alias("word_chars"),
         plain.cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
-        steps.alias("n_repeat_words"),
+        # The row number keeps the optimizer from pushing a filter on the verdict below these
+        # projections, which would evaluate the arrays anew for each of their elements.
+        F.when(F.monotonically_increasing_id() >= 0, steps).alias("n_repeat_words"),
         F.size("_l").cast("bigint").alias("n_lines"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
         F.size(F.filter("_w", lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("bigint").alias("n_shouted"),
