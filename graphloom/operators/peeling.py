@@ -26,30 +26,35 @@ def _settled(table: DataFrame, step, name: str) -> DataFrame:
             return now
 
 
-def k_core(g: PropertyGraph, k: int) -> DataFrame:
-    """(id, degree): vertices of the largest subgraph in which all have degree k at least, with their degree there."""
+def _core_edges(edges: DataFrame, k: int) -> DataFrame:
+    """The edges between the vertices of the k-core."""
 
     def step(e: DataFrame) -> DataFrame:
         keep = e.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("src")
         return e.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
 
-    left = _settled(g.edges.select("src", "dst"), step, "core")
-    return left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    return _settled(edges.select("src", "dst"), step, "core")
+
+
+def k_core(g: PropertyGraph, k: int) -> DataFrame:
+    """(id, degree): vertices of the largest subgraph in which all have degree k at least, with their degree there."""
+    return _core_edges(g.edges, k).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
 def core_numbers(g: PropertyGraph) -> DataFrame:
     """(id, core) for every vertex."""
-    e, k = g.edges.select("src", "dst"), 1
+    e, k = g.edges, 1
     out = g.vertices.select("id", F.lit(0).cast("bigint").alias("core"))
     while True:
-        core = k_core(PropertyGraph(g.vertices, e), k)
-        if core.isEmpty():
+        e = _core_edges(e, k)
+        inside = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+        least = inside.agg(F.min("degree")).first()[0]  # one row
+        if least is None:
             return out
-        inside = core.select("id", F.lit(k).cast("bigint").alias("k"))
-        out, _ = written(out.join(inside, "id", "left").select("id", F.coalesce("k", "core").alias("core")), "core-numbers")
-        keep = core.select(F.col("id").alias("src"))
-        e = e.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi")
-        k += 1
+        # All of this core have at least the least degree, so it is that core too.
+        level = inside.select("id", F.lit(least).cast("bigint").alias("k"))
+        out, _ = written(out.join(level, "id", "left").select("id", F.coalesce("k", "core").alias("core")), "core-numbers")
+        k = least + 1
 
 
 def oriented(edges: DataFrame) -> DataFrame:
