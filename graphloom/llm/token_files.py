@@ -25,18 +25,20 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import pickle
 import struct
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path
-from graphloom.llm.tokens import WordEncoder, slices, token_ids, with_end, worker_object
+from graphloom.llm.common import new_path, written
+from graphloom.llm.tokens import WordEncoder, slices, with_end, worker_object
 
 MAGIC = b"RVB1"
 BLOCK_BYTES = 4_000_000  # of text
@@ -95,63 +97,90 @@ def opened(path: str):
     return where.open_input_stream(name, buffer_size=1 << 20)
 
 
-def rank_order(df: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
-    """Every id of the vocabulary, by falling frequency over all texts, then by id."""
+def _frames(stream):
+    """Frames of a draft: the documents, their sizes and their ids."""
+    while head := stream.read(8):
+        yield pickle.loads(zstandard.decompress(stream.read(struct.unpack("<Q", head)[0])))
+
+
+def write_drafts(df: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
+    """Tokenizes every text once, in doc_id order, into a draft file for each partition.
 
-    def count(batches):
+    Returns (file, id, n): how often each id occurs in each file.
+    """
+
+    def write(batches):
         enc = worker_object(WordEncoder, tokenizer)
-        total = np.zeros(enc.tok.get_vocab_size() + 1, np.int64)
-        for batch in batches:
-            for a, b in slices(batch, "text"):
-                texts = [x or b"" for x in batch.slice(a, b - a).column("text").to_pylist()]
-                ids, _ = enc.encode(texts)
-                total += np.bincount(ids, minlength=len(total))
-                total[end_id] += len(texts)
+        store, top = fs.FileSystem.from_uri(folder)
+        total, docs = np.zeros(max(enc.tok.get_vocab_size(), end_id + 1), np.int64), 0
+        kind = "<u2" if len(total) <= 1 << 16 else "<u4"
+        name, own = f"part-{TaskContext.get().partitionId():06d}", f"{top}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as out:
+            for batch in batches:
+                for a, b in slices(batch, "text", BLOCK_BYTES):
+                    part = batch.slice(a, b - a)
+                    ids, sizes = with_end(*enc.encode([x or b"" for x in part.column("text").to_pylist()]), end_id)
+                    frame = zstandard.compress(pickle.dumps((part.column("doc_id").to_pylist(), sizes, ids.astype(kind))), 1)
+                    out.write(struct.pack("<Q", len(frame)) + frame)
+                    total += np.bincount(ids, minlength=len(total))
+                    docs += len(sizes)
+        if docs:
+            store.move(own, f"{top}/draft-{name}")
+        else:
+            store.delete_file(own)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"file": [name] * len(at), "id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    ordered = df.selectExpr("doc_id", "cast(text as binary) as text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return written(ordered.mapInArrow(write, "file string, id bigint, n bigint"), "token-counts")[0]
 
+
+def rank_order(counts: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
+    """Every id of the vocabulary, by falling frequency over all texts, then by id."""
     from tokenizers import Tokenizer
 
-    counts = df.selectExpr("cast(text as binary) as text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    seen = np.zeros(size, np.int64)
-    for r in counts.collect():  # at most one row for each id of the vocabulary
+    seen = np.zeros(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1), np.int64)
+    for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row for each id of the vocabulary
         seen[r["id"]] = r["n"]
     return np.argsort(-seen, kind="stable").astype("<u4")
 
 
 def write_files(df: DataFrame, tokenizer: str, end_id: int, folder: str) -> list[tuple[str, int]]:
-    """Encodes every text into the folder; returns its files and their numbers of ids, in order."""
-    order = rank_order(df, tokenizer, end_id)
+    """Encodes every text into the folder; returns its files and their numbers of ids, in order.
+
+    Texts are tokenized once: the ranks need the frequencies of all of them, so the
+    ids wait in compressed drafts, which the second step turns into the final files.
+    """
+    spark = df.sparkSession
     where, name = fs.FileSystem.from_uri(folder)
     where.create_dir(name)
+    counts = write_drafts(df, tokenizer, end_id, folder)
+    order = rank_order(counts, tokenizer, end_id)
     with where.open_output_stream(f"{name}/ranks") as out:
         out.write(order.tobytes())
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    shared = df.sparkSession.sparkContext.broadcast(rank)
+    shared = spark.sparkContext.broadcast(rank)
+    files = sorted((r["file"], r["n"]) for r in counts.groupBy("file").agg(F.sum("n").alias("n")).collect())  # one row for each file
 
-    def write(batches):
-        enc = worker_object(WordEncoder, tokenizer)
+    def recode(batches):
         store, top = fs.FileSystem.from_uri(folder)
-        k, total, docs = TaskContext.get().partitionId(), 0, 0
-        own = f"{top}/.{k:06d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as out:
-            for batch in batches:
-                for a, b in slices(batch, "text", BLOCK_BYTES):
-                    part = batch.slice(a, b - a)
-                    ids, sizes = with_end(*enc.encode([x or b"" for x in part.column("text").to_pylist()]), end_id)
-                    out.write(block(part.column("doc_id").to_pylist(), sizes, shared.value[ids]))
-                    total, docs = total + len(ids), docs + len(sizes)
-        if docs:
-            store.move(own, f"{top}/part-{k:06d}")
-            yield pa.RecordBatch.from_pydict({"file": [f"part-{k:06d}"], "n": pa.array([total], pa.int64())})
-        else:
-            store.delete_file(own)
-
-    ordered = df.selectExpr("doc_id", "cast(text as binary) as text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = ordered.mapInArrow(write, "file string, n bigint").collect()  # one row for each file
-    return sorted((r["file"], r["n"]) for r in files)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                own = f"{top}/.{uuid.uuid4().hex}"
+                with store.open_input_stream(f"{top}/draft-{name}", buffer_size=1 << 20) as draft, store.open_output_stream(own) as out:
+                    for docs, sizes, ids in _frames(draft):
+                        out.write(block(docs, sizes, shared.value[ids]))
+                store.move(own, f"{top}/{name}")
+                yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    if files:
+        todo = spark.createDataFrame([(f,) for f, _ in files], "file string").repartition(len(files), "file")
+        todo.mapInArrow(recode, "file string").count()
+        # Drafts go only when all files are there, so a task that runs again finds its own.
+        for f, _ in files:
+            where.delete_file(f"{name}/draft-{f}")
+    return files
 
 
 def read_files(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> DataFrame:
@@ -189,4 +218,4 @@ def round_trip(df: DataFrame, tokenizer: str, end_id: int = 1, folder: str | Non
     return read_files(spark, folder, write_files(df, tokenizer, end_id, folder))
 
 
-__all__ = ["block", "decode_ranks", "encode_ranks", "rank_order", "read_files", "round_trip", "token_ids", "write_files"]
+__all__ = ["block", "decode_ranks", "encode_ranks", "rank_order", "read_files", "round_trip", "write_files"]

@@ -92,27 +92,44 @@ class WordEncoder:
         self.pool.extend(ids)
         return len(self.start) - 1
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, in order, and the number of each text's ids."""
+    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The numbers of all chunks, in order, and how many chunks each text has."""
         if len(self.chunks) > self.cache:
             self._clear()
-        get, codes, words = self.chunks.__getitem__, [], []
+        get, codes, words = self.chunks.__getitem__, [np.zeros(0, np.int32)], []
         for t in texts:
             # Lower case is the tokenizer's own first step for ASCII; special strings
             # are matched before it, so texts that may hold one keep their case.
             chunks = (t if b"<|" in t else t.lower()).split()
-            codes.append(np.fromiter(map(get, chunks), dtype=np.int64, count=len(chunks)))
+            codes.append(np.fromiter(map(get, chunks), dtype=np.int32, count=len(chunks)))
             words.append(len(chunks))
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        sizes = np.frombuffer(self.size, dtype=np.int32)[code] if len(self.size) else np.zeros(0, np.int32)
-        starts = np.frombuffer(self.start, dtype=np.int64)[code] if len(self.start) else np.zeros(0, np.int64)
+        return np.concatenate(codes), words
+
+    def expand(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks with these numbers, in order, and each chunk's number of ids."""
+        if not len(code):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        sizes = np.frombuffer(self.size, dtype=np.int32)[code]
+        starts = np.frombuffer(self.start, dtype=np.int64)[code]
         ends = np.cumsum(sizes, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
-        ids = np.frombuffer(self.pool, dtype=np.uint32)[at] if total else np.zeros(0, np.uint32)
-        bounds = np.concatenate([[0], ends])
-        last = np.cumsum([0, *words])
-        return ids, np.diff(bounds[last])
+        at = np.arange(int(ends[-1]), dtype=np.int32) + np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+        return np.frombuffer(self.pool, dtype=np.uint32)[at], sizes
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, in order, and the number of each text's ids."""
+        code, words = self.codes(texts)
+        ids, sizes = self.expand(code)
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        return ids, np.diff(bounds[np.cumsum([0, *words])])
+
+    def count(self, texts: list[bytes], total: np.ndarray) -> None:
+        """Adds the number of times each id occurs in the texts to total."""
+        code, _ = self.codes(texts)
+        times = np.bincount(code, minlength=1)
+        seen = np.flatnonzero(times)
+        if len(code):
+            ids, sizes = self.expand(seen)
+            total += np.bincount(ids, np.repeat(times[seen], sizes), len(total)).astype(np.int64)
 
 
 _ENCODERS: dict[tuple, object] = {}
