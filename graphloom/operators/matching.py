@@ -43,6 +43,7 @@ class Match:
         self.graph, self.pattern, self.options = graph, pattern, options
         self._edges: DataFrame | None = None
         self._plan: MatchPlan | None = None
+        self._light = False
 
     def _prepare(self) -> None:
         if self._edges is not None:
@@ -71,8 +72,24 @@ class Match:
     def explain(self) -> str:
         return self.plan.explain()
 
+    def _whole_tree(self) -> bool:
+        """Whether folding leaves one vertex only."""
+        p = self.pattern
+        left = {u: p.neighbours(u) for u in range(len(p))}
+        while len(left) > 1:
+            leaf = next((u for u in left if len(left[u]) == 1 and p.labels.count(p.labels[u]) == 1), None)
+            if leaf is None:
+                return False
+            (b,) = left.pop(leaf)
+            left[b] = left[b] - {leaf}
+        return True
+
     def slice(self, u: int, w: int) -> DataFrame:
         """(u<u>, u<w>): images of one pattern edge."""
+        if self._light:
+            a, b = self.pattern.labels[u], self.pattern.labels[w]
+            e = self.graph.labelled_edges().filter((F.col("ls") == a) & (F.col("ld") == b))
+            return e.select(F.col("src").alias(f"u{u}"), F.col("dst").alias(f"u{w}"))
         self._prepare()
         qe = next(k for k, a, b in self.pattern.directed() if (a, b) == (u, w))
         return self._edges.filter(F.col("qe") == qe).select(F.col("src").alias(f"u{u}"), F.col("dst").alias(f"u{w}"))
@@ -114,10 +131,18 @@ class Match:
 
     def count(self) -> DataFrame:
         """One row: matches."""
+        if self.options.fold and len(self.pattern) > 1 and self._whole_tree():
+            # Sums along a tree read each relation once: reducing them first would cost more.
+            self._light = True
+            order, weights = self._folded(plan(self.pattern, None, self.options.method, False).backward())
+            self._light = False
+            return self._total(weights[order[0][0]], weights)
         order, weights = self.plan.backward(), {}
         if self.options.fold:
             order, weights = self._folded(order)
-        out = self._joined(order, weights)
+        return self._total(self._joined(order, weights), weights)
+
+    def _total(self, out: DataFrame, weights) -> DataFrame:
         product = F.lit(1).cast("bigint")
         for u in weights:
             product = product * F.col(f"f{u}")
