@@ -134,15 +134,15 @@ def refined(data: np.ndarray, start: np.ndarray, owner: np.ndarray, length: int)
     Positions that are no window starts get the largest integer.
     """
     n = len(data)
-    string = np.repeat(np.arange(len(owner)), np.diff(start))
-    own = owner[string]
-    room = start[string + 1] - np.arange(n)  # bytes left in the string
-    far = np.iinfo(np.int64).max
-    least = np.full(n, far)
-    grams = eights(np.concatenate([data, np.zeros(8, np.uint8)]))[:n]
+    sizes = np.diff(start)
+    # Owners by rank: half the memory, and their order is all that counts.
+    names, rank = np.unique(owner, return_inverse=True)
+    own = np.repeat(rank.astype(np.int32), sizes)
+    room = (np.repeat(start[1:], sizes) - np.arange(n)).astype(np.int32)  # bytes left in the string
+    least = np.full(n, np.iinfo(np.int64).max)
     # Pointers of the initial buckets, 8 bytes deep.
-    _, pointer = np.unique(grams, return_inverse=True)
-    pointer = pointer.astype(np.int64)
+    _, pointer = np.unique(eights(np.concatenate([data, np.zeros(8, np.uint8)]))[:n], return_inverse=True)
+    pointer = pointer.astype(np.int32)
     active, depth = np.flatnonzero(room >= 8), 8
 
     def shared(at: np.ndarray) -> np.ndarray:
@@ -168,15 +168,14 @@ def refined(data: np.ndarray, start: np.ndarray, owner: np.ndarray, length: int)
         a, b = a[order], b[order]
         new = np.cumsum((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
         # New numbers lie above all old ones, so settled positions stay distinct from them.
-        top = int(pointer.max()) + 1
-        pointer[active[order]] = top + new
+        pointer[active[order]] = int(pointer.max()) + 1 + new
         depth += step
-    least[room >= length] = own[room >= length]
+    least[room >= length] = names[own[room >= length]]
     if len(active):
         # Grouped by bucket with owners ascending: the head has the least owner.
         p = pointer[active]
         head = np.flatnonzero(np.diff(p, prepend=-1))
-        least[active] = np.repeat(own[active[head]], np.diff(np.append(head, len(active))))
+        least[active] = names[np.repeat(own[active[head]], np.diff(np.append(head, len(active))))]
     return least
 
 
@@ -249,7 +248,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"), *row).withColumn("sha", F.unhex(F.sha2("text", 256)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(2 * shuffle_partitions(spark), total // group_bytes)
-    parts = max(shuffle_partitions(spark), total // (2 * group_bytes))
+    parts = max(2 * shuffle_partitions(spark), total // (group_bytes // 2))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     # Copies: every row whose text a smaller id has too.
     sums = rows.select("g", "doc_id", "sha")
@@ -298,7 +297,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             bits = {p: b for p, b in zip(told.column("p").to_pylist(), told.column("bits").to_pylist(), strict=True) if b is not None}
             got = mine.members() if bits else None
             if got:
-                doc, first, last, _, order, bounds = got
+                doc, first, last, h, order, bounds = got
                 g = docs_.column("g")[0].as_py()
                 for p, b in sorted(bits.items()):
                     at = order[bounds[p] : bounds[p + 1]]
@@ -306,38 +305,49 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     k, a, n = doc[at], first[at], (last[at] - first[at] + length).astype("<u2")
                     text = b"".join(mine.texts[i][x : x + y] for i, x, y in zip(k.tolist(), a.tolist(), n.tolist(), strict=True))
                     ids = np.array([mine.ids[i] for i in k.tolist()], "<i8")
-                    out.append((p, g, len(at), packed(k.astype("<u4"), ids, a.astype("<i8"), n) + b"", zstandard.compress(text, 3)))
+                    out.append((p, g, len(at), packed(k.astype("<u4"), ids, a.astype("<i8"), n, h[at]), zstandard.compress(text, 3)))
         return _table([("p", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("heads", pa.binary()), ("text", pa.binary())], out)
 
     def spans(members):
         """Covered spans of the documents, found within one part of the buckets."""
         number: dict[bytes, int] = {}
-        content, doc, ids, first, source = [], [], [], [], []
+        content, doc, ids, first, source, hashes = [], [], [], [], [], []
         gs = members.column("g").to_pylist()
         for k, (n, heads, text) in enumerate(zip(*(members.column(c).to_pylist() for c in ("n", "heads", "text")), strict=True)):
-            d, i, a, size = unpacked(heads, ("<u4", n), ("<i8", n), ("<i8", n), ("<u2", n))
+            d, i, a, size, h = unpacked(heads, ("<u4", n), ("<i8", n), ("<i8", n), ("<u2", n), ("<u4", n))
+            hashes.append(h)
             raw, ends = zstandard.decompress(text), np.cumsum(size, dtype=np.int64)
             content.append(np.fromiter((number.setdefault(raw[x:y], len(number)) for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, n))
             doc.append(d)
             ids.append(i)
             first.append(a)
             source.append(np.full(n, k))
-        content, doc, ids, first, source = map(np.concatenate, (content, doc, ids, first, source))
+        content, doc, ids, first, source, hashes = map(np.concatenate, (content, doc, ids, first, source, hashes))
         owner = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(owner, content, ids)
         sizes = np.fromiter(map(len, number), np.int64, len(number))
-        start = np.concatenate([[0], np.cumsum(sizes)])
-        least = refined(np.frombuffer(b"".join(number), np.uint8), start, owner, length)
         found = []
         # A run that a smaller document has too is covered whole.
         whole = np.flatnonzero(ids > owner[content])
         found.append((source[whole], doc[whole], first[whole], first[whole] + sizes[content[whole]]))
-        # Of each other run, the windows that another run of a smaller document holds.
-        covered = np.flatnonzero((least < np.repeat(owner, sizes)) & (np.repeat(start[1:], sizes) - np.arange(len(least)) >= length))
+        # Runs that alone make up their bucket by now are settled; the others are refined.
+        bucket = np.zeros(len(number), np.uint32)
+        bucket[content] = hashes
+        _, back, per_bucket = np.unique(bucket, return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero(per_bucket[back] > 1)
+        at_open = np.full(len(number), -1)
+        at_open[open_] = np.arange(len(open_))
+        strings = list(number)
+        start = np.concatenate([[0], np.cumsum(sizes[open_])])
+        least = refined(np.frombuffer(b"".join([strings[c] for c in open_.tolist()]), np.uint8), start, owner[open_], length)
+        # Of each open run, the windows that another run of a smaller document holds.
+        covered = np.flatnonzero(least < np.repeat(owner[open_], sizes[open_]))
         string = np.searchsorted(start, covered, "right") - 1
-        bounds = np.searchsorted(string, np.arange(len(number) + 1))
-        for m in np.flatnonzero((ids == owner[content]) & (np.diff(bounds)[content] > 0)):
-            c = content[m]
+        bounds = np.searchsorted(string, np.arange(len(open_) + 1))
+        reached = np.diff(bounds) > 0
+        mine = np.flatnonzero((ids == owner[content]) & (at_open[content] >= 0))
+        for m in mine[reached[at_open[content[mine]]]].tolist():
+            c = at_open[content[m]]
             a, z = spans_of(covered[bounds[c] : bounds[c + 1]] - start[c] + first[m], length)
             found.append((np.full(len(a), source[m]), np.full(len(a), doc[m]), a, z))
         source, doc, a, z = map(np.concatenate, zip(*found, strict=True))
