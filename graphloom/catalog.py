@@ -69,14 +69,15 @@ PATTERNS = {
 }
 ROWS = ("edge", "path3", "triangle", "cycle4_sparse", "tailed_triangle_sparse", "triangle_labels")
 MODES = {
-    "mode_bfs": {"method": "BFS"},
-    "mode_dfs": {"method": "DFS"},
-    "mode_degree": {"method": "degree"},
-    "mode_nof3": {"refine": False},
-    "mode_noao": {"adaptive": False},
-    "mode_nolf": {"filter": False},
-    "mode_f3start": {"refine_start": 1},
-    "mode_rounds3": {"refine_rounds": 3},
+    "mode_bfs": {"method": "BFS", "filter": True},
+    "mode_dfs": {"method": "DFS", "filter": True},
+    "mode_degree": {"method": "degree", "filter": True},
+    "mode_nof3": {"refine": False, "filter": True},
+    "mode_noao": {"adaptive": False, "filter": True},
+    "mode_filter": {"filter": True},
+    "mode_nofilter": {"filter": False},
+    "mode_f3start": {"refine_start": 1, "filter": True},
+    "mode_rounds3": {"refine_rounds": 3, "filter": True},
     "mode_nofold": {"fold": False},
 }
 

@@ -1,7 +1,8 @@
 """Embeddings of patterns: injective, label-preserving, not induced, every automorphic image counted.
 
-The candidate edges are written once, in a folder for each pattern edge, so each join
-reads only its own slice and Spark knows the slice's true size.  Embeddings grow by
+The edges are written once, in a folder for each pair of labels or, where candidates
+are filtered, for each pattern edge, so each join reads only its own slice and Spark
+knows the slice's true size.  Embeddings grow by
 one pattern vertex for each join: the neighbour with the shortest lists gives the new
 vertex, and every further neighbour is a join on both columns, which only filters.
 Inequality is tested between vertices of equal label that have no edge, all others
@@ -25,6 +26,10 @@ from graphloom.sources.graphs import PropertyGraph
 from graphloom.sources.shared import written
 
 
+#: Filtering is worth its passes over the edges if the joins are expected to exceed them so many times.
+LIGHT = 8
+
+
 @dataclass(frozen=True)
 class Options:
     method: str = "BFS-DFS"
@@ -32,7 +37,8 @@ class Options:
     refine_rounds: int = 1
     refine_start: int | None = None  # only ever an order of pruning; the result is the same
     adaptive: bool = True
-    filter: bool = True  # neighbour labels; labels alone if False
+    #: By neighbour labels: True, False, or None to filter where the joins are expected to grow large.
+    filter: bool | None = None
     fold: bool = True  # trees, when counting
 
 
@@ -41,28 +47,56 @@ class Match:
 
     def __init__(self, graph: PropertyGraph, pattern: Pattern, options: Options = Options()):
         self.graph, self.pattern, self.options = graph, pattern, options
+        self._relevant: DataFrame | None = None
         self._edges: DataFrame | None = None
         self._plan: MatchPlan | None = None
-        self._light = False
+        self._stats = Stats()
 
     def _prepare(self) -> None:
-        if self._edges is not None:
+        """Writes the relevant edges, and the filtered ones if filtering promises to pay."""
+        if self._plan is not None:
             return
-        o = self.options
-        if o.filter:
-            e = filtering.candidate_edges(self.graph, self.pattern)
+        o, p = self.options, self.pattern
+        # One direction is enough for ends of different labels.
+        relevant = filtering.relevant_edges(self.graph, p).filter("ls <= ld").select("src", "dst", "ls", "ld")
+        self._relevant, _ = written(relevant, "relevant-edges", "ls", "ld")
+        self._stats = self._label_stats()
+        self._plan = plan(p, self._stats, o.method, o.adaptive)
+        if o.filter if o.filter is not None else self._expected() > LIGHT * sum(self._stats.pairs.values()):
+            back = self._relevant.filter("ls < ld").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ld").alias("ls"), F.col("ls").alias("ld"))
+            both = PropertyGraph(self.graph.vertices, self._relevant.select("src", "dst"), self._relevant.select("src", "dst", "ls", "ld").union(back))
+            e = filtering.candidate_edges(both, p)
             if o.refine:
                 e, _ = written(e, "candidate-edges", "qe")
-                e = filtering.refined(e, self.pattern, o.refine_rounds)
-        else:
-            e = self._by_label()
-        self._edges, _ = written(e, "candidate-edges", "qe")
-        self._plan = plan(self.pattern, filtering.collected_stats(self._edges), o.method, o.adaptive)
+                e = filtering.refined(e, p, o.refine_rounds)
+            self._edges, _ = written(e, "candidate-edges", "qe")
+            self._stats = filtering.collected_stats(self._edges)
+            self._plan = plan(p, self._stats, o.method, o.adaptive)
+
+    def _label_stats(self) -> Stats:
+        """Sizes of each pattern edge's relation by the labels of its ends."""
+        out, found = Stats(), {}
+        sizes = self._relevant.groupBy("ls", "ld").agg(F.count("*").alias("n"), F.approx_count_distinct("src").alias("s"), F.approx_count_distinct("dst").alias("d"))
+        for r in sizes.collect():  # one row for each pair of the pattern's labels
+            found[r["ls"], r["ld"]] = (r["n"], r["s"])
+            found[r["ld"], r["ls"]] = (r["n"], r["d"])
+        for _, u, w in self.pattern.directed():
+            out.pairs[u, w], out.keys[u, w] = found.get((self.pattern.labels[u], self.pattern.labels[w]), (0, 0))
+        return out
 
-    def _by_label(self) -> DataFrame:
-        rows = [(k, u, w, self.pattern.labels[u], self.pattern.labels[w]) for k, u, w in self.pattern.directed()]
-        q = self.graph.vertices.sparkSession.createDataFrame(rows, "qe int, u int, w int, ls bigint, ld bigint")
-        return filtering.relevant_edges(self.graph, self.pattern).join(F.broadcast(q), ["ls", "ld"]).select("qe", "u", "w", "src", "dst")
+    def _expected(self) -> float:
+        """The most rows that the join chain is expected to hold, edges taken as independent."""
+        rows = most = 1.0
+        for k, (u, before) in enumerate(self._plan.backward()):
+            if not k:
+                rows = self._stats.size(u, self.pattern)
+                continue
+            best, *others = sorted(before, key=lambda b: (self._stats.list_size(b, u), b))
+            rows *= self._stats.list_size(best, u)
+            most = max(most, rows)
+            for b in others:
+                rows *= self._stats.list_size(b, u) / max(1, self._stats.size(u, self.pattern))
+        return most
 
     @property
     def plan(self) -> MatchPlan:
@@ -72,27 +106,16 @@ class Match:
     def explain(self) -> str:
         return self.plan.explain()
 
-    def _whole_tree(self) -> bool:
-        """Whether folding leaves one vertex only."""
-        p = self.pattern
-        left = {u: p.neighbours(u) for u in range(len(p))}
-        while len(left) > 1:
-            leaf = next((u for u in left if len(left[u]) == 1 and p.labels.count(p.labels[u]) == 1), None)
-            if leaf is None:
-                return False
-            (b,) = left.pop(leaf)
-            left[b] = left[b] - {leaf}
-        return True
-
     def slice(self, u: int, w: int) -> DataFrame:
         """(u<u>, u<w>): images of one pattern edge."""
-        if self._light:
-            a, b = self.pattern.labels[u], self.pattern.labels[w]
-            e = self.graph.labelled_edges().filter((F.col("ls") == a) & (F.col("ld") == b))
-            return e.select(F.col("src").alias(f"u{u}"), F.col("dst").alias(f"u{w}"))
         self._prepare()
-        qe = next(k for k, a, b in self.pattern.directed() if (a, b) == (u, w))
-        return self._edges.filter(F.col("qe") == qe).select(F.col("src").alias(f"u{u}"), F.col("dst").alias(f"u{w}"))
+        if self._edges is not None:
+            qe = next(k for k, a, b in self.pattern.directed() if (a, b) == (u, w))
+            return self._edges.filter(F.col("qe") == qe).select(F.col("src").alias(f"u{u}"), F.col("dst").alias(f"u{w}"))
+        a, b = self.pattern.labels[u], self.pattern.labels[w]
+        e = self._relevant.filter((F.col("ls") == min(a, b)) & (F.col("ld") == max(a, b)))
+        ends = ("src", "dst") if a <= b else ("dst", "src")
+        return e.select(F.col(ends[0]).alias(f"u{u}"), F.col(ends[1]).alias(f"u{w}"))
 
     def _joined(self, order: list[tuple[int, list[int]]], weights: dict[int, DataFrame]) -> DataFrame:
         """Rows over the ordered vertices, with a column f<u> for each folded weight."""
@@ -100,7 +123,7 @@ class Match:
         (start, _), *rest = order
         out, placed = None, {start}
         for u, before in rest:
-            best, *others = sorted(before, key=lambda b: (self._sizes.list_size(b, u), b))
+            best, *others = sorted(before, key=lambda b: (self._stats.list_size(b, u), b))
             step = self.slice(best, u)
             out = step if out is None else out.join(step, f"u{best}")
             for b in others:
@@ -110,7 +133,7 @@ class Match:
                     out = out.filter(F.col(f"u{a}") != F.col(f"u{b}"))
             placed.add(u)
         if out is None:
-            if weights:
+            if start in weights:
                 return weights[start]
             cand = filtering.candidates(self.graph, self.pattern)
             return cand.select(F.col("v").alias(f"u{start}"))
@@ -118,12 +141,6 @@ class Match:
             out = out.join(w, f"u{u}")
         return out
 
-    @property
-    def _sizes(self) -> Stats:
-        if not hasattr(self, "_stats"):
-            self._stats = filtering.collected_stats(self._edges)
-        return self._stats
-
     def rows(self, limit: int | None = None) -> DataFrame:
         """One row u0, u1, ... for each embedding; ``limit`` is a cut on request only."""
         out = self._joined(self.plan.backward(), {}).select(*[f"u{u}" for u in range(len(self.pattern))])
@@ -131,12 +148,6 @@ class Match:
 
     def count(self) -> DataFrame:
         """One row: matches."""
-        if self.options.fold and len(self.pattern) > 1 and self._whole_tree():
-            # Sums along a tree read each relation once: reducing them first would cost more.
-            self._light = True
-            order, weights = self._folded(plan(self.pattern, None, self.options.method, False).backward())
-            self._light = False
-            return self._total(weights[order[0][0]], weights)
         order, weights = self.plan.backward(), {}
         if self.options.fold:
             order, weights = self._folded(order)

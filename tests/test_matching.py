@@ -49,11 +49,12 @@ def test_against_permutations(spark, seed):
     graph, pattern = random_graph(seed), random_pattern(seed + 50, n=3 + seed % 2)
     want = embeddings(graph, pattern)
     g = frames(spark, graph)
-    assert sorted(map(tuple, match(g, pattern).rows().collect())) == want
-    assert n(match(g, pattern)) == len(want)
+    for filter_ in (True, False):
+        assert sorted(map(tuple, match(g, pattern, filter=filter_).rows().collect())) == want
+        assert n(match(g, pattern, filter=filter_)) == len(want)
 
 
-@pytest.mark.parametrize("options", [{"method": "BFS"}, {"method": "DFS"}, {"method": "degree"}, {"refine": False}, {"adaptive": False}, {"filter": False}, {"fold": False}, {"refine_rounds": 3}])
+@pytest.mark.parametrize("options", [{"method": "BFS", "filter": True}, {"method": "DFS"}, {"method": "degree"}, {"refine": False, "filter": True}, {"adaptive": False}, {"filter": False}, {"filter": True}, {"filter": True, "fold": False}, {"fold": False}, {"refine_rounds": 3, "filter": True}])
 def test_options_do_not_change_the_result(spark, options):
     graph = random_graph(11, n=9, labels=2)
     pattern = Pattern([0, 1, 0, 1, 1], [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4)])
