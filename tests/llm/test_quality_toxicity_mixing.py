@@ -46,9 +46,8 @@ def test_quality_filter_on_odd_rows(odd_docs, no_docs):
 
 
 def test_fold():
-    assert toxicity.fold("Ид1oт 1D!0T $tup1d") == toxicity.fold("ид1от idiot stupid").replace("idot", "idot") or True
-    assert toxicity.fold("1d10t") == " idiot "
-    assert toxicity.fold("l0ser, LOSER! lосеr") == " loser loser loser "
+    assert toxicity.fold("1d10t") == toxicity.fold("1D!0T") == " idiot "
+    assert toxicity.fold("l0ser, LOSER! l\u043es\u0435r") == " loser loser loser "  # Cyrillic o and e
     assert toxicity.fold("Ünïté 2024") == " unite "
     assert toxicity.fold("") == "  "
 
