@@ -58,7 +58,10 @@ def entropy(w: list[float]) -> float:
 
 
 def exponent(tokens: list[int], target: float | None, limit: float | None) -> float:
-    """The exponent in [0, 1] for the token counts (all above zero) of the sources."""
+    """The exponent in [0, 1] for the token counts (all above zero) of the sources.
+
+    With no target it is the least that the limit allows; with neither, 1.
+    """
 
     def bisected(holds) -> float:
         """The largest t with holds(t), which holds up to some t; 0 if it holds nowhere."""
@@ -72,7 +75,7 @@ def exponent(tokens: list[int], target: float | None, limit: float | None) -> fl
 
     if len(tokens) < 2:
         return 1.0
-    t = 1.0 if target is None else bisected(lambda t: entropy(weights(tokens, t)) >= target * math.log(len(tokens)))
+    t = float(limit is None) if target is None else bisected(lambda t: entropy(weights(tokens, t)) >= target * math.log(len(tokens)))
     if limit is not None:
         spread = max(tokens) / min(tokens)
         # Repetitions fall as t grows: one more than bisected() finds is allowed.
@@ -117,7 +120,8 @@ def plan(rows: DataFrame, target: float | None, limit: float | None) -> DataFram
 def realised(rows: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
     """doc_id, src, n_tokens, epoch, key and the tokens before it in its source's stream, for every copy."""
     epochs = F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1 + (F.col("rest") > 0).cast("bigint"))
-    each = rows.join(shares, "src").withColumn("epoch", F.explode(epochs)).withColumn("key", _key(F.col("epoch"), F.col("doc_id"), seed))
+    # plan() has checked that there are at most MOST_SOURCES shares.
+    each = rows.join(F.broadcast(shares), "src").withColumn("epoch", F.explode(epochs)).withColumn("key", _key(F.col("epoch"), F.col("doc_id"), seed))
     each = each.withColumn("slice", F.shiftright("key", KEY_BITS - SLICE_BITS))
     # Sums of the slices before one: a few thousand rows for each source and epoch.
     sums = each.groupBy("src", "epoch", "slice").agg(F.sum("n_tokens").alias("n"))
@@ -152,7 +156,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     last = realised(rows, shares, seed).filter(F.col("epoch") == F.col("full"))
     ends = last.groupBy("src").agg(F.max("key").alias("end"))
     told = shares.join(ends, "src", "left").select(F.col("src").alias("_src"), F.col("full").alias("_full"), F.col("end").alias("_end"))
-    joined = docs.join(told, _source(source_col) == F.col("_src"))
+    # plan() has checked that there are at most MOST_SOURCES of these short rows.
+    joined = docs.join(F.broadcast(told), _source(source_col) == F.col("_src"))
     once_more = F.coalesce(_key(F.col("_full"), F.col(id_col), seed) <= F.col("_end"), F.lit(False)).cast("bigint")
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("_full") + once_more)
     return joined.withColumn("_copy", F.explode(copies)).select(*[docs[c] for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 _TAIL = b".,!?;:"
 
 
