@@ -48,7 +48,7 @@ def hilbert_index(points: np.ndarray, bits: int = BITS, span: float = 4.0) -> np
     """Index of each point along the Hilbert curve through [-span, span]^dims."""
     n, dims = points.shape
     top = (1 << bits) - 1
-    x = [np.clip((points[:, d] + span) / (2 * span) * top, 0, top).astype(np.uint64) for d in range(dims)]
+    x = [np.clip((points[:, d] + span) / (2 * span) * (top + 1), 0, top).astype(np.uint64) for d in range(dims)]
     one = np.uint64(1)
     for b in range(bits - 1, 0, -1):  # undo the turns, coarse to fine
         q, p = one << np.uint64(b), (one << np.uint64(b)) - one
