@@ -172,19 +172,22 @@ def reached_entries(spark: SparkSession, folder: str, files: list[tuple[str, int
     jumps = jumps.filter("entry = 0").unionByName(jumps.filter("entry > 0").join(live, ["file", "entry"], "left_semi"))
     jumps, next_path = written(jumps, "warc-jumps")
     remove(spark, path)
-    path = next_path
+    # Doubled jumps lose the entries that end before the jump does; these stay entries.
+    known, path = jumps.select("file", "entry"), None
     reached, reached_path = written(jumps.filter("entry = 0").select("file", "entry"), "warc-reached")
     most = max(-(-n // step) for _, n in files)
     for _ in range(max(1, most).bit_length()):
         ahead = reached.join(jumps, ["file", "entry"]).select("file", F.col("exit").alias("entry"))
-        known = jumps.select("file", "entry")
         reached, old = written(reached.union(ahead.join(known, ["file", "entry"], "left_semi")).distinct(), "warc-reached"), reached_path
         reached, reached_path = reached
         remove(spark, old)
         b = jumps.select("file", F.col("entry").alias("exit"), F.col("exit").alias("after"))
         jumps, old = written(jumps.join(b, ["file", "exit"]).select("file", "entry", F.col("after").alias("exit")), "warc-jumps"), path
         jumps, path = jumps
-        remove(spark, old)
+        if old:
+            remove(spark, old)
+    remove(spark, path)
+    remove(spark, next_path)
     return reached
 
 
