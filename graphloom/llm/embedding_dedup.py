@@ -7,9 +7,12 @@ further cell whose distance exceeds the nearest one's by at most a margin.  Vect
 that share a cell are compared in double precision; a pair is counted in the first
 cell that they share.  No list, cell or partner count is capped.
 
-The codebooks are fitted to a bounded sample.  The margin is the one at which pairs
-of ``probes`` vectors, compared with all vectors by brute force, share a cell with the
-target recall; half as much again is added to it.
+The codebooks are fitted to a bounded sample.  The margin is the largest of those at
+which two kinds of pairs share a cell with the target recall, and half as much again:
+pairs made up at the least cosine around every sampled vector, so that no luck is
+needed where true pairs are rare; and pairs of ``probes`` vectors, compared with all
+vectors by brute force, where every probe weighs the same.  Made-up pairs are weighed
+by vectors and by cells, so that no crowded group sets the margin for the others.
 
 Cells of more than ``most`` members are compared by blocks of them in tasks of their
 own.  Tasks pass on link counts and a spanning forest, not pairs.  Equal vectors are
@@ -104,6 +107,43 @@ def excess(x: np.ndarray, y: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -
     return total
 
 
+def reaching(values: np.ndarray, weights: np.ndarray, share: float) -> float:
+    """The least of the values up to which the given share of the weight lies; 0 if there are none."""
+    if not len(values):
+        return 0.0
+    order = np.argsort(values, kind="stable")
+    weight = np.cumsum(weights[order])
+    return float(values[order][min(np.searchsorted(weight, share * weight[-1]), len(order) - 1)])
+
+
+def made_up(points: np.ndarray, cosine: float, seed: int = 7) -> list[np.ndarray]:
+    """For each of the points, partners at the cosine: off in any direction, and in directions in which the points differ."""
+    rng = np.random.default_rng(seed)
+    # Differences of points, mixed at random, keep to the dimensions that the data use.
+    few = min(64, len(points))
+    apart = points[rng.integers(len(points), size=few)] - points[rng.integers(len(points), size=few)]
+    out = []
+    for off in (rng.normal(size=points.shape), rng.normal(size=(len(points), few)) @ apart):
+        off = off - (off * points).sum(1, keepdims=True) * points
+        length = np.linalg.norm(off, axis=1, keepdims=True)
+        off = np.divide(off, length, out=np.zeros_like(off), where=length > 1e-9)
+        out.append(cosine * points + max(0.0, 1 - cosine**2) ** 0.5 * off)
+    return out
+
+
+def least_margin(points: np.ndarray, words: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
+    """The margin at which made-up pairs share a cell with the recall, counted by vectors and by cells."""
+    half = points.shape[1] // 2
+    parts = [slice(s, s + 2_000) for s in range(0, len(points), 2_000)]
+    cell = np.concatenate([squared(points[p, :half], words[0]).argmin(1) * len(words[1]) + squared(points[p, half:], words[1]).argmin(1) for p in parts])
+    _, at, crowd = np.unique(cell, return_inverse=True, return_counts=True)
+    least = 0.0
+    for partners in made_up(points, cosine):
+        e = np.concatenate([excess(points[p], partners[p], words) for p in parts])
+        least = max(least, reaching(e, np.ones(len(e)), recall), reaching(e, 1 / crowd[at], recall))
+    return least
+
+
 def fitted(vectors: DataFrame, n: int, dim: int, cosine: float, sample: int, probes: int, recall: float):
     """Codebooks of both halves and the margin."""
     share = min(1.0, sample / max(n, 1))
@@ -118,25 +158,25 @@ def fitted(vectors: DataFrame, n: int, dim: int, cosine: float, sample: int, pro
     shared = vectors.sparkSession.sparkContext.broadcast((asked, words))
 
     def margins(batches):
-        counts, (q, w) = np.zeros(_BINS, np.int64), shared.value
+        (q, w) = shared.value
+        counts = np.zeros((len(q), _BINS), np.int64)
         for b in batches:
             y = matrix(b.column("vec"), dim)
             i, j = np.nonzero(q @ y.T >= cosine)
             apart = np.abs(q[i] - y[j]).max(1) > 0
+            i, j = i[apart], j[apart]
             for s in range(0, len(i), 20_000):
                 p = slice(s, s + 20_000)
-                e = excess(q[i[p]][apart[p]], y[j[p]][apart[p]], w)
-                counts += np.bincount(np.minimum(np.ceil(e / _BIN_WIDTH).astype(int), _BINS - 1), minlength=_BINS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
-
-    found = vectors.select("vec").mapInArrow(margins, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    total, seen, margin = sum(r["n"] for r in found), 0, _BIN_WIDTH
-    for r in found:  # at most one row for each bin
-        if seen >= recall * total:
-            break
-        seen += r["n"]
-        margin = r["bin"] * _BIN_WIDTH
+                e = excess(q[i[p]], y[j[p]], w)
+                np.add.at(counts, (i[p], np.minimum(np.ceil(e / _BIN_WIDTH).astype(int), _BINS - 1)), 1)
+        probe, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_pydict({"probe": pa.array(probe, pa.int64()), "bin": pa.array(at, pa.int64()), "n": pa.array(counts[probe, at], pa.int64())})
+
+    found = vectors.select("vec").mapInArrow(margins, "probe bigint, bin bigint, n bigint").groupBy("probe", "bin").agg(F.sum("n").alias("n")).collect()
+    # At most one row for each probe and bin.
+    probe, at, n_pairs = (np.array([r[c] for r in found], np.int64) for c in ("probe", "bin", "n"))
+    each = n_pairs / np.bincount(probe, n_pairs, len(asked))[probe]
+    margin = max(_BIN_WIDTH, reaching(at * _BIN_WIDTH, n_pairs, recall), reaching(at * _BIN_WIDTH, each, recall), least_margin(points, words, cosine, recall))
     return words, 1.5 * margin
 
 
@@ -175,17 +215,20 @@ def cell_links(vectors: DataFrame, words, margin: float, dim: int, cosine: float
         links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         left = np.arange(len(ids)) if lo == hi else np.flatnonzero(part == lo)
         right = left if lo == hi else np.flatnonzero(part == hi)
-        # Vectors with one cell can only meet here; for others the first shared cell is sought.
-        lone = np.array([len(c) == 1 for c in lists])
+        # A pair is counted here if it shares no earlier cell; these are kept as bits.
+        early = [c[: np.searchsorted(c, cell)] for c in lists]
+        known, at = np.unique(np.concatenate(early), return_inverse=True)
+        bits = np.zeros((len(ids), -(-len(known) // 8)), np.uint8)
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(ids)), [len(c) for c in early]), at >> 3), (1 << (at & 7)).astype(np.uint8))
+        step = max(1, (1 << 24) // max(1, bits.shape[1]))
         for s in range(0, len(left), 512):
             a = left[s : s + 512]
             i, j = np.nonzero(x[a] @ x[right].T >= cosine)
             i, j = a[i], right[j]
             if lo == hi:
                 i, j = i[i < j], j[i < j]
-            ok = lone[i] | lone[j]
-            for k in np.flatnonzero(~ok):
-                ok[k] = np.intersect1d(lists[i[k]], lists[j[k]], assume_unique=True)[0] == cell
+            ok = [~(bits[i[k : k + step]] & bits[j[k : k + step]]).any(1) for k in range(0, len(i), step)]
+            ok = np.concatenate([np.ones(0, bool), *ok])
             i, j = i[ok], j[ok]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])

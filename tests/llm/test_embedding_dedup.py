@@ -61,6 +61,27 @@ def test_recall_on_the_test_data(spark):
     assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
 
 
+def partners(rng, x):
+    """For each row of x, a vector at a cosine of 0.90 to 0.95."""
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    c = rng.uniform(0.9, 0.95, (len(x), 1))
+    return c * x + np.sqrt(1 - c**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("n_hot", "n_pairs"), [(0, 30), (3_000, 100)])
+def test_recall_of_loose_pairs(spark, n_hot, n_pairs):
+    """Pairs that few probes have, alone and beside a tight group that supplies nearly all probe pairs."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9_000 - n_hot, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hot = x[:1] + 0.004 * rng.normal(size=(n_hot, 64))
+    rows = np.concatenate([x, partners(rng, x[1 : n_pairs + 1]), hot])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id bigint, embedding array<double>").repartition(4)
+    outside = embedding_dedup.near_duplicates(df).filter(f"vec_id between 1 and {len(x) + n_pairs - 1}")
+    assert outside.filter("n_links > 0").count() >= 0.99 * 2 * n_pairs
+
+
 def test_empty_and_unusable(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).collect() == []
