@@ -59,15 +59,17 @@ PATTERNS = {
     "cycle4": ("trade", Pattern([4, 5, 4, 3], [(0, 1), (1, 2), (2, 3), (0, 3)])),
     "cycle4_same_label": ("coorder", Pattern([0, 1, 0, 1], [(0, 1), (1, 2), (2, 3), (0, 3)])),
     "cycle4_sparse": ("sparse", Pattern([0, 1, 2, 3], [(0, 1), (1, 2), (2, 3), (0, 3)])),
+    "cycle4_coorder": ("coorder", Pattern([0, 1, 2, 3], [(0, 1), (1, 2), (2, 3), (0, 3)])),
     "clique4": ("coorder", Pattern([0, 1, 2, 3], [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)])),
     "tailed_triangle": ("trade", Pattern([4, 5, 3, 1], [(0, 1), (0, 2), (1, 2), (2, 3)])),
     "tailed_triangle_sparse": ("sparse", Pattern([0, 1, 2, 3], [(0, 1), (0, 2), (1, 2), (2, 3)])),
+    "tailed_triangle_coorder": ("coorder", Pattern([0, 1, 2, 3], [(0, 1), (0, 2), (1, 2), (2, 3)])),
     "bowtie": ("coorder", Pattern([0, 1, 2, 3, 4], [(0, 1), (0, 2), (1, 2), (0, 3), (0, 4), (3, 4)])),
     "tree5": ("trade", Pattern([1, 2, 3, 2, 4], [(0, 1), (0, 2), (0, 3), (1, 4)])),
     "empty": ("trade", Pattern([0, 5], [(0, 1)])),
     "absent_label": ("trade", Pattern([99, 4], [(0, 1)])),
 }
-ROWS = ("edge", "path3", "triangle", "cycle4_sparse", "tailed_triangle_sparse", "triangle_labels")
+ROWS = ("edge", "path3", "triangle", "cycle4_sparse", "tailed_triangle_sparse", "triangle_labels", "cycle4_coorder", "tailed_triangle_coorder")
 MODES = {
     "mode_bfs": {"method": "BFS", "filter": True},
     "mode_dfs": {"method": "DFS", "filter": True},
@@ -134,14 +136,16 @@ er AS (SELECT ec.* FROM ec WHERE EXISTS (SELECT 1 FROM c1 WHERE c1.u = ec.u AND
 
 _P = PATTERNS["tailed_triangle_sparse"][1]
 _SPARSE = GRAPHS["sparse"][1]
+_COORDER = GRAPHS["coorder"][1]
+_CLIQUES = "SELECT count(*) AS cliques FROM e a, e b, e c, e x, e y, e z WHERE a.src < a.dst AND a.dst = b.src AND b.src < b.dst AND b.dst = c.src AND c.src < c.dst AND x.src = a.src AND x.dst = b.dst AND y.src = a.src AND y.dst = c.dst AND z.src = a.dst AND z.dst = c.dst"
 
 
 def _sparse(spark, sf_dir):
     return GRAPHS["sparse"][0](spark, sf_dir)
 
 
-def _refined(spark, sf_dir):
-    return filtering.refined(filtering.candidate_edges(_sparse(spark, sf_dir), _P), _P)
+def _refined(spark, sf_dir, graph="sparse"):
+    return filtering.refined(filtering.candidate_edges(GRAPHS[graph][0](spark, sf_dir), _P), _P)
 
 
 def _items(spark, sf_dir, *columns):
@@ -190,15 +194,21 @@ QUERIES = {
     "cand_edges_refined": _refined,
     "cand_first": lambda s, d: filtering.first_candidates(_refined(s, d), 2),
     "cand_stats": lambda s, d: filtering.candidate_stats(_refined(s, d)),
+    "cand_nlf_coorder": lambda s, d: filtering.candidates(coorder_graph(s, d), _P),
+    "cand_edges_coorder": lambda s, d: filtering.candidate_edges(coorder_graph(s, d), _P),
+    "cand_edges_refined_coorder": partial(_refined, graph="coorder"),
+    "cand_first_coorder": lambda s, d: filtering.first_candidates(_refined(s, d, "coorder"), 2),
+    "cand_stats_coorder": lambda s, d: filtering.candidate_stats(_refined(s, d, "coorder")),
     **{f"match_{n}": partial(count_query, n) for n in PATTERNS},
     **{f"match_{n}_rows": partial(rows_query, n) for n in ROWS},
     **{m: partial(count_query, "tailed_triangle", **o) for m, o in MODES.items()},
-    "kcore": lambda s, d: peeling.k_core(_sparse(s, d), 4),
-    "core_numbers": lambda s, d: peeling.core_numbers(_sparse(s, d)),
-    "ktruss": lambda s, d: peeling.k_truss(_sparse(s, d), 4),
-    "nucleus34": lambda s, d: peeling.nucleus34(_sparse(s, d), 1),
+    "kcore": lambda s, d: peeling.k_core(coorder_graph(s, d), 4),
+    "core_numbers": lambda s, d: peeling.core_numbers(coorder_graph(s, d)),
+    "ktruss": lambda s, d: peeling.k_truss(coorder_graph(s, d), 4),
+    "nucleus34": lambda s, d: peeling.nucleus34(coorder_graph(s, d), 1),
     "triangle_count": lambda s, d: peeling.triangle_count(coorder_graph(s, d)),
     "clique4_count": lambda s, d: peeling.four_clique_count(_sparse(s, d)),
+    "clique4_count_coorder": lambda s, d: peeling.four_clique_count(coorder_graph(s, d)),
     "prim_select_if": lambda s, d: _items(s, d, "l_quantity").filter("l_quantity >= 40"),
     "prim_select_unique": lambda s, d: prim.unique(_flags(s, d), "l_returnflag"),
     "prim_exclusive_sum": lambda s, d: _ordered(s, d, "l_quantity").scan(_qty(), "total", inclusive=False),
@@ -236,11 +246,17 @@ _SQL = {
     "cand_edges_refined": f"WITH {_SPARSE}, {_ecand_sql(_P)} SELECT * FROM er",
     "cand_first": f"WITH {_SPARSE}, {_ecand_sql(_P)} SELECT src AS v, count(DISTINCT qe) AS k FROM er WHERE u = 2 GROUP BY src",
     "cand_stats": f"WITH {_SPARSE}, {_ecand_sql(_P)} SELECT qe, u, w, count(DISTINCT src) AS n_keys, count(*) AS n_pairs FROM er GROUP BY qe, u, w",
+    "cand_nlf_coorder": f"WITH {_COORDER}, {_cand_sql(_P)} SELECT u, v FROM cand",
+    "cand_edges_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT * FROM ec",
+    "cand_edges_refined_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT * FROM er",
+    "cand_first_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT src AS v, count(DISTINCT qe) AS k FROM er WHERE u = 2 GROUP BY src",
+    "cand_stats_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT qe, u, w, count(DISTINCT src) AS n_keys, count(*) AS n_pairs FROM er GROUP BY qe, u, w",
     **{f"match_{n}": pattern_sql(n) for n in PATTERNS},
     **{f"match_{n}_rows": pattern_sql(n, rows=True) for n in ROWS},
     **{m: pattern_sql("tailed_triangle") for m in MODES},
     "triangle_count": f"WITH {_coorder_sql()} SELECT count(*) AS triangles FROM e a, e b, e c WHERE a.src < a.dst AND a.dst = b.src AND b.src < b.dst AND c.src = a.src AND c.dst = b.dst",
     "clique4_count": f"WITH {_SPARSE} SELECT count(*) AS cliques FROM e a, e b, e c, e x, e y, e z WHERE a.src < a.dst AND a.dst = b.src AND b.src < b.dst AND b.dst = c.src AND c.src < c.dst AND x.src = a.src AND x.dst = b.dst AND y.src = a.src AND y.dst = c.dst AND z.src = a.dst AND z.dst = c.dst",
+    "clique4_count_coorder": f"WITH {_COORDER} {_CLIQUES}",
     "prim_select_if": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 40",
     "prim_select_unique": f"WITH {_RUNS} SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, run FROM n WHERE head = 1",
     "prim_exclusive_sum": f"SELECT *, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_QTY_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total FROM {_QTY_ROWS}",

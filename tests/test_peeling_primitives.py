@@ -4,6 +4,7 @@ from itertools import accumulate, groupby
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import catalog
 from graphloom.operators import peeling
 from graphloom.operators import primitives as prim
 from graphloom.plans import structure
@@ -39,6 +40,21 @@ def test_truss_and_nucleus(spark, graph, adj):
     assert peeling.four_clique_count(g).first()[0] == len(structure.cliques(adj, 4))
 
 
+def test_peeling_queries_take_the_whole_graph(spark, graph, adj, tmp_path):
+    """Edges of items of small quantity count: none of these orders is in the sparse graph."""
+    labels, edges = graph
+    spark.createDataFrame([(v, v) for v in labels], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    items = [(o, v, 1.0) for o, e in enumerate(edges) for v in e]
+    spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda q: catalog.QUERIES[q](spark, str(tmp_path)).collect()
+    cores = {c[0]: k for c, k in peeled(adj, 1, 2).items()}
+    assert {r["id"]: r["core"] for r in run("core_numbers")} == cores
+    assert {r["id"] for r in run("kcore")} == {v for v, k in cores.items() if k >= 4}
+    assert {tuple(r) for r in run("ktruss")} == {e for e, k in peeled(adj, 2, 3).items() if k >= 2}
+    assert {tuple(r) for r in run("nucleus34")} == {t for t, k in peeled(adj, 3, 4).items() if k >= 1}
+    assert run("clique4_count_coorder")[0][0] == len(structure.cliques(adj, 4))
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
