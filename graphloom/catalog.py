@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import graph_stats
 from graphloom.operators import filtering, peeling
@@ -175,6 +176,19 @@ def _flags(spark, sf_dir):
     return _ordered(spark, sf_dir, "l_returnflag", "l_quantity")
 
 
+# All columns take part in the order, so that no row is left out; rows equal in all of them are numbered.
+_ALL = ("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
+_ALL_ORDER = ", ".join(_ALL)
+_ALL_ROWS = f"(SELECT {_ALL_ORDER}, row_number() OVER (PARTITION BY {_ALL_ORDER}) AS _copy FROM lineitem)"
+_ALL_RUNS = _RUNS.replace(_FLAG_ROWS, _ALL_ROWS).replace(f"ORDER BY {_FLAG_ORDER}", f"ORDER BY {_ALL_ORDER}, _copy")
+
+
+def _all(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_ALL)
+    copies = Window.partitionBy(*_ALL).orderBy("l_orderkey")
+    return prim.Ordered(items.withColumn("_copy", F.row_number().over(copies)), *_ALL, "_copy")
+
+
 def _orders(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
@@ -219,6 +233,13 @@ QUERIES = {
     "prim_reduce_by_key": lambda s, d: prim.reduce_by_key(_flags(s, d), "l_returnflag", _qty()),
     "prim_rle": lambda s, d: prim.run_lengths(_flags(s, d), "l_returnflag"),
     "prim_rle_nontrivial": lambda s, d: prim.run_lengths(_flags(s, d), "l_returnflag").filter("length > 1"),
+    "prim_select_unique_all": lambda s, d: prim.unique(_all(s, d), "l_returnflag").drop("_copy"),
+    "prim_exclusive_sum_all": lambda s, d: _all(s, d).scan(_qty(), "total", inclusive=False).drop("_copy"),
+    "prim_inclusive_sum_all": lambda s, d: _all(s, d).scan(_qty(), "total").drop("_copy"),
+    "prim_reduce_by_key_all": lambda s, d: prim.reduce_by_key(_all(s, d), "l_returnflag", _qty()),
+    "prim_rle_all": lambda s, d: prim.run_lengths(_all(s, d), "l_returnflag"),
+    "prim_rle_nontrivial_all": lambda s, d: prim.run_lengths(_all(s, d), "l_returnflag").filter("length > 1"),
+    "prim_adjacent_diff_all": lambda s, d: _all(s, d).before(_qty(), "_b").select(*_ALL, (_qty() - F.coalesce("_b", F.lit(0))).alias("diff")),
     "prim_histogram": lambda s, d: prim.histogram_even(_items(s, d, "l_quantity"), F.col("l_quantity"), 0.0, 50.0, 10),
     "prim_histogram_range": lambda s, d: prim.histogram_range(_items(s, d, "l_quantity"), F.col("l_quantity"), [0.0, 5.0, 20.0, 40.0, 51.0]),
     "prim_partition": lambda s, d: prim.partition3(_items(s, d, "l_quantity"), F.col("l_quantity") < 10, F.col("l_quantity") < 40).groupBy("part").agg(F.count("*").alias("n")),
@@ -267,6 +288,13 @@ _SQL = {
     "prim_reduce_by_key": f"WITH {_RUNS} SELECT run, any_value(l_returnflag) AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM n GROUP BY run",
     "prim_rle": f"WITH {_RUNS} SELECT run, any_value(l_returnflag) AS value, count(*) AS length FROM n GROUP BY run",
     "prim_rle_nontrivial": f"WITH {_RUNS} SELECT run, any_value(l_returnflag) AS value, count(*) AS length FROM n GROUP BY run HAVING count(*) > 1",
+    "prim_select_unique_all": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, run FROM n WHERE head = 1",
+    "prim_exclusive_sum_all": f"SELECT {_ALL_ORDER}, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total FROM {_ALL_ROWS}",
+    "prim_inclusive_sum_all": f"SELECT {_ALL_ORDER}, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM {_ALL_ROWS}",
+    "prim_reduce_by_key_all": f"WITH {_ALL_RUNS} SELECT run, any_value(l_returnflag) AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM n GROUP BY run",
+    "prim_rle_all": f"WITH {_ALL_RUNS} SELECT run, any_value(l_returnflag) AS value, count(*) AS length FROM n GROUP BY run",
+    "prim_rle_nontrivial_all": f"WITH {_ALL_RUNS} SELECT run, any_value(l_returnflag) AS value, count(*) AS length FROM n GROUP BY run HAVING count(*) > 1",
+    "prim_adjacent_diff_all": f"SELECT {_ALL_ORDER}, CAST(l_quantity AS BIGINT) - coalesce(lag(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy), 0) AS diff FROM {_ALL_ROWS}",
     "prim_histogram": "SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 1",
     "prim_histogram_range": "SELECT CAST((l_quantity >= 5)::INT + (l_quantity >= 20)::INT + (l_quantity >= 40)::INT AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 51 GROUP BY 1",
     "prim_partition": "SELECT CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 40 THEN 1 ELSE 2 END AS INTEGER) AS part, count(*) AS n FROM lineitem GROUP BY 1",

@@ -90,3 +90,15 @@ def test_runs(ordered, rows):
 def test_empty_order(spark):
     o = prim.Ordered(spark.createDataFrame([], "k int, c string, n bigint"), "k")
     assert o.scan(F.col("n"), "s").collect() == [] and prim.run_lengths(o, "c").collect() == []
+
+
+def test_tied_rows_are_kept(spark, tmp_path):
+    """Rows that tie in order, line, flag and quantity, some of them equal in every column."""
+    made = [(1, 1, "A", 5.0, p) for p in (7, 7, 7, 8)] + [(1, 2, "A", 5.0, 7)] + [(2, 1, "R", 3.0, p) for p in (9, 9)]
+    rows = [(*r, 1, 1.0, 0.0, 0.0, "O", "d") for r in made]
+    spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(catalog._ALL, ["bigint", "int", "string", "double", "bigint", "bigint", "double", "double", "double", "string", "string"], strict=True))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda q: catalog.QUERIES[q](spark, str(tmp_path)).collect()
+    assert sorted(r["total"] for r in run("prim_inclusive_sum_all")) == [5, 10, 15, 20, 25, 28, 31]
+    assert sorted(r["diff"] for r in run("prim_adjacent_diff_all")) == [-2, 0, 0, 0, 0, 0, 5]
+    assert sorted((r["run"], r["length"]) for r in run("prim_rle_all")) == [(1, 5), (2, 2)]
+    assert sorted((r["key"], r["total"]) for r in run("prim_reduce_by_key_all")) == [("A", 25), ("R", 6)]
