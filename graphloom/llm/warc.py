@@ -25,6 +25,7 @@ import base64
 import hashlib
 import re
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,7 +39,7 @@ VERSION = b"WARC/1.1\r\n"
 RANGE_BYTES = 8 << 20
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
-#: No header block is longer; urls are checked against it on writing.
+#: Header blocks beyond this are fetched on while all their lines are header lines.
 MOST_HEADER = 64 << 10
 
 
@@ -50,7 +51,7 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
     """One WARC record: a response with its payload, or a revisit without it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    uri = re.sub(r"[\r\n\s]", "", url or "")[: MOST_HEADER // 8] or "about:blank"
+    uri = re.sub(r"\s", lambda m: quote(m[0]), url or "") or "about:blank"
     head = [
         b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"),
         b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")).encode(),
@@ -59,6 +60,9 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
         b"WARC-Payload-Digest: sha1:" + sha1.encode(),
         b"X-Page-Id: " + (b"" if page_id is None else b"%d" % page_id),
     ]
+    if url and uri != url:
+        # White space has no place in a URI: the url as it was goes along.
+        head.append(b"X-Page-Url: " + quote(url).encode())
     if refers_to is not None:
         head += [b"WARC-Profile: " + _PROFILE, b"X-Refers-To-Page-Id: %d" % refers_to]
     head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
@@ -115,12 +119,14 @@ class _Window:
     def header(self, offset: int, head: bytes | None = None) -> tuple[bytes, int, int] | None:
         """Header, offset of the block and of the successor, if a record may start here."""
         head = head if head is not None else self.at(offset, 4096)
-        end = head.find(b"\r\n\r\n")
-        if end < 0:
-            head = self.at(offset, MOST_HEADER)
-            end = head.find(b"\r\n\r\n")
-        if not head.startswith(VERSION) or end < 0:
+        if not head.startswith(VERSION):
             return None
+        while (end := head.find(b"\r\n\r\n")) < 0:
+            if offset + len(head) >= self.size:
+                return None
+            if len(head) >= MOST_HEADER and any(b":" not in line for line in head[len(VERSION) :].split(b"\r\n")[:-1]):
+                return None
+            head = self.at(offset, 4 * len(head))
         length = _LENGTH.search(head, 0, end)
         if not length:
             return None
@@ -218,7 +224,7 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]]
                     if kind == "response" and digest(payload) != sha1:
                         raise ValueError(f"{name}: the payload before {at} differs from its digest")
                     n = len(payload) if kind == "response" else int(_LENGTH.search(b"\r\n" + http)[1])
-                    rows.append((int(page) if page else None, f[b"warc-target-uri"].decode(), payload if kind == "response" else None, n, sha1, kind, int(ref) if ref else None))
+                    rows.append((int(page) if page else None, unquote(f[b"x-page-url"].decode()) if b"x-page-url" in f else f[b"warc-target-uri"].decode(), payload if kind == "response" else None, n, sha1, kind, int(ref) if ref else None))
                     held += len(body)
                     if held > RANGE_BYTES:
                         yield batch_of(rows)

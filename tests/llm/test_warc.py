@@ -41,5 +41,12 @@ def test_round_trip(spark, step, least):
         assert payload.get(r["page_id"], b"") in (b"", (r["html"] or "").encode())
 
 
+def test_urls_come_back_whole(spark):
+    urls = ["http://h/" + "q" * 9_000, "http://h/" + "é" * 100_000, "http://h/a b\tc%20d", " http://h/x\r\n\r\ny ", "http://h/%20"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["url"] for r in warc.round_trip(df, step=4096).collect()}
+    assert [got[i] for i in range(len(urls))] == urls
+
+
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark).limit(0)).collect() == []
