@@ -243,6 +243,7 @@ QUERIES = {
     "prim_histogram": lambda s, d: prim.histogram_even(_items(s, d, "l_quantity"), F.col("l_quantity"), 0.0, 50.0, 10),
     "prim_histogram_range": lambda s, d: prim.histogram_range(_items(s, d, "l_quantity"), F.col("l_quantity"), [0.0, 5.0, 20.0, 40.0, 51.0]),
     "prim_partition": lambda s, d: prim.partition3(_items(s, d, "l_quantity"), F.col("l_quantity") < 10, F.col("l_quantity") < 40).groupBy("part").agg(F.count("*").alias("n")),
+    "prim_partition_rows": lambda s, d: prim.partition3(_items(s, d, "l_quantity"), F.col("l_quantity") < 10, F.col("l_quantity") < 40),
     "prim_adjacent_diff": lambda s, d: _ordered(s, d, "l_quantity").before(_qty(), "_b").select("l_orderkey", "l_linenumber", "l_quantity", (_qty() - F.coalesce("_b", F.lit(0))).alias("diff")),
     "prim_segmented_reduce": lambda s, d: _items(s, d, "l_quantity").groupBy("l_orderkey").agg(F.sum(_qty()).alias("total"), F.min(_qty()).alias("least"), F.max(_qty()).alias("most")),
     "prim_segmented_sort": lambda s, d: prim.segmented_sort(_orders(s, d).select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", F.desc("o_totalprice"), "o_orderkey"),
@@ -298,6 +299,7 @@ _SQL = {
     "prim_histogram": "SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 1",
     "prim_histogram_range": "SELECT CAST((l_quantity >= 5)::INT + (l_quantity >= 20)::INT + (l_quantity >= 40)::INT AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 51 GROUP BY 1",
     "prim_partition": "SELECT CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 40 THEN 1 ELSE 2 END AS INTEGER) AS part, count(*) AS n FROM lineitem GROUP BY 1",
+    "prim_partition_rows": "SELECT l_orderkey, l_linenumber, l_quantity, CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 40 THEN 1 ELSE 2 END AS INTEGER) AS part FROM lineitem",
     "prim_adjacent_diff": f"SELECT *, CAST(l_quantity AS BIGINT) - coalesce(lag(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_QTY_ORDER}), 0) AS diff FROM {_QTY_ROWS}",
     "prim_segmented_reduce": "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, min(CAST(l_quantity AS BIGINT)) AS least, max(CAST(l_quantity AS BIGINT)) AS most FROM lineitem GROUP BY l_orderkey",
     "prim_segmented_sort": "SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS position FROM orders",

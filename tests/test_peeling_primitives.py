@@ -102,3 +102,10 @@ def test_tied_rows_are_kept(spark, tmp_path):
     assert sorted(r["diff"] for r in run("prim_adjacent_diff_all")) == [-2, 0, 0, 0, 0, 0, 5]
     assert sorted((r["run"], r["length"]) for r in run("prim_rle_all")) == [(1, 5), (2, 2)]
     assert sorted((r["key"], r["total"]) for r in run("prim_reduce_by_key_all")) == [("A", 25), ("R", 6)]
+
+
+def test_partition_returns_rows(spark, tmp_path):
+    rows = [(1, 1, 9.0), (1, 2, 10.0), (1, 2, 10.0), (2, 1, 40.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["prim_partition_rows"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(*r, part) for r, part in zip(rows, (0, 1, 1, 2), strict=True)]
