@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.sources.shared import new_path, remove, shared_dir, written
 
-__all__ = ["new_path", "remove", "shared_dir", "shuffle_partitions", "table", "tokenizer_path", "written"]
+__all__ = ["HOT_KEYS", "new_path", "remove", "shared_dir", "shuffle_partitions", "spread_join", "table", "tokenizer_path", "written"]
+
+#: Most keys that ``spread_join`` broadcasts.
+HOT_KEYS = 1_000
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", hot: int = HOT_KEYS) -> DataFrame:
+    """rows joined with few, which has one row for a key and the number ``k`` of its rows in rows.
+
+    A key with more than one in ``hot`` of all rows would fill a task.  There are fewer
+    than ``hot`` such keys, which proves the bound of the broadcast; the other keys are
+    shuffled as usual.  k is dropped.  Both tables should be written, as they are read twice.
+    """
+    total = few.agg(F.sum("k")).first()[0] or 0
+    many = few.filter(F.col("k") > total / hot).drop("k")
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(many), key).unionByName(rest.join(few.filter(F.col("k") <= total / hot).drop("k"), key, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

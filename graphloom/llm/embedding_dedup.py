@@ -1,26 +1,33 @@
 """Near-duplicate embeddings through an inverted multi-index.
 
 Vectors are scaled to length 1 and cut in halves; each half has its own codebook, and
-the pairs of codewords form a grid of cells.  A vector is indexed under its nearest
-cell and, by a multi-sequence traversal of the two sorted codeword lists, under every
-further cell whose distance exceeds the nearest one's by at most a margin.  Vectors
-that share a cell are compared in double precision; a pair is counted in the first
-cell that they share.  No list, cell or partner count is capped.
-
-The codebooks are fitted to a bounded sample.  The margin is the largest of those at
-which two kinds of pairs share a cell with the target recall, and half as much again:
-pairs made up at the least cosine around every sampled vector, so that no luck is
-needed where true pairs are rare; and pairs of ``probes`` vectors, compared with all
-vectors by brute force, where every probe weighs the same.  Made-up pairs are weighed
-by vectors and by cells, so that no crowded group sets the margin for the others.
-
-Cells of more than ``most`` members are compared by blocks of them in tasks of their
-own.  Tasks pass on link counts and a spanning forest, not pairs.  Equal vectors are
-indexed once and counted by their number.
+the pairs of codewords form a grid of cells.  A vector is indexed under its ``visits``
+nearest cells, found by walking the two sorted codeword lists together (multi-sequence
+traversal).  Vectors that share a cell are compared in double precision, and a pair is
+counted in the first cell that they share.  No list, cell or partner count is capped.
+
+The codebooks are fitted to a bounded sample and grow with the number of vectors.  The
+number of visits is the least at which made-up pairs at exactly the least cosine share
+a cell with the target recall.  Such pairs are made around sampled vectors, off in any
+direction, in directions in which the data differ, and towards a near neighbour, so no
+luck is needed where true pairs are rare; they are weighed by vectors and by cells, so
+that no crowded group sets the number for the others.
+
+Crowds need no comparing: vectors within half the angle of a pivot all link with each
+other.  Sampled vectors with many such neighbours become pivots of *balls*.  Members of
+a ball leave the index and are counted by their number; a vector outside meets the
+shells of every ball within reach, and is compared only with those shells for which
+the triangle bounds on angles leave it open whether all or none of them link.
+
+Equal vectors are indexed once and counted by their number.  Tasks pass on link counts
+and a spanning forest, not pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite parts
 link with nothing and are kept; only vectors of equal length are compared; repeated
-rows link with each other; an empty table gives no rows.
+rows link with each other, rows of one id each by its own vector; a null id is no
+component id unless no other is in reach; very long vectors only make the sample
+smaller; an empty table gives no rows.  Only the id and the vector are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -29,101 +36,99 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import written
+from graphloom.llm.common import spread_join, written
 from graphloom.llm.links import Forest, components
 
-SAMPLE = 8_192  # vectors to which the codebooks are fitted
-PROBES = 256  # vectors whose true neighbours set the margin
-PER_CELL = 64
-MOST = 2_048
-TARGET_RECALL = 0.999
-_BINS = 400
-_BIN_WIDTH = 0.005
+SAMPLE = 8_192  # vectors to which the codebooks are fitted, at least ...
+PER_WORD = 16  # ... and for each codeword
+SAMPLE_NUMBERS = 1 << 24  # bound of the sample, in vector components
+MOST_WORDS = 8_192  # codewords of a half
+PER_CELL = 4  # vectors for each cell of the grid, counted once
+MOST = 2_048  # members of a cell, or of a side of a comparison, in one task
+BUCKET = 32_768  # rows of cells that travel together
+TARGET_RECALL = 0.995  # of pairs at exactly the least cosine
+CROWD = 8  # sampled neighbours of a pivot
+SHELLS = 16
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and vec (array of doubles) of the vectors that can link at all."""
-    v = F.col(vec_col)
-    rows = df.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("vec"))
-    # try_divide and the like are not needed: NaN and infinities are found by comparison.
+    """vec_id and vec of all rows; vec is null where the vector cannot link at all."""
+    element = getattr(df.schema[vec_col].dataType, "elementType", None)
+    kind = "float" if isinstance(element, T.FloatType) else "double"
+    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.filter(F.col("vec").isNotNull()).filter(finite).filter(F.exists("vec", lambda x: x != 0))
+    return rows.withColumn("vec", F.when(finite & F.exists("vec", lambda x: x != 0), F.col("vec")))
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def units(raw: np.ndarray) -> np.ndarray:
+    flat = raw.astype(np.float64)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # no overflow of squares
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """k codewords by Lloyd's rounds from a random start."""
-    rng = np.random.default_rng(seed)
-    words = points[rng.choice(len(points), min(k, len(points)), replace=False)]
-    for _ in range(rounds):
-        near = squared(points, words).argmin(1)
-        count = np.bincount(near, minlength=len(words))
-        sums = np.zeros_like(words)
-        np.add.at(sums, near, points)
-        words = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], words)
-    return words
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def squared(points: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (points**2).sum(1)[:, None] - 2 * points @ words.T + (words**2).sum(1)[None, :]
 
 
-def traverse(first: np.ndarray, second: np.ndarray, margin: float) -> list[np.ndarray]:
-    """For each row, the cells whose distance is within the margin of the nearest, nearest first.
+def _parts(n: int, step: int = 2_000):
+    return (slice(s, s + step) for s in range(0, n, step))
 
-    first and second hold the squared distances to the codewords of either half.  The
-    sorted lists are walked together: the j-th codeword of the second half is tried
-    only while the sum with the best of the first half stays within the margin.
-    """
-    k2 = second.shape[1]
-    o1, o2 = np.argsort(first, 1, kind="stable"), np.argsort(second, 1, kind="stable")
-    d1 = np.take_along_axis(first, o1, 1)
-    d2 = np.take_along_axis(second, o2, 1)
-    e1, e2 = d1 - d1[:, :1], d2 - d2[:, :1]
-    out = []
-    for r in range(len(first)):
-        a, b = e1[r, : np.searchsorted(e1[r], margin, "right")], e2[r, : np.searchsorted(e2[r], margin, "right")]
-        sums = a[:, None] + b[None, :]
-        i, j = np.nonzero(sums <= margin)
-        order = np.argsort(sums[i, j], kind="stable")
-        out.append((o1[r, i] * k2 + o2[r, j])[order])
-    return out
 
+def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """k codewords by Lloyd's rounds from a random start."""
+    rng = np.random.default_rng(seed)
+    words = points[rng.choice(len(points), min(k, len(points)), replace=False)]
+    for _ in range(rounds):
+        near = np.concatenate([squared(points[p], words).argmin(1) for p in _parts(len(points))])
+        order = np.argsort(near, kind="stable")
+        held, at = np.unique(near[order], return_index=True)
+        words = words.copy()
+        words[held] = np.add.reduceat(points[order], at) / np.diff(np.append(at, len(order)))[:, None]
+    return words
 
-def excess(x: np.ndarray, y: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least margin at which x[k] and y[k] share a cell, for all k."""
-    total = np.zeros(len(x))
-    half = x.shape[1] // 2
-    for w, s in zip(words, (slice(None, half), slice(half, None)), strict=True):
-        a, b = squared(x[:, s], w), squared(y[:, s], w)
-        # A shared cell costs either vector its own excess; the halves add up.
-        total += np.maximum(a - a.min(1, keepdims=True), b - b.min(1, keepdims=True)).min(1)
-    return total
 
+def _least(values: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m least values of each row, ascending."""
+    if m < values.shape[1]:
+        some = np.argpartition(values, m - 1, 1)[:, :m]
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(values, some, 1), 1, kind="stable"), 1)
+    return np.argsort(values, 1, kind="stable")
 
-def reaching(values: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """The least of the values up to which the given share of the weight lies; 0 if there are none."""
-    if not len(values):
-        return 0.0
-    order = np.argsort(values, kind="stable")
-    weight = np.cumsum(weights[order])
-    return float(values[order][min(np.searchsorted(weight, share * weight[-1]), len(order) - 1)])
 
+def traverse(x: np.ndarray, words: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
+    """The m nearest cells of each row (all, if there are fewer), nearest first.
 
-def made_up(points: np.ndarray, cosine: float, seed: int = 7) -> list[np.ndarray]:
-    """For each of the points, partners at the cosine: off in any direction, and in directions in which the points differ."""
+    The cell of the i-th nearest codeword of one half and the j-th of the other has
+    i * j cells at least that are as near, itself included, so a walk of m steps never
+    leaves i * j <= m.
+    """
+    half = words[0].shape[1]
+    first, second = squared(x[:, :half], words[0]), squared(x[:, half:], words[1])
+    k1, k2 = first.shape[1], second.shape[1]
+    o1, o2 = _least(first, min(k1, m)), _least(second, min(k2, m))
+    d1, d2 = np.take_along_axis(first, o1, 1), np.take_along_axis(second, o2, 1)
+    i, j = np.nonzero(np.arange(1, o1.shape[1] + 1)[:, None] * np.arange(1, o2.shape[1] + 1)[None, :] <= m)
+    best = _least(d1[:, i] + d2[:, j], min(m, k1 * k2))
+    return np.take_along_axis(o1[:, i].astype(np.int64) * k2 + o2[:, j], best, 1)
+
+
+def made_up(points: np.ndarray, base: np.ndarray, cosine: float, seed: int = 7) -> list[np.ndarray]:
+    """For each of the points, partners at the cosine, off in the directions that the module names."""
     rng = np.random.default_rng(seed)
     # Differences of points, mixed at random, keep to the dimensions that the data use.
-    few = min(64, len(points))
-    apart = points[rng.integers(len(points), size=few)] - points[rng.integers(len(points), size=few)]
+    few = min(64, len(base))
+    apart = base[rng.integers(len(base), size=few)] - base[rng.integers(len(base), size=few)]
+    some = base[rng.choice(len(base), min(len(base), 2_048), replace=False)]
+    near = points @ some.T
+    near[near > 1 - 1e-9] = -2
     out = []
-    for off in (rng.normal(size=points.shape), rng.normal(size=(len(points), few)) @ apart):
+    for off in (rng.normal(size=points.shape), rng.normal(size=(len(points), few)) @ apart, some[near.argmax(1)] - points):
         off = off - (off * points).sum(1, keepdims=True) * points
         length = np.linalg.norm(off, axis=1, keepdims=True)
         off = np.divide(off, length, out=np.zeros_like(off), where=length > 1e-9)
@@ -131,143 +136,257 @@ def made_up(points: np.ndarray, cosine: float, seed: int = 7) -> list[np.ndarray
     return out
 
 
-def least_margin(points: np.ndarray, words: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
-    """The margin at which made-up pairs share a cell with the recall, counted by vectors and by cells."""
-    half = points.shape[1] // 2
-    parts = [slice(s, s + 2_000) for s in range(0, len(points), 2_000)]
-    cell = np.concatenate([squared(points[p, :half], words[0]).argmin(1) * len(words[1]) + squared(points[p, half:], words[1]).argmin(1) for p in parts])
-    _, at, crowd = np.unique(cell, return_inverse=True, return_counts=True)
-    least = 0.0
-    for partners in made_up(points, cosine):
-        e = np.concatenate([excess(points[p], partners[p], words) for p in parts])
-        least = max(least, reaching(e, np.ones(len(e)), recall), reaching(e, 1 / crowd[at], recall))
-    return least
-
-
-def fitted(vectors: DataFrame, n: int, dim: int, cosine: float, sample: int, probes: int, recall: float):
-    """Codebooks of both halves and the margin."""
+def reaching(values: np.ndarray, weights: np.ndarray, share: float) -> int:
+    """The least of the values up to which the given share of the weight lies."""
+    order = np.argsort(values, kind="stable")
+    weight = np.cumsum(weights[order])
+    return int(values[order][min(np.searchsorted(weight, share * weight[-1]), len(order) - 1)])
+
+
+def meeting(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """For lists of cells, nearest first: the visits after which x[k] and y[k] share one; most + 1 if never."""
+    steps = np.maximum(np.arange(1, x.shape[1] + 1)[:, None], np.arange(1, y.shape[1] + 1)[None, :])
+    return np.concatenate([np.where(x[p, :, None] == y[p, None, :], steps, most + 1).min((1, 2)) for p in _parts(len(x), 500)])
+
+
+def visits(points: np.ndarray, words: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, tried: int = 4_000) -> int:
+    """The visits with which made-up pairs meet with the recall, counted by vectors and by cells."""
+    q = points[np.random.default_rng(5).choice(len(points), min(tried, len(points)), replace=False)]
+    pairs, cells, m = made_up(q, points, cosine), len(words[0]) * len(words[1]), 16
+    while True:
+        m = min(m, cells)
+        own = traverse(q, words, m)
+        _, at, crowd = np.unique(own[:, 0], return_inverse=True, return_counts=True)
+        need = 1
+        for y in pairs:
+            met = meeting(own, traverse(y, words, m), m)
+            need = max(need, reaching(met, np.ones(len(q)), recall), reaching(met, 1 / crowd[at], recall))
+        if need <= m or m == cells:
+            return min(need, cells)
+        m *= 2
+
+
+def pivots(points: np.ndarray, cosine: float, crowd: int = CROWD) -> np.ndarray:
+    """Sampled vectors that many others surround within half the angle; each of the crowd is covered once."""
+    points = points[:SAMPLE]
+    near = np.concatenate([points[p] @ points.T >= half_cosine(cosine) for p in _parts(len(points))])
+    count, out = near.sum(1), []
+    while len(count) and count.max() > crowd:
+        k = int(count.argmax())
+        out.append(points[k])
+        gone = np.flatnonzero(near[k])
+        count -= near[:, gone].sum(1)
+        near[:, gone] = False
+        count[gone] = 0
+    return np.array(out).reshape(-1, points.shape[1])
+
+
+def half_cosine(cosine: float) -> float:
+    """Two vectors with this cosine to a third have the given cosine at least."""
+    return ((1 + cosine) / 2) ** 0.5 + 1e-9
+
+
+def fitted(vectors: DataFrame, n: int, dim: int, cosine: float, recall: float, crowd: int):
+    """Codebooks of both halves, number of visits, and pivots."""
+    k = int(np.clip(round((n / PER_CELL) ** 0.5), 1, MOST_WORDS))
+    sample = max(1, min(max(SAMPLE, PER_WORD * k), SAMPLE_NUMBERS // dim))
     share = min(1.0, sample / max(n, 1))
     picked = vectors.filter(F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample)
     rows = picked.select("vec").toArrow()  # at most twice the sample
-    points = matrix(rows.column("vec").combine_chunks(), dim) if rows.num_rows else np.eye(1, dim)
+    points = units(matrix(rows.column("vec").combine_chunks(), dim)) if rows.num_rows else np.eye(1, dim)
     points = points[np.lexsort(points.T)]
-    half = dim // 2
-    k = int(np.clip(round((n / PER_CELL) ** 0.5), 1, 512))
+    points = points[np.random.default_rng(1).permutation(len(points))]
+    half, k = dim // 2, max(1, min(k, len(points) // 4))
     words = (codebook(points[:, :half], k), codebook(points[:, half:], k))
-    asked = points[np.random.default_rng(5).choice(len(points), min(probes, len(points)), replace=False)]
-    shared = vectors.sparkSession.sparkContext.broadcast((asked, words))
-
-    def margins(batches):
-        (q, w) = shared.value
-        counts = np.zeros((len(q), _BINS), np.int64)
-        for b in batches:
-            y = matrix(b.column("vec"), dim)
-            i, j = np.nonzero(q @ y.T >= cosine)
-            apart = np.abs(q[i] - y[j]).max(1) > 0
-            i, j = i[apart], j[apart]
-            for s in range(0, len(i), 20_000):
-                p = slice(s, s + 20_000)
-                e = excess(q[i[p]], y[j[p]], w)
-                np.add.at(counts, (i[p], np.minimum(np.ceil(e / _BIN_WIDTH).astype(int), _BINS - 1)), 1)
-        probe, at = np.nonzero(counts)
-        yield pa.RecordBatch.from_pydict({"probe": pa.array(probe, pa.int64()), "bin": pa.array(at, pa.int64()), "n": pa.array(counts[probe, at], pa.int64())})
-
-    found = vectors.select("vec").mapInArrow(margins, "probe bigint, bin bigint, n bigint").groupBy("probe", "bin").agg(F.sum("n").alias("n")).collect()
-    # At most one row for each probe and bin.
-    probe, at, n_pairs = (np.array([r[c] for r in found], np.int64) for c in ("probe", "bin", "n"))
-    each = n_pairs / np.bincount(probe, n_pairs, len(asked))[probe]
-    margin = max(_BIN_WIDTH, reaching(at * _BIN_WIDTH, n_pairs, recall), reaching(at * _BIN_WIDTH, each, recall), least_margin(points, words, cosine, recall))
-    return words, 1.5 * margin
-
-
-def cell_links(vectors: DataFrame, words, margin: float, dim: int, cosine: float, most: int) -> DataFrame:
-    """Rows (vec_id, n, other): n links more for a class of equal vectors; or, if other is set, a link."""
-    spark = vectors.sparkSession
-    half = dim // 2
-    shared = spark.sparkContext.broadcast(words)
+    return words, visits(points, words, cosine, recall), pivots(points, cosine, crowd)
+
+
+def _result(ids: np.ndarray, links: np.ndarray, forest: Forest) -> pa.Table:
+    """Rows (node, n, other) of what a task has found."""
+    root = forest.roots()
+    tied, counted = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(links)
+    other = pa.chunked_array([pa.nulls(len(counted), pa.int64()), pa.array(ids[root[tied]], pa.int64())])
+    return pa.table({"node": np.concatenate([ids[counted], ids[tied]]), "n": np.concatenate([links[counted], np.zeros(len(tied), np.int64)]), "other": other})
+
+
+_FOUND = "node bigint, n bigint, other bigint"
+
+
+def _blocks(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """The rows with their block (by a hash of the node) among the ``parts`` of their group."""
+    large = rows.groupBy(*keys).count().filter(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    out = rows.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return out.withColumn(name, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def cell_links(vectors: DataFrame, n: int, words, m: int, dim: int, cosine: float, most: int) -> DataFrame:
+    """Rows (node, n, other): n links more for a class of equal vectors; or, if other is set, a link."""
+    shared = vectors.sparkSession.sparkContext.broadcast(words)
 
     def index(batches):
-        w = shared.value
         for whole in batches:
             for s in range(0, whole.num_rows, 2_000):
                 b = whole.slice(s, 2_000)
-                x = matrix(b.column("vec"), dim)
-                cells = traverse(squared(x[:, :half], w[0]), squared(x[:, half:], w[1]), margin)
-                sizes = [len(c) for c in cells]
-                row = np.repeat(np.arange(len(x)), sizes)
-                lists = pa.array([np.sort(c).astype("<i4").tobytes() for c in cells], pa.binary())
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate(cells), pa.int64()), "vec_id": b.column("vec_id").take(pa.array(row)), "copies": b.column("copies").take(pa.array(row)), "unit": pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(row)), "cells": lists.take(pa.array(row))})
-
-    placed, _ = written(vectors.mapInArrow(index, "cell bigint, vec_id bigint, copies bigint, unit binary, cells binary"), "imi-cells")
-    large = placed.groupBy("cell").count().filter(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    part = placed.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = part.withColumn("p", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+                raw = matrix(b.column("vec"), dim)
+                cells = np.sort(traverse(units(raw), shared.value, m), 1)
+                row = pa.array(np.repeat(np.arange(len(raw)), cells.shape[1]))
+                lists = pa.array([c.tobytes() for c in cells.astype("<i4")], pa.binary())
+                data = pa.array([v.tobytes() for v in raw], pa.binary())
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.ravel().astype(np.int32)), "node": b.column("node").take(row), "copies": b.column("copies").take(row), "raw": data.take(row), "cells": lists.take(row)})
+
+    kind = "<f4" if isinstance(vectors.schema["vec"].dataType.elementType, T.FloatType) else "<f8"
+    placed, _ = written(vectors.mapInArrow(index, "cell int, node bigint, copies bigint, raw binary, cells binary"), "imi-cells")
+    part = _blocks(placed, ["cell"], most, "p")
     spread = part.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q")).drop("q", "parts")
+    # Many small cells make one group, so that each costs no call of its own.
+    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(max(1, n * m // BUCKET))))
 
-    def compare(key, t):
-        cell, lo, hi = (k.as_py() for k in key)
-        ids = t.column("vec_id").to_numpy()
-        copies = t.column("copies").to_numpy()
-        part = t.column("p").to_numpy()
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(ids), dim)
-        lists = [np.frombuffer(c, "<i4") for c in t.column("cells").to_pylist()]
+    def compare_cell(cell, lo, hi, ids, copies, part, raw, lists):
+        x = units(raw)
         links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         left = np.arange(len(ids)) if lo == hi else np.flatnonzero(part == lo)
         right = left if lo == hi else np.flatnonzero(part == hi)
-        # A pair is counted here if it shares no earlier cell; these are kept as bits.
-        early = [c[: np.searchsorted(c, cell)] for c in lists]
-        known, at = np.unique(np.concatenate(early), return_inverse=True)
-        bits = np.zeros((len(ids), -(-len(known) // 8)), np.uint8)
-        np.bitwise_or.at(bits, (np.repeat(np.arange(len(ids)), [len(c) for c in early]), at >> 3), (1 << (at & 7)).astype(np.uint8))
-        step = max(1, (1 << 24) // max(1, bits.shape[1]))
+        # A pair is counted here if it shares no earlier cell.
+        early = np.where(lists < cell, lists, -1)
         for s in range(0, len(left), 512):
             a = left[s : s + 512]
             i, j = np.nonzero(x[a] @ x[right].T >= cosine)
             i, j = a[i], right[j]
             if lo == hi:
                 i, j = i[i < j], j[i < j]
-            ok = [~(bits[i[k : k + step]] & bits[j[k : k + step]]).any(1) for k in range(0, len(i), step)]
-            ok = np.concatenate([np.ones(0, bool), *ok])
-            i, j = i[ok], j[ok]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
+            fresh = np.ones(len(i), bool)
+            for k in range(0, len(i), 50_000):
+                p = slice(k, k + 50_000)
+                for c in range(early.shape[1]):
+                    fresh[p] &= ~((early[i[p], c, None] == early[j[p]]) & (early[i[p], c, None] >= 0)).any(1)
+            i, j = i[fresh], j[fresh]
+            links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            forest.join(i, j)
+        return _result(ids, links, forest)
+
+    def compare(t):
+        cell, lo, hi = (t.column(c).to_numpy() for c in ("cell", "lo", "hi"))
+        order = np.lexsort((hi, lo, cell))
+        ids, copies, part = (t.column(c).to_numpy()[order] for c in ("node", "copies", "p"))
+        raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), kind).reshape(-1, dim)[order]
+        lists = np.frombuffer(b"".join(t.column("cells").to_pylist()), "<i4").reshape(len(ids), -1)[order]
+        cell, lo, hi = cell[order], lo[order], hi[order]
+        head = np.flatnonzero(np.diff(cell, prepend=-1) | np.diff(lo, prepend=-1) | np.diff(hi, prepend=-1))
+        out = [pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())]).empty_table()]
+        for a, z in zip(head, np.append(head[1:], len(ids)), strict=True):
+            if z - a > 1:
+                p = slice(a, z)
+                out.append(compare_cell(cell[a], lo[a], hi[a], ids[p], copies[p], part[p], raw[p], lists[p]))
+        return pa.concat_tables(out)
+
+    return spread.groupBy("bucket").applyInArrow(compare, _FOUND)
+
+
+def ball_links(vectors: DataFrame, at: np.ndarray, dim: int, cosine: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors outside all balls, and rows (node, n, other) of all pairs with a member of a ball."""
+    shared = vectors.sparkSession.sparkContext.broadcast(at)
+    whole, inner = np.arccos(cosine), np.arccos(half_cosine(cosine))
+    width, far = np.arccos(half_cosine(cosine) - 1e-9) / SHELLS, np.cos(min(np.pi, whole + inner + 1e-6))
+    upper = width * np.arange(1, SHELLS + 1)
+
+    def place(batches):
+        """One row for a vector's own ball (or none), and one for each shell that it visits."""
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2_000):
+                b = batch.slice(s, 2_000)
+                raw = matrix(b.column("vec"), dim)
+                dots = units(raw) @ shared.value.T
+                home = np.where(dots.max(1) >= half_cosine(cosine), dots.argmax(1), -1)
+                angle = np.arccos(np.clip(dots, -1, 1))
+                rows, balls = np.nonzero((dots >= far) & ((home[:, None] < 0) | (home[:, None] > np.arange(dots.shape[1])[None, :])))
+                alpha = angle[rows, balls]
+                v, shell = np.nonzero(alpha[:, None] - upper[None, :] <= whole + 1e-6)
+                every = alpha[v] + upper[shell] <= whole - 1e-6
+                own = np.where(home >= 0, angle[np.arange(len(raw)), home] / width, 0).astype(int).clip(0, SHELLS - 1)
+                row = np.concatenate([np.arange(len(raw)), rows[v]])
+                role = np.concatenate([np.where(home >= 0, 0, 3), np.where(every, 1, 2)])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "role": pa.array(role, pa.int32()),
+                        "ball": pa.array(np.concatenate([home, balls[v]]), pa.int32()),
+                        "shell": pa.array(np.concatenate([own, shell]), pa.int32()),
+                        "node": b.column("node").take(pa.array(row)),
+                        "copies": b.column("copies").take(pa.array(row)),
+                        # Those who meet a shell as a whole need no vector.
+                        "vec": b.column("vec").take(pa.array(row, mask=role == 1)),
+                    }
+                )
+
+    kind = vectors.schema["vec"].dataType
+    placed, _ = written(vectors.mapInArrow(place, f"role int, ball int, shell int, node bigint, copies bigint, vec {kind.simpleString()}"), "imi-balls", "role")
+    member, meets, compares = (placed.filter(F.col("role") == r).drop("role") for r in (0, 1, 2))
+    outside = placed.filter("role = 3").select("node", "copies", "vec")
+    # At most one row for each pivot and shell: a proven bound for the broadcasts.
+    shells, _ = written(member.groupBy("ball", "shell").agg(F.sum("copies").alias("k"), F.min("node").alias("least")), "imi-shells")
+    balls = shells.groupBy("ball").agg(F.sum("k").alias("k"), F.min("least").alias("least"))
+    none = F.lit(None).cast("bigint")
+    link = lambda df, n, other: df.select("node", n.cast("bigint").alias("n"), other.cast("bigint").alias("other"))
+    inside = member.join(F.broadcast(balls), "ball")
+    met = meets.join(F.broadcast(shells), ["ball", "shell"])
+    taken = meets.groupBy("ball", "shell").agg(F.sum("copies").alias("taken"))
+    out = link(inside, F.col("k") - F.col("copies"), none).union(link(inside.filter("node > least"), F.lit(0), F.col("least")))
+    out = out.union(link(met, F.col("k"), none)).union(link(met, F.lit(0), F.col("least")))
+    out = out.union(link(member.join(F.broadcast(taken), ["ball", "shell"]), F.col("taken"), none))
+
+    # What the bounds leave open, in blocks of members against blocks of visitors.
+    keys = ["ball", "shell"]
+    wanted = compares.join(F.broadcast(shells.select(*keys)), keys, "left_semi")
+    asked = _blocks(wanted, keys, most, "y").withColumnRenamed("parts", "y_parts")
+    held = member.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
+    held = _blocks(held, keys, most, "x").withColumnRenamed("parts", "x_parts")
+    y_parts = asked.groupBy(*keys).agg(F.max("y_parts").alias("y_parts"))
+    x_parts = held.groupBy(*keys).agg(F.max("x_parts").alias("x_parts"))
+    column = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = held.join(F.broadcast(y_parts), keys).withColumn("y", column("y_parts")).withColumn("visitor", F.lit(False))
+    asked = asked.join(F.broadcast(x_parts), keys).withColumn("x", column("x_parts")).withColumn("visitor", F.lit(True))
+    names = [*keys, "x", "y", "visitor", "node", "copies", "vec"]
+
+    def compare(t):
+        ids, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+        visitor = t.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
+        x = units(matrix(t.column("vec").combine_chunks(), dim))
+        links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        left, right = np.flatnonzero(visitor), np.flatnonzero(~visitor)
+        for s in range(0, len(left), 512):
+            a = left[s : s + 512]
+            i, j = np.nonzero(x[a] @ x[right].T >= cosine)
+            i, j = a[i], right[j]
+            links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
             forest.join(i, j)
-        root = forest.roots()
-        tied, counted = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(links)
-        none = pa.nulls(len(counted), pa.int64())
-        return pa.table(
-            {
-                "vec_id": np.concatenate([ids[counted], ids[tied]]),
-                "n": np.concatenate([links[counted], np.zeros(len(tied), np.int64)]),
-                "other": pa.chunked_array([none, pa.array(ids[root[tied]], pa.int64())]),
-            }
-        )
+        return _result(ids, links, forest)
 
-    return spread.groupBy("cell", "lo", "hi").applyInArrow(compare, "vec_id bigint, n bigint, other bigint")
+    open_ = held.select(*names).union(asked.select(*names)).groupBy(*keys, "x", "y").applyInArrow(compare, _FOUND)
+    return outside, out.union(open_)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, recall: float = TARGET_RECALL, sample: int = SAMPLE, probes: int = PROBES, most: int = MOST) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, recall: float = TARGET_RECALL, most: int = MOST, crowd: int = CROWD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of df."""
     spark = df.sparkSession
-    good = usable(df, id_col, vec_col)
-    # Rows by their vector; the class of equal vectors is named by its least id.
-    keyed, _ = written(good.withColumn("key", F.sha2(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))), 256)), "imi-vectors")
-    # Only vec and its key travel on; first() is sound as the vectors of a key are equal.
-    classes, _ = written(keyed.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "imi-classes")
-    found, members = None, None
+    rows, _ = written(usable(df, id_col, vec_col), "imi-vectors")
+    # Equal vectors make one class; it is numbered once, in the table that is written.
+    classes = rows.filter("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes, _ = written(classes.withColumn("node", F.monotonically_increasing_id()), "imi-classes")
+    found = spark.createDataFrame([], _FOUND)
     for r in classes.groupBy(F.size("vec").alias("dim")).count().collect():  # one row for each vector length
-        same = classes.filter(F.size("vec") == r["dim"]).select("vec_id", "copies", "vec")
-        words, margin = fitted(same, r["count"], r["dim"], cosine, sample, probes, recall)
-        part = cell_links(same, words, margin, r["dim"], cosine, most)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "vec_id bigint, n bigint, other bigint")
+        same, dim = classes.filter(F.size("vec") == r["dim"]).select("node", "copies", "vec"), r["dim"]
+        words, m, at = fitted(same, r["count"], dim, cosine, recall, crowd)
+        if len(at):
+            same, part = ball_links(same, at, dim, cosine, most)
+            found = found.union(part)
+        found = found.union(cell_links(same, r["count"], words, m, dim, cosine, most))
     found, _ = written(found, "imi-links")
-    counts = found.filter("other is null").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    members = components(found.filter("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    told = classes.select("key", "vec_id", "copies").join(counts, "vec_id", "left").join(members.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    told = told.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    linked = keyed.select("vec_id", "key").join(told, "key").filter("n_links > 0").select("vec_id", "n_links", "component_id").distinct()
-    out = df.select(F.col(id_col).alias("vec_id")).join(linked, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    members = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    told, _ = written(classes.join(counts, "node", "left").join(members, "node", "left").select("vec", "least", "copies", "n", F.coalesce("component", "node").alias("component")), "imi-told")
+    of, _ = written(told.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "imi-components")
+    told = spread_join(told, of, "component").select("vec", F.col("copies").alias("k"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    told, _ = written(told.filter("n_links > 0"), "imi-told")
+    out = spread_join(rows, told, "vec", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -19,6 +19,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the smallest node reachable."""
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now, path = written(now, "links")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     sign = None
     for _ in range(most_rounds):
         # Large star: neighbours above a node link to the least of its neighbourhood.

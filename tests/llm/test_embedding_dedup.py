@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import embedding_dedup
@@ -53,33 +54,73 @@ def test_against_brute_force(spark, most):
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(want)
 
 
-def test_recall_on_the_test_data(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    got, want = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())), slow(rows)
-    assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
-    assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
-
-
-def partners(rng, x):
-    """For each row of x, a vector at a cosine of 0.90 to 0.95."""
+def partners(rng, x, top=0.95):
+    """For each row of x, a vector at a cosine from 0.90 to the top."""
     u = rng.normal(size=x.shape)
     u -= (u * x).sum(1, keepdims=True) * x
-    c = rng.uniform(0.9, 0.95, (len(x), 1))
+    c = rng.uniform(0.9, top, (len(x), 1))
     return c * x + np.sqrt(1 - c**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize(("n_hot", "n_pairs"), [(0, 30), (3_000, 100)])
-def test_recall_of_loose_pairs(spark, n_hot, n_pairs):
-    """Pairs that few probes have, alone and beside a tight group that supplies nearly all probe pairs."""
+def frame(spark, rows):
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(list(rows), pa.list_(pa.float64()))})).repartition(4)
+
+
+def counts(rows, cosine=0.9):
+    x = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.concatenate([(x[a : a + 2000] @ x.T >= cosine).sum(1) - 1 for a in range(0, len(x), 2000)])
+
+
+@pytest.mark.parametrize(("seed", "n_pairs"), [(0, 10), (2, 0)])
+def test_recall_of_rare_pairs(spark, seed, n_pairs):
+    """Few pairs, or none, of a cosine of 0.90 to 0.93 among 20,000 vectors: no luck with a sample would find them."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = np.concatenate([x, partners(rng, x[:n_pairs], 0.93)])
+    got = np.array([r["n_links"] for r in embedding_dedup.near_duplicates(frame(spark, rows)).orderBy("vec_id").collect()])
+    want = counts(rows)
+    assert want.sum() >= 2 * n_pairs and (got <= want).all()
+    assert got.sum() >= 0.99 * want.sum()
+
+
+@pytest.mark.parametrize(("n_hot", "n_pairs", "spread"), [(3_000, 100, 0.004), (1_500, 100, 0.022)])
+def test_recall_beside_a_crowd(spark, n_hot, n_pairs, spread):
+    """Loose pairs beside a third of near copies, and the counts of the crowd itself, some of it outside the ball."""
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(9_000 - n_hot, 64))
+    x = rng.normal(size=(3 * n_hot, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    hot = x[:1] + 0.004 * rng.normal(size=(n_hot, 64))
+    hot = x[:1] + spread * rng.normal(size=(n_hot, 64))
     rows = np.concatenate([x, partners(rng, x[1 : n_pairs + 1]), hot])
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id bigint, embedding array<double>").repartition(4)
-    outside = embedding_dedup.near_duplicates(df).filter(f"vec_id between 1 and {len(x) + n_pairs - 1}")
-    assert outside.filter("n_links > 0").count() >= 0.99 * 2 * n_pairs
+    got = np.array([r["n_links"] for r in embedding_dedup.near_duplicates(frame(spark, rows)).orderBy("vec_id").collect()])
+    want = counts(rows)
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum()
+    loose = slice(1, len(x) + n_pairs)
+    assert got[loose].sum() >= 0.98 * want[loose].sum()
+
+
+@pytest.mark.parametrize("most", [50, 2048])
+def test_balls_against_brute_force(spark, most):
+    """Crowds of several widths, some within reach of each other, become balls; every count is still exact."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 16))
+    base[1] = base[0] + 0.5 * rng.normal(size=16) * np.linalg.norm(base[0]) / 4
+    base[2] = base[0] + 0.3 * rng.normal(size=16) * np.linalg.norm(base[0]) / 4
+    rows = np.concatenate([b + w * rng.normal(size=(70, 16)) * np.linalg.norm(b) / 4 for b, w in zip(base, (0.05, 0.1, 0.2, 0.25, 0.3, 1.0), strict=True)])
+    at = embedding_dedup.pivots(embedding_dedup.units(rows), 0.9, 8)
+    assert len(at) >= 4
+    df = frame(spark, np.concatenate([rows, rows[:3]]))
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df, most=most).collect()))
+    want = slow([(r["vec_id"], r["embedding"]) for r in df.collect()])
+    assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+    assert sum(r[1] for r in got) >= 0.998 * sum(r[1] for r in want)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (None, [1.0, 0.01]), (None, [0.0, -1.0]), (9, [0.0, 2.0]), (3, None)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<float>, node string, copies int")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(7, 1, 7, True), (7, 1, 7, True), (None, 1, 7, False), (None, 0, None, True), (9, 1, 7, False), (3, 0, 3, True)], key=repr)
 
 
 def test_empty_and_unusable(spark):
