@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import spread_join, written
+from graphloom.llm.common import shuffle_partitions, spread_join, written
 from graphloom.llm.links import Forest, components
 
 SAMPLE = 8_192  # vectors to which the codebooks are fitted, at least ...
@@ -215,6 +215,7 @@ _FOUND = "node bigint, n bigint, other bigint"
 def _blocks(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
     """The rows with their block (by a hash of the node) among the ``parts`` of their group."""
     large = rows.groupBy(*keys).count().filter(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    large, _ = written(large, "imi-large")  # its true size tells whether rows need a shuffle to meet it
     out = rows.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     return out.withColumn(name, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
@@ -240,7 +241,7 @@ def cell_links(vectors: DataFrame, n: int, words, m: int, dim: int, cosine: floa
     spread = part.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q")).drop("q", "parts")
     # Many small cells make one group, so that each costs no call of its own.
-    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(max(1, n * m // BUCKET))))
+    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(max(2 * shuffle_partitions(vectors.sparkSession), n * m // BUCKET))))
 
     def compare_cell(cell, lo, hi, ids, copies, part, raw, lists):
         x = units(raw)

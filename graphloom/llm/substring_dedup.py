@@ -8,21 +8,26 @@ with a smaller id.  All such strings are found by refining buckets:
    with the same representative are the members of its q-gram bucket.  Only the hashes
    are shuffled; each bucket that more than one document enters answers with one bit
    for every member.
-2. The text of the remaining runs goes to their bucket's task.  There, equal runs
-   become one; then bucket pointers are refined: positions start in buckets by their
-   first 8 bytes, and each round sorts the still shared buckets by the pointers at a
-   later offset (8, 16, then what is lacking), which doubles the depth.  The pointers
-   that a round has updated are those that the next one reads.
-3. The covered spans return to their documents, which are cut.
+2. The text of the remaining runs goes to their bucket's task, but of equal runs of a
+   group of documents only those of the least one: the others are covered whole.  With
+   many groups, equal runs meet once more in between, dealt by bucket and group, so a
+   passage that a third of all documents share reaches its bucket few times.
+3. There, bucket pointers are refined: positions start in buckets by their first 8
+   bytes, and each round sorts the still shared buckets by the pointers at a later
+   offset (8, 16, then what is lacking), which doubles the depth.  The pointers that a
+   round has updated are those that the next one reads.
+4. The covered spans return to their documents, which are cut.
 
 Texts move once, dealt by a hash of the id into groups of bounded size, and every step
 reads that same exchange.  Exact copies are set aside first by their digests: they are
 removed whole, and their windows are represented by the first of them.
 
 Defined results: a null text is empty; a text shorter than ``length`` is kept whole;
-rows with the same doc_id never remove from each other; a null doc_id is kept whole and
+rows with the same doc_id never remove from each other;
+a text of any length is handled in pieces; a null doc_id is kept whole and
 removes from none; the kept bytes need not be valid UTF-8 (``kept_text`` drops broken
-characters); an empty table gives no rows.  Only doc_id and text are read.
+characters); an empty table gives no rows.  Only doc_id and text are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -35,13 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import shuffle_partitions, written
+from graphloom.llm.common import shuffle_partitions, spread_join, written
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a group of documents, and starts of windows handled at a time.
 GROUP_BYTES = 8 << 20
 PIECE = 1 << 20
+#: Window starts of a run that travels as one, and groups whose runs meet before their bucket.
+RUN = 4_096
+MEET = 4_096
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -105,7 +113,17 @@ def runs(text: bytes, length: int, gram: int):
     if not firsts:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
+    first, last, h = np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
+    # Neighbours with one hash are one run: in a row of equal signs every window has a
+    # representative of its own.  Long ones are dealt out in equal steps.
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    first, last, h = first[head], last[np.append(head[1:], len(h)) - 1], h[head]
+    steps = (last - first) // RUN + 1
+    if steps.max() > 1:
+        k = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+        first, last, h = np.repeat(first, steps) + k * RUN, np.repeat(last, steps), np.repeat(h, steps)
+        last = np.minimum(last, first + RUN - 1)
+    return first, last, h
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -231,11 +249,55 @@ class _Group:
         return doc, first, last, hashes.astype(np.uint32), order, bounds
 
 
+class _Runs:
+    """Runs of one bucket's part by the group that they come from; equal runs are stored once."""
+
+    SCHEMA = [("p", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("heads", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("s", pa.int32()), ("settled", pa.binary())]
+    COLUMNS = "p int, g int, n int, m int, heads binary, sizes binary, text binary, s int, settled binary"
+
+    @staticmethod
+    def rows(p: int, gs: list[int], source, doc, ids, first, content, strings: list[bytes], hashes) -> list[tuple]:
+        """A row for each group: its runs of the least documents, and the spans of all other runs."""
+        owner = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(owner, content, ids)
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        settled = ids > owner[content]
+        out = []
+        order = np.argsort(source, kind="stable")
+        bounds = np.searchsorted(source[order], np.arange(len(gs) + 1))
+        for k, g in enumerate(gs):
+            at = order[bounds[k] : bounds[k + 1]]
+            done, at = at[settled[at]], at[~settled[at]]
+            own, which = np.unique(content[at], return_inverse=True)
+            heads = packed(doc[at].astype("<u4"), ids[at].astype("<i8"), first[at].astype("<i8"), which.astype("<u4"))
+            spans = packed(doc[done].astype("<u4"), first[done].astype("<i8"), (first[done] + sizes[content[done]]).astype("<i8"))
+            out.append((p, g, len(at), len(own), heads, packed(sizes[own].astype("<u4"), hashes[own].astype("<u4")), zstandard.compress(b"".join([strings[c] for c in own.tolist()]), 3), len(done), spans))
+        return out
+
+    @staticmethod
+    def read(members: pa.Table):
+        """Groups; source, doc, ids, first and content of each run; strings and hashes of the contents."""
+        number: dict[bytes, int] = {}
+        gs = members.column("g").to_pylist()
+        parts, hashes = [], []
+        for k, (n, m, heads, sizes, text) in enumerate(zip(*(members.column(c).to_pylist() for c in ("n", "m", "heads", "sizes", "text")), strict=True)):
+            doc, ids, first, which = unpacked(heads, ("<u4", n), ("<i8", n), ("<i8", n), ("<u4", n))
+            size, h = unpacked(sizes, ("<u4", m), ("<u4", m))
+            raw, ends = zstandard.decompress(text), np.cumsum(size, dtype=np.int64)
+            content = np.fromiter((number.setdefault(raw[x:y], len(number)) for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, m)
+            hashes.append(np.stack([content, h.astype(np.int64)]))
+            parts.append((np.full(n, k), doc, ids, first, content[which]))
+        of = np.zeros(len(number), np.uint32)
+        for content, h in hashes:
+            of[content] = h
+        return (gs, *(np.concatenate(x) for x in zip(*parts, strict=True)), list(number), of)
+
+
 def _table(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(schema)})
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, meet_groups: int = MEET, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, starts, ends, kept (binary) for every row of docs.
 
     The columns in ``carry`` come along in a struct ``row``; ``kept`` then lacks
@@ -251,9 +313,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     parts = max(2 * shuffle_partitions(spark), total // (group_bytes // 2))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     # Copies: every row whose text a smaller id has too.
-    sums = rows.select("g", "doc_id", "sha")
-    first = sums.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter("k > 1").select("sha", "first")
-    copies, _ = written(sums.join(first, "sha").filter("doc_id > first").select("g", "doc_id", "sha").distinct(), "substring-copies")
+    sums, _ = written(rows.select("g", "doc_id", "sha"), "substring-sums")
+    first, _ = written(sums.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).filter("k > 1"), "substring-firsts")
+    copies, _ = written(spread_join(sums, first, "sha").filter("doc_id > first").select("g", "doc_id", "sha").distinct(), "substring-copies")
 
     def group(docs_, copies_):
         return _Group(docs_, set(zip(copies_.column("doc_id").to_pylist(), copies_.column("sha").to_pylist(), strict=True)), length, gram, parts)
@@ -290,7 +352,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return _table([("g", pa.int32()), ("p", pa.int32()), ("bits", pa.binary())], [(g, p, zstandard.compress(np.packbits(several[a:b]).tobytes(), 1)) for g, a, b in zip(gs, bounds[:-1], bounds[1:], strict=True) if several[a:b].any()])
 
     def texts(docs_, told):
-        """The text of every run in a shared bucket, for the bucket's task."""
+        """The runs in shared buckets, for the buckets' tasks."""
         out = []
         if docs_.num_rows and told.num_rows:
             mine = group(docs_, told.filter(pc.is_valid(told.column("sha"))))
@@ -298,46 +360,38 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             got = mine.members() if bits else None
             if got:
                 doc, first, last, h, order, bounds = got
-                g = docs_.column("g")[0].as_py()
+                g, names = docs_.column("g")[0].as_py(), np.array([-1 if i is None else i for i in mine.ids], np.int64)
                 for p, b in sorted(bits.items()):
                     at = order[bounds[p] : bounds[p + 1]]
                     at = at[np.unpackbits(np.frombuffer(zstandard.decompress(b), np.uint8), count=len(at)).astype(bool)]
-                    k, a, n = doc[at], first[at], (last[at] - first[at] + length).astype("<u2")
-                    text = b"".join(mine.texts[i][x : x + y] for i, x, y in zip(k.tolist(), a.tolist(), n.tolist(), strict=True))
-                    ids = np.array([mine.ids[i] for i in k.tolist()], "<i8")
-                    out.append((p, g, len(at), packed(k.astype("<u4"), ids, a.astype("<i8"), n, h[at]), zstandard.compress(text, 3)))
-        return _table([("p", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("heads", pa.binary()), ("text", pa.binary())], out)
+                    k, a, z = doc[at], first[at], last[at] + length
+                    number: dict[bytes, int] = {}
+                    content = np.fromiter((number.setdefault(mine.texts[i][x:y], len(number)) for i, x, y in zip(k.tolist(), a.tolist(), z.tolist(), strict=True)), np.int64, len(at))
+                    hashes = np.zeros(len(number), np.uint32)
+                    hashes[content] = h[at]
+                    out += _Runs.rows(p, [g], np.zeros(len(at), np.int64), k, names[k], a, content, list(number), hashes)
+        return _table(_Runs.SCHEMA, out)
+
+    def meet(members):
+        """The same rows, with the runs settled that an equal run of another group covers."""
+        gs, source, doc, ids, first, content, strings, hashes = _Runs.read(members)
+        return _table(_Runs.SCHEMA, _Runs.rows(members.column("p")[0].as_py(), gs, source, doc, ids, first, content, strings, hashes))
 
     def spans(members):
         """Covered spans of the documents, found within one part of the buckets."""
-        number: dict[bytes, int] = {}
-        content, doc, ids, first, source, hashes = [], [], [], [], [], []
-        gs = members.column("g").to_pylist()
-        for k, (n, heads, text) in enumerate(zip(*(members.column(c).to_pylist() for c in ("n", "heads", "text")), strict=True)):
-            d, i, a, size, h = unpacked(heads, ("<u4", n), ("<i8", n), ("<i8", n), ("<u2", n), ("<u4", n))
-            hashes.append(h)
-            raw, ends = zstandard.decompress(text), np.cumsum(size, dtype=np.int64)
-            content.append(np.fromiter((number.setdefault(raw[x:y], len(number)) for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, n))
-            doc.append(d)
-            ids.append(i)
-            first.append(a)
-            source.append(np.full(n, k))
-        content, doc, ids, first, source, hashes = map(np.concatenate, (content, doc, ids, first, source, hashes))
-        owner = np.full(len(number), np.iinfo(np.int64).max)
+        gs, source, doc, ids, first, content, strings, bucket = _Runs.read(members)
+        owner = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(owner, content, ids)
-        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         found = []
         # A run that a smaller document has too is covered whole.
         whole = np.flatnonzero(ids > owner[content])
         found.append((source[whole], doc[whole], first[whole], first[whole] + sizes[content[whole]]))
         # Runs that alone make up their bucket by now are settled; the others are refined.
-        bucket = np.zeros(len(number), np.uint32)
-        bucket[content] = hashes
         _, back, per_bucket = np.unique(bucket, return_inverse=True, return_counts=True)
         open_ = np.flatnonzero(per_bucket[back] > 1)
-        at_open = np.full(len(number), -1)
+        at_open = np.full(len(strings), -1)
         at_open[open_] = np.arange(len(open_))
-        strings = list(number)
         start = np.concatenate([[0], np.cumsum(sizes[open_])])
         least = refined(np.frombuffer(b"".join([strings[c] for c in open_.tolist()]), np.uint8), start, owner[open_], length)
         # Of each open run, the windows that another run of a smaller document holds.
@@ -389,8 +443,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     shared = hashed.groupBy("p").applyInArrow(flags, "g int, p int, bits binary")
     none = lambda kind: F.lit(None).cast(kind)
     asked = copies.select("g", "doc_id", "sha", none("int").alias("p"), none("binary").alias("bits")).unionByName(shared.select("g", none("bigint").alias("doc_id"), none("binary").alias("sha"), "p", "bits"))
-    runs_ = by_group.cogroup(asked.groupBy("g")).applyInArrow(texts, "p int, g int, n int, heads binary, text binary")
-    found = runs_.groupBy("p").applyInArrow(spans, "g int, n int, block binary")
+    runs_, _ = written(by_group.cogroup(asked.groupBy("g")).applyInArrow(texts, _Runs.COLUMNS), "substring-runs")
+    found = runs_.filter("s > 0").select("g", F.col("s").alias("n"), F.col("settled").alias("block"))
+    if groups > meet_groups:
+        runs_, _ = written(runs_.filter("n > 0").groupBy("p", F.pmod(F.col("g"), F.lit(-(-groups // meet_groups)))).applyInArrow(meet, _Runs.COLUMNS), "substring-runs")
+        found = found.union(runs_.filter("s > 0").select("g", "s", "settled"))
+    found = found.union(runs_.filter("n > 0").groupBy("p").applyInArrow(spans, "g int, n int, block binary"))
     told = copies.select("g", "doc_id", "sha", none("int").alias("n"), none("binary").alias("block")).unionByName(found.select("g", none("bigint").alias("doc_id"), none("binary").alias("sha"), "n", "block"))
     schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, starts array<bigint>, ends array<bigint>, kept binary")
     if carry:

@@ -43,7 +43,10 @@ def test_against_brute_force(spark, seed, length, gram):
         rows.append((i, "".join(parts)))
     rows += [(200, rows[7][1]), (201, rows[7][1])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    assert fast(df, length=length, gram=gram) == slow([(i, t.encode()) for i, t in rows], length)
+    want = slow([(i, t.encode()) for i, t in rows], length)
+    assert fast(df, length=length, gram=gram) == want
+    # Many groups: equal runs meet before their bucket.
+    assert fast(df, length=length, gram=gram, group_bytes=300, meet_groups=3) == want
 
 
 def test_odd_rows(odd_docs):
@@ -51,6 +54,23 @@ def test_odd_rows(odd_docs):
     assert fast(odd_docs) == slow(rows, 50)
 
 
+def test_common_passage_and_long_rows_of_one_sign(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RUN", 100)
+    passage = "this passage of a licence is in every third document of all, word for word, and longer than fifty bytes. "
+    rows = [(i, (f"own{i} " * (i % 5) + passage * (1 + i % 3) + f" end {i}") if i % 3 == 0 else "=" * (40 + 13 * i) + f"{i}") for i in range(60)]
+    rows += [(70, None), (71, rows[3][1]), (72, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert fast(df, meet_groups=2) == slow([(i, (t or "").encode()) for i, t in rows], 50)
+
+
+def test_clashing_names(spark):
+    columns = ("doc_id", "text", "g", "sha", "row", "p", "kept", "n", "block")
+    df = spark.createDataFrame([(1, "a" * 60, *range(7)), (2, "a" * 60, *range(7))], "doc_id bigint, text string, " + ", ".join(f"`{c}` int" for c in columns[2:]))
+    out = substring_dedup.cut_documents(df)
+    assert out.columns == list(columns)
+    assert sorted(map(tuple, out.collect())) == [(1, "a" * 60, *range(7)), (2, "", *range(7))]
+
+
 def test_empty_table(no_docs):
     assert fast(no_docs) == []
 
