@@ -58,7 +58,8 @@ def _op9_sql() -> str:
     return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce('=' || source, 'null') AS src,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+         md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
 s AS (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY src),
 q AS (SELECT tokens, CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM s) AS p FROM s WHERE tokens > 0),
 k AS (SELECT count(*) AS n, CAST(max(tokens) AS DOUBLE) AS most, CAST(max(tokens) AS DOUBLE) / min(tokens) AS spread FROM q),
@@ -84,18 +85,19 @@ g AS (SELECT src, tokens, CASE WHEN tokens > 0 THEN CAST(round_even(tokens * pow
 f AS (SELECT *, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS full_, CASE WHEN tokens > 0 THEN target % tokens ELSE 0 END AS rest,
              (SELECT CAST(sum(target) AS BIGINT) FROM g) AS total FROM g),
 e AS (
-  SELECT doc_id, f.*, n_tokens, epoch,
-         CAST('0x' || substr(md5('{seed}:' || epoch || ':' || doc_id), 1, {top}) AS BIGINT) AS key
+  SELECT doc_id, digest, f.*, n_tokens, epoch,
+         CAST('0x' || substr(md5('{seed}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, {top}) AS BIGINT) AS key
   FROM d JOIN f USING (src), LATERAL (SELECT unnest(range(0, full_ + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch)),
 c AS (
-  SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS in_epoch FROM e),
+  SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS in_epoch,
+         CAST(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key, doc_id, digest) AS BIGINT) AS end_ FROM e),
 b AS (
   SELECT *, epoch * tokens + in_epoch AS before,
          CASE WHEN target > 0 THEN CAST(floor(CAST(epoch * tokens + in_epoch AS DOUBLE) / target * total / {block}) AS BIGINT)
               ELSE key % greatest(1, CAST(ceil(total / {block}) AS BIGINT)) END AS block_id
-  FROM c WHERE epoch < full_ OR in_epoch + n_tokens <= rest)
+  FROM c WHERE epoch < full_ OR end_ <= rest)
 SELECT doc_id, CASE WHEN src <> 'null' THEN substr(src, 2) END AS source, CAST(epoch AS BIGINT) AS epoch, n_tokens, CAST(before AS BIGINT) AS before, block_id,
-       row_number() OVER (PARTITION BY block_id ORDER BY md5('{seed}-slot:' || epoch || ':' || doc_id), doc_id, epoch) AS slot
+       row_number() OVER (PARTITION BY block_id ORDER BY md5('{seed}-slot:' || epoch || coalesce(':' || CAST(doc_id AS VARCHAR), '') || ':' || digest), doc_id NULLS FIRST, epoch, src, before, n_tokens) AS slot
 FROM b
 """
 

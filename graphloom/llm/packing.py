@@ -7,9 +7,10 @@ curve order, so that a sequence holds neighbours.  Only a partition's rest can b
 shorter than a sequence; it is cut at powers of two, which need no padding.
 
 Defined results: a null or empty text is one end id; equal keys are ordered by
-doc_id, and repeated rows are packed each for itself; a document longer than a
-sequence spans several; an empty table gives no pieces.  Only doc_id and text are
-read, whatever other columns are called.
+doc_id, and repeated rows are packed each for itself, under a copy number; a null
+doc_id comes first; a document longer than a sequence, of any length, spans several; an
+empty table gives no pieces.  Only doc_id and text are read, whatever other columns are
+called.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
-from graphloom.llm.tokens import token_ids
+from graphloom.llm.common import shuffle_partitions, written
+from graphloom.llm.tokens import id_width, token_ids
 
 HASHED, DIMS, BITS = 64, 4, 12
+RANGE_BYTES = 64 << 20  # of ids in a task
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,25 +82,30 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) ->
     """Pieces of documents with their places in sequences of at most ``length`` ids.
 
     doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset.
+    sequence_id, offset, copy (from 0 on, among rows equal in doc_id and ids).
     """
 
     def key(ids, sizes):
         return {"curve": pa.array(hilbert_index(projected(ids, sizes)), pa.int64())}
 
-    ids, _ = written(token_ids(df.select("doc_id", "text"), tokenizer, end_id, key, "curve bigint", width=2), "packing-ids")
-    ordered = ids.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "n_tokens", "ids")
+    width = id_width(tokenizer, end_id)
+    ids, _ = written(token_ids(df.select("doc_id", "text"), tokenizer, end_id, key, "curve bigint", width=width), "packing-ids")
+    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
+    ranges = max(shuffle_partitions(df.sparkSession), width * total // RANGE_BYTES)
+    ordered = ids.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "n_tokens", "ids")
 
     def cut(batches):
         sequence, filled = TaskContext.get().partitionId() << 32, 0
         rest: list[tuple] = []  # pieces of the sequence that is not yet full
+        last, copy = None, 0  # equal rows follow each other
         for batch in batches:
             out: list[tuple] = []
             for doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
-                data, at = np.frombuffer(raw, "<u2").astype("<u4"), 0
+                last, copy = (doc, raw), copy + 1 if last == (doc, raw) else 0
+                data, at = np.frombuffer(raw, f"<u{width}").astype("<u4"), 0
                 while at < n:
                     take = min(n - at, length - filled)
-                    rest.append((doc, at, take, data[at : at + take].tobytes(), n, sequence, filled))
+                    rest.append((doc, at, take, data[at : at + take].tobytes(), n, sequence, filled, copy))
                     at, filled = at + take, filled + take
                     if filled == length:
                         out += rest
@@ -109,21 +117,21 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) ->
 
     def recut(rest, filled, sequence):
         out, cuts, room = [], tail_cuts(filled), 0
-        for doc, at, take, raw, n, _, _ in rest:
+        for doc, at, take, raw, n, _, _, copy in rest:
             done = 0
             while done < take:
                 if not room:
                     room = size = cuts.pop(0)
                     sequence += 1
                 part = min(take - done, room)
-                out.append((doc, at + done, part, raw[4 * done : 4 * (done + part)], n, sequence - 1, size - room))
+                out.append((doc, at + done, part, raw[4 * done : 4 * (done + part)], n, sequence - 1, size - room, copy))
                 done, room = done + part, room - part
         return out
 
-    names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "copy")
 
     def rows(out):
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols, strict=True)], names=list(names))
 
-    return ordered.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ordered.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, copy bigint")

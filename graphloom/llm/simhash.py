@@ -10,14 +10,19 @@ outside, so it is also sent there, as a guest.  Each pair of stored fingerprints
 meets in the shard of the outer one, and shards compare their stored fingerprints
 with each other and with their guests over all 64 bits.
 
-The trees are fitted on a bounded sample, which affects the sizes of shards only;
-every fingerprint is stored in every tree.  A shard with more than ``most`` members
-is compared by blocks of them in separate tasks.  Tasks pass on a spanning forest of
-what they find linked, never all pairs.
+The trees are fitted on a bounded sample that grows with the fingerprints, which
+affects the sizes of shards only; every fingerprint is stored in every tree.  A task
+grows a tree of its own over a shard that is still large, so shards are not compared
+all against all; a shard with more than ``most`` members is dealt by blocks of them to
+separate tasks.  Tasks pass on a spanning forest of what they find linked, never all
+pairs.  With very many fingerprints, blocks of 21 bits would be crowded, so there are
+then two blocks of 32 bits, with radius 2 each; no choice changes the result.
 
 Defined results: a null text has no words; a text without words has fingerprint
 zero, which is linked like any other; equal texts and repeated rows have equal
-fingerprints and so one component; an empty table gives no rows.
+fingerprints and so one component; a component without any id has a null
+component_id; texts of any length are hashed whole, in steps; an empty table gives no
+rows.  Only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import spread_join, written
 from graphloom.llm.links import Forest, components
 from graphloom.llm.tokens import slices
 
-SAMPLE = 50_000  # fingerprints to which the trees are fitted
-LEAF = 400  # of a sample of this size, a shard's share
-MOST = 8_192  # members of a shard that one task compares
+SAMPLE, MOST_SAMPLE = 50_000, 1 << 20  # fingerprints to which the trees are fitted: at least, at most
+LEAF = 4_000  # fingerprints that a shard should store
+MOST = 1 << 18  # members of a shard in one task
+LOCAL, INNER = 300, 100  # members that are compared without a tree of their own, and what its shards should store
+CROWDED = 1 << 27  # fingerprints from which on there are two blocks
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -115,13 +122,17 @@ def grow(sample: np.ndarray, mask: int, leaf: int, seed: int = 7) -> list[tuple[
     return nodes if root >= 0 else [(0, 64, -1, -2)]
 
 
-def route(points: np.ndarray, nodes: list, mask: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, is guest): where each point is stored, and the shards it visits."""
+def route(points: np.ndarray, nodes: list, mask: int, radius: int, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, is guest): where each point is stored, and the shards it visits.
+
+    Points that are guests from the start are stored nowhere.
+    """
     m, done = np.uint64(mask), []
     v = np.array([n[0] for n in nodes], np.uint64) & m
     border = np.array([n[1] for n in nodes], np.int64)
     child = np.array([[n[2], n[3]] for n in nodes], np.int64)
-    row, node, guest = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points), bool)
+    row, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+    guest = np.zeros(len(points), bool) if guest is None else guest
     own = points & m
     while len(row):
         d = distance(own[row], v[node]).astype(np.int64)
@@ -145,14 +156,32 @@ def linked_pairs(stored: np.ndarray, other: np.ndarray, radius: int, chunk: int
             yield i + k, j
 
 
-def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 3, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST) -> DataFrame:
+def meetings(home: np.ndarray, visit: np.ndarray, mask: int, radius: int, leaf: int = INNER, local: int = LOCAL):
+    """Index arrays (of home, of home and visit) of members that must be compared, all against all in each."""
+    if len(home) <= local:
+        yield np.arange(len(home)), np.arange(len(home) + len(visit))
+        return
+    nodes = grow(home[:: max(1, len(home) // 65_536)], mask, leaf)
+    row, shard, guest = route(np.concatenate([home, visit]), nodes, mask, radius, np.arange(len(home) + len(visit)) >= len(home))
+    order = np.lexsort((guest, shard))
+    row, shard, guest = row[order], shard[order], guest[order]
+    head = np.flatnonzero(np.diff(shard, prepend=-1))
+    for a, z in zip(head, np.append(head[1:], len(row)), strict=True):
+        stored = row[a : a + int((~guest[a:z]).sum())]
+        if len(stored):
+            yield stored, row[a:z]
+
+
+def near_links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST, local: int = LOCAL, inner: int = INNER) -> DataFrame:
     """Links (a, b) between different fingerprints (column fp) that span all pairs within the radius."""
     spark = distinct.sparkSession
-    masks, r = block_masks(radius, blocks)
     n = distinct.count()
-    share = min(1.0, sample / max(n, 1))
+    blocks = blocks or (3 if n < CROWDED else 2)
+    masks, r = block_masks(radius, blocks)
+    # Four sampled fingerprints for a shard at least.
+    share = min(1.0, min(max(sample, 4 * n // leaf), MOST_SAMPLE) / max(n, 1))
     # A bounded sample: the hash keeps about ``sample`` fingerprints of any number.
-    picked = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample)
+    picked = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * MOST_SAMPLE)
     seen = np.sort(np.array([x["fp"] for x in picked.collect()], dtype=np.int64)).view(np.uint64)
     # Shards hold about as many fingerprints as a task compares quickly, whatever n is.
     fit = max(4, min(len(seen), round(leaf * share)) or 4)
@@ -177,12 +206,12 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 3, sample: in
         fp = table.column("fp").to_numpy().view(np.uint64)
         guest = table.column("guest").to_numpy(zero_copy_only=False).astype(bool)
         home, visit = np.unique(fp[~guest]), np.unique(fp[guest])
-        all_ = np.unique(np.concatenate([home, visit]))
-        forest, at_home = Forest(len(all_)), np.searchsorted(all_, home)
-        for other in (home, visit):
-            at = np.searchsorted(all_, other)
-            for i, j in linked_pairs(home, other, radius):
-                forest.join(at_home[i], at[j])
+        both = np.concatenate([home, visit])
+        all_ = np.unique(both)
+        forest, at = Forest(len(all_)), np.searchsorted(all_, both)
+        for left, right in meetings(home, visit, masks[key[0].as_py() % blocks], r, inner, local):
+            for i, j in linked_pairs(both[left], both[right], radius):
+                forest.join(at[left[i]], at[right[j]])
         root = forest.roots()
         tied = np.flatnonzero(root != np.arange(len(all_)))
         return pa.table({"a": all_[tied].view(np.int64), "b": all_[root[tied]].view(np.int64)})
@@ -194,17 +223,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fp, component_id: the smallest id reachable over fingerprints within the radius."""
     prints, _ = written(fingerprints(df, id_col, text_col, width), "simhash-prints")
     # Copies meet here, by partial minima; what follows sees each fingerprint once.
-    distinct, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     comps = components(near_links(distinct.select("fp"), radius, **how))
     # Components of fingerprints carry their least document.
-    of = distinct.join(comps.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = of.join(least, "component").filter("component_id < least").select("fp", "component_id")
-    final, _ = written(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-classes")
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    of = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "n")
+    of, _ = written(of, "simhash-components")
+    least, _ = written(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "simhash-least")
+    final, _ = written(spread_join(of, least, "component").select("fp", "component_id", F.col("n").alias("k")), "simhash-classes")
+    return spread_join(prints, final, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """df without the rows whose component has a smaller id; of rows with the same id all stay."""
-    gone = near_duplicates(df, id_col, text_col, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(df, id_col, text_col, **how).filter("doc_id <> component_id").select("doc_id").distinct()
+    # The row travels as one column, so that its names are free.
+    whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
+    return whole.join(gone, "doc_id", "left_anti").select("row.*")

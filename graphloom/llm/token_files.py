@@ -19,8 +19,9 @@ Files are written under a task's own name and then moved into place, so a task t
 runs again (a lost executor, speculation) leaves one whole file.
 
 Defined results: a null or empty text is one end id; documents with the same doc_id
-are ordered by text; a null doc_id comes first; an empty table gives no rows.  Only
-doc_id and text are read.
+are ordered by text; a null doc_id comes first; repeated rows are written each; texts
+of any length are encoded whole; an empty table gives no rows.  Only doc_id and text
+are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, written
+from graphloom.llm.common import move_into_place, new_path, one_task_each, written
 from graphloom.llm.tokens import WordEncoder, slices, with_end, worker_object
 
 MAGIC = b"RVB1"
@@ -125,7 +126,7 @@ def write_drafts(df: DataFrame, tokenizer: str, end_id: int, folder: str) -> Dat
                     total += np.bincount(ids, minlength=len(total))
                     docs += len(sizes)
         if docs:
-            store.move(own, f"{top}/draft-{name}")
+            move_into_place(store, own, f"{top}/draft-{name}")
         else:
             store.delete_file(own)
         at = np.flatnonzero(total)
@@ -171,11 +172,11 @@ def write_files(df: DataFrame, tokenizer: str, end_id: int, folder: str) -> list
                 with store.open_input_stream(f"{top}/draft-{name}", buffer_size=1 << 20) as draft, store.open_output_stream(own) as out:
                     for docs, sizes, ids in _frames(draft):
                         out.write(block(docs, sizes, shared.value[ids]))
-                store.move(own, f"{top}/{name}")
+                move_into_place(store, own, f"{top}/{name}")
                 yield pa.RecordBatch.from_pydict({"file": [name]})
 
     if files:
-        todo = spark.createDataFrame([(f,) for f, _ in files], "file string").repartition(len(files), "file")
+        todo = one_task_each(spark.createDataFrame([(f,) for f, _ in files], "file string"), len(files), "file")
         todo.mapInArrow(recode, "file string").count()
         # Drafts go only when all files are there, so a task that runs again finds its own.
         for f, _ in files:
@@ -207,7 +208,7 @@ def read_files(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
     if not rows:
         return spark.createDataFrame([], schema)
-    todo = spark.createDataFrame(rows, "file string, before bigint").repartition(len(rows), "file")
+    todo = one_task_each(spark.createDataFrame(rows, "file string, before bigint"), len(rows), "file")
     return todo.mapInArrow(read, schema)
 
 

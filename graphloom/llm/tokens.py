@@ -156,6 +156,14 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
         yield first, len(sizes)
 
 
+def id_width(path: str, end_id: int) -> int:
+    """Bytes of an unsigned integer that holds any id of the vocabulary, and end_id."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    return 2 if max(end_id, *tok.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
 def token_ids(df: DataFrame, path: str, end_id: int, extra=None, extra_schema: str = "", width: int = 4) -> DataFrame:
     """doc_id, n_tokens, ids: the ids of every text with end_id after them.
 

@@ -7,14 +7,15 @@ exception phrases, learnt from clean rows that hold a lexicon entry, take its we
 back.  The sum of weights, divided by the text's length, goes through a logistic
 curve fitted to the same rows.
 
-Learning uses at most ``LABELLED`` labelled rows (a documented bound; a hash of the
-id decides which), and only those whose crc32(doc_id as text) mod 3 is not 1.
+Learning uses at most ``LABELLED`` labelled rows (a documented bound; those whose id
+has the least hashes), and only those whose crc32(doc_id as text) mod 3 is not 1.
 Scoring covers every row.
 
 Defined results: null and empty texts have no matches and get the score of a text
 without any; a label row that is null or repeated counts by its maximum; without
-labelled rows every score is 0; an empty table gives no rows.  Only id and text are
-read for a score.
+labelled rows every score is 0; texts of any length are matched whole; repeated rows
+are scored each; a null id is not held out; an empty table gives no rows.  Only id and
+text are read for a score, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import remove, written
 from graphloom.llm.tokens import slices
 
 LABELLED = 20_000
 SHORTEST, LONGEST = 4, 10  # letters of a lexicon entry
 LEAST_TEXTS = 5  # toxic texts in which an entry occurs
 LEAST_ODDS = 3.5  # natural logarithm
-CANDIDATES = 200_000
 THRESHOLD = 0.7
 
 # Letters that look alike, by script, and signs that stand for letters.
@@ -124,24 +125,24 @@ def _counted(rows: DataFrame, terms_of, least: int) -> dict[str, int]:
             counts.clear()
 
     sums = rows.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    best = sums.filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    return {r["term"]: r["n"] for r in best.collect()}
+    # The bound of the labelled rows bounds the terms too.
+    return {r["term"]: r["n"] for r in sums.filter(F.col("n") >= least).collect()}
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """Lexicon, exception phrases and curve from doc_id, text and doc_id, toxic."""
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    share = most / max(labels.count(), 1)
-    # Copies of a text count once, else the words of a much copied text would seem telling.
     # At most ``most`` rows of two integers: a proven bound for the broadcast.
-    picked = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)).limit(most)
-    train = docs.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).persist()
+    picked = labels.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+    # Copies of a text count once, else the words of a much copied text would seem telling.
+    train, path = written(docs.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-train")
     toxic, clean = train.filter("toxic = 1"), train.filter("toxic <> 1")
     sizes = {bool(r["t"]): r["n"] for r in train.groupBy((F.col("toxic") == 1).alias("t")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
-        train.unpersist()
+        remove(train.sparkSession, path)
         return Model({}, {})
     least = min(max(LEAST_TEXTS, round(0.01 * n_toxic)), max(2, n_toxic // 2))
     in_toxic = _counted(toxic, _starts, least)
@@ -164,7 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
         return out
 
     excused = _counted(clean, phrases, 3)
-    against = _counted(toxic, phrases, 1) if excused else {}
+    asked = frozenset(excused)
+    against = _counted(toxic, lambda folded: phrases(folded) & asked, 1) if excused else {}
     exceptions = {}
     for p in excused:
         if not against.get(p):
@@ -177,8 +179,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
             yield pa.RecordBatch.from_pydict({"x": pa.array([density(t, a) for t in texts], pa.float64()), "y": pa.array([float(v == 1) for v in label], pa.float64())})
 
     rows = train.mapInArrow(measured, "x double, y double").toArrow()  # two numbers for each labelled row
-    train.unpersist()
-    model.slope, model.offset = logistic(np.log1p(rows["x"].to_numpy()), rows["y"].to_numpy())
+    remove(train.sparkSession, path)
+    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+    order = np.lexsort((y, x))  # the same sums, however the rows were dealt
+    model.slope, model.offset = logistic(np.log1p(x[order]), y[order])
     return model
 
 
@@ -217,4 +221,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    return score(docs, learn(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), most))
+    return score(docs, learn(docs, labels, most))

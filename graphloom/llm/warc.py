@@ -15,8 +15,9 @@ start a record.  Reading a file in ranges therefore takes three steps:
 Defined results: a null html is an empty payload; of rows with equal payloads of at
 least ``least`` bytes the one with the smallest page_id is a response and the others
 revisit it; rows with the same page_id and payload are all responses of that payload
-(none refers to itself); an empty table gives no rows.  Only page_id, url and html
-are read.
+(none refers to itself); a row without page_id is always a response; urls of any length come back whole, a null one as about:blank; payloads of any length are written
+in one piece; an empty table gives no rows.  Only page_id, url and html are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, remove, written
+from graphloom.llm.common import move_into_place, new_path, one_task_each, remove, spread_join, written
 
 VERSION = b"WARC/1.1\r\n"
 RANGE_BYTES = 8 << 20
@@ -72,10 +73,10 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
 def with_revisits(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html (binary), refers_to."""
     rows = pages.selectExpr("page_id", "url", "coalesce(cast(html as binary), X'') as html").withColumn("sha1", F.sha1("html"))
-    sums = rows.filter(F.octet_length("html") >= least).select("page_id", "sha1")
+    sums, _ = written(rows.filter(F.octet_length("html") >= least).select("page_id", "sha1"), "warc-sums")
     # Payloads that occur once need no further thought: only repeated digests are kept.
-    first = sums.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).filter("k > 1").select("sha1", "first")
-    repeated, _ = written(sums.join(first, "sha1").filter("page_id > first").select("page_id", "sha1", "first").distinct(), "warc-revisits")
+    first, _ = written(sums.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).filter("k > 1"), "warc-firsts")
+    repeated, _ = written(spread_join(sums, first, "sha1").filter("page_id > first").select("page_id", "sha1", "first").distinct(), "warc-revisits")
     # A table in the shared folder has a known size: Spark broadcasts it while it is
     # small and shuffles by page_id where it is not.
     return rows.join(repeated, ["page_id", "sha1"], "left").withColumnRenamed("first", "refers_to")
@@ -94,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> list[tuple[
                 for page, url, html, ref in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     size += out.write(record(page, url, html, digest(html), ref))
         if size:
-            store.move(f"{top}/{own}", f"{top}/{name}")
+            move_into_place(store, f"{top}/{own}", f"{top}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([size], pa.int64())})
         else:
             store.delete_file(f"{top}/{own}")
@@ -106,15 +107,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> list[tuple[
 
 
 class _Window:
-    """Bytes of a file from an offset on, fetched in pieces as they are asked for."""
+    """Bytes of a file; one range of it is read at once, the rest as it is asked for."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, start: int, stop: int):
         store, top = fs.FileSystem.from_uri(folder)
         self.file = store.open_input_file(f"{top}/{name}")
         self.size = self.file.size()
+        self.start, self.data = start, b""
+        self.data = self.at(start, stop - start)
 
     def at(self, offset: int, n: int) -> bytes:
-        return self.file.read_at(min(n, max(0, self.size - offset)), offset)
+        n = min(n, max(0, self.size - offset))
+        a = offset - self.start
+        if 0 <= a and a + n <= len(self.data):
+            return self.data[a : a + n]
+        return self.file.read_at(n, offset)
 
     def header(self, offset: int, head: bytes | None = None) -> tuple[bytes, int, int] | None:
         """Header, offset of the block and of the successor, if a record may start here."""
@@ -137,8 +144,8 @@ class _Window:
 
 def _candidates(folder: str, name: str, start: int, stop: int) -> list[tuple[int, int]]:
     """(candidate, first offset at or beyond stop on its chain) in one range."""
-    w = _Window(folder, name)
-    data = w.at(start, stop - start + len(VERSION) - 1)
+    w = _Window(folder, name, start, stop + len(VERSION) - 1)
+    data = w.data
     found: dict[int, int] = {}
     at = data.find(VERSION)
     while 0 <= at < stop - start:
@@ -157,9 +164,11 @@ def _candidates(folder: str, name: str, start: int, stop: int) -> list[tuple[int
 
 
 def _ranges(spark: SparkSession, files: list[tuple[str, int]], step: int) -> DataFrame:
-    """One row for each byte range; one task for each."""
-    rows = [(f, a, min(a + step, n)) for f, n in files for a in range(0, n, step)]
-    return spark.createDataFrame(rows, "file string, start bigint, stop bigint").repartition(max(1, len(rows)), "file", "start")
+    """One row for each byte range; one task for each.  The driver knows the files only."""
+    sizes = spark.createDataFrame(files, "file string, size bigint")
+    rows = sizes.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(step).cast("bigint"))))
+    rows = rows.select("file", "start", F.least("size", F.col("start") + step).alias("stop"))
+    return one_task_each(rows, sum(-(-n // step) for _, n in files), "file", "start")
 
 
 def reached_entries(spark: SparkSession, folder: str, files: list[tuple[str, int]], step: int = RANGE_BYTES) -> DataFrame:
@@ -206,12 +215,13 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]]
     schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     if not files:
         return spark.createDataFrame([], schema)
-    entries = reached_entries(spark, folder, files, step).withColumn("range", F.floor(F.col("entry") / F.lit(step)))
+    entries = reached_entries(spark, folder, files, step)
 
     def parse(batches):
         for b in batches:
             for name, at in zip(b.column("file").to_pylist(), b.column("entry").to_pylist(), strict=True):
-                w, stop, rows, held = _Window(folder, name), (at // step + 1) * step, [], 0
+                stop, rows, held = (at // step + 1) * step, [], 0
+                w = _Window(folder, name, at, stop)
                 while at < min(stop, w.size):
                     got = w.header(at)
                     if not got:
@@ -239,7 +249,7 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     n = sum(-(-size // step) for _, size in files)
-    return entries.repartition(n, "file", "range").mapInArrow(parse, schema)
+    return one_task_each(entries, n, "file", "entry").mapInArrow(parse, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None, step: int = RANGE_BYTES) -> DataFrame:

@@ -37,3 +37,32 @@ def test_every_stage_against_brute_force(spark):
 
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+
+
+def through(spark, docs):
+    stages = corpus_pipeline.STAGES
+    for name, stage in stages[:-1]:
+        out, _ = written(stage(spark, docs, SF), "t")
+        assert sorted(out.columns) == sorted(docs.columns), name
+        docs = out
+    return docs, stages[-1][1](spark, docs, SF).collect()
+
+
+GOOD = "this is a plain report of the people in the town and what they did on the day of the fair with all of their friends"
+
+
+def test_odd_rows(spark):
+    """Nulls, empty, repeated and very long texts, ids that repeat or lack, names that the stages use themselves."""
+    rows = [(1, GOOD), (1, GOOD), (2, GOOD), (3, None), (4, ""), (None, GOOD + " and a word more for the one without id"), (5, " ".join(f"{w}{i}" if i % 3 else w for i in range(3_000) for w in ("the", "tale", "of", "a"))), (6, "x" * 100_000)]
+    clash = ("n_chars", "row", "_src", "_gone", "copy", "key", "k", "g", "sha", "curve", "kept", "fp")
+    df = spark.createDataFrame([(i, t, "s", *[7] * len(clash)) for i, t in rows], "doc_id bigint, text string, source string, " + ", ".join(f"`{c}` int" for c in clash)).repartition(3)
+    docs, pieces = through(spark, df)
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert kept == {1, 5, None} and {r["doc_id"] for r in pieces} == kept
+    assert all(r["row"] == 7 and r["copy"] == 7 for r in docs.collect())
+    assert {r["copy"] for r in pieces if r["doc_id"] == 1} >= {0, 1}
+
+
+def test_empty_table(spark):
+    docs, pieces = through(spark, spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    assert docs.collect() == [] and pieces == []

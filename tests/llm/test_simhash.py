@@ -99,3 +99,41 @@ def test_trees_let_every_near_pair_meet(leaf):
             met |= {(min(a, b), max(a, b)) for a in home for b in [*home, *visit] if a != b}
     near = {(a, b) for a in range(len(points)) for b in range(a + 1, len(points)) if int(simhash.distance(points[a], points[b])) <= 4}
     assert near and near <= met
+
+
+def test_names_that_the_operator_uses(spark):
+    df = spark.createDataFrame([(1, "one two three", 1, 2, 3), (2, "one two three", 1, 2, 3), (None, "other words here", 1, 2, 3)], "doc_id bigint, text string, `_gone` int, row int, fp int")
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1]
+
+
+def compared(n):
+    """Pairs that are compared in all shards, and the members of the largest shard, for n made fingerprints."""
+    fp = np.unique(np.random.default_rng(0).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    (mask, *_), radius = simhash.block_masks(4, 3)
+    row, shard, guest = simhash.route(fp, simhash.grow(fp[:: max(1, len(fp) // 50_000)], mask, max(4, simhash.LEAF * 50_000 // n)), mask, radius)
+    order = np.argsort(shard, kind="stable")
+    head = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    pairs = most = 0
+    for part in np.split(order, head[1:]):
+        home, visit = fp[row[part[~guest[part]]]], fp[row[part[guest[part]]]]
+        most = max(most, len(part))
+        pairs += sum(len(a) * len(b) for a, b in simhash.meetings(home, visit, mask, radius))
+    return pairs, most
+
+
+def test_comparisons_grow_like_the_fingerprints():
+    """Beyond the sample, trees within shards keep comparisons far from the square of 8, and shards in a task's bound."""
+    (small, _), (large, most) = compared(50_000), compared(400_000)
+    assert large <= 8**1.5 * small and most <= simhash.MOST
+
+
+def test_trees_within_shards(spark):
+    rng = random.Random(7)
+    texts = [words(rng, 60, 40) for _ in range(120)]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts[:60]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = slow_components(rows)
+    assert result(df, local=5, inner=3, leaf=10, sample=20) == want
+    assert result(df, local=5, inner=3, leaf=10, blocks=2) == want

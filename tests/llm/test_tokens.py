@@ -20,8 +20,11 @@ def odd_texts(n=300):
     return ["", " ", "\n", " a ", "a  b", *("".join(rng.choice(atoms) for _ in range(rng.randint(0, 40))) for _ in range(n))]
 
 
+LIBRARY = Tokenizer.from_file(BPE)
+
+
 def slow_ids(text):
-    return Tokenizer.from_file(BPE).encode(text or "", add_special_tokens=False).ids + [1]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_word_encoder_equals_library():
@@ -81,6 +84,12 @@ def test_packing_odd_rows(odd_docs, no_docs):
     assert check_pieces(no_docs) == {}
 
 
+def test_copies_are_numbered(spark):
+    df = spark.createDataFrame([(1, "same text")] * 3 + [(1, "other"), (None, "same text"), (None, "same text")], "doc_id bigint, text string").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["doc_tokens"], r["copy"]) for r in packing.pack(df, BPE, 1, 64).filter("start = 0").collect()))
+    assert [g[2] for g in got if g[0] == 0] == [0, 1] and sorted(g[2] for g in got if g[0] == 1) == [0, 0, 1, 2]
+
+
 def test_hilbert_neighbours_are_adjacent():
     grid = np.array([(x, y) for x in range(8) for y in range(8)], float)
     keys = packing.hilbert_index((grid + 0.5) / 4 - 1, bits=3, span=1.0)
@@ -88,6 +97,13 @@ def test_hilbert_neighbours_are_adjacent():
     assert sorted(keys) == list(range(64)) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_ids_beyond_16_bits(spark):
+    """An end id that two bytes do not hold comes back whole."""
+    df = spark.createDataFrame([(1, "some text", 5, 6), (2, None, 5, 6)], "doc_id bigint, text string, curve int, ids int")
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in packing.pack(df, BPE, 70_000, 64).filter("start = 0").collect()}
+    assert got[2] == [70_000] and slow_ids("some text")[0] == got[1][0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_rank_code_round_trip(n):
     ranks = np.random.default_rng(n).choice(np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32), n)

@@ -50,3 +50,14 @@ def test_urls_come_back_whole(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark).limit(0)).collect() == []
+
+
+def test_hot_digest_and_clashing_names(spark, monkeypatch):
+    """A third of all payloads is one payload; the columns' names are those that the operator uses itself."""
+    monkeypatch.setattr("graphloom.llm.common.HOT_KEYS", 5)
+    rows = [(i, "u", ["same", f"p{i}", ""][i % 3], 1, 2, 3) for i in range(90)] + [(None, "u", "same", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha1 int, first int, refers_to int").repartition(3)
+    got = warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    want = slow([r for r in df.collect() if r["page_id"] is not None], 0)
+    assert sorted((tuple(r) for r in got if r["page_id"] is not None), key=repr) == want
+    assert [r["record_type"] for r in got if r["page_id"] is None] == ["response"]
