@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  ``run`` writes every stage's rows as Parquet in
 the shared folder and hands them, read again, to the next.
+
+Defined results: null, empty and blank texts fail the quality rules and go; of rows in
+one near-duplicate group those with the smallest doc_id stay, so rows of one id stay or
+go together, and a row without id always stays; passages go from all documents but that
+with the smallest id, which may leave an empty text; texts of any length are handled
+whole; the mix repeats documents, and the pieces of each repetition carry its number in
+``copy``; further columns of any name pass through to the last stage; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
     pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "copy")
 
 
 STAGES = [
