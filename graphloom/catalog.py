@@ -6,30 +6,31 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.functions import graph_stats
 from graphloom.operators import filtering, peeling
 from graphloom.operators import primitives as prim
 from graphloom.operators.matching import match
+from graphloom.plans import structure
 from graphloom.plans.pattern import Pattern
-from graphloom.sources.graphs import coorder_graph, trade_graph
+from graphloom.sources.graphs import coorder_graph, from_text, trade_graph, write_text
+from graphloom.sources.shared import new_path
 
 SPARSE_QUANTITY = 40
 
 # The graphs as SQL: v(id, label) and e(src, dst, ls, ld).
 TRADE_SQL = """
-v AS (
+v AS MATERIALIZED (
   SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(0 AS BIGINT) AS label FROM region
   UNION ALL SELECT n_nationkey + 1000000000, 1 FROM nation UNION ALL SELECT c_custkey + 2000000000, 2 FROM customer
   UNION ALL SELECT s_suppkey + 3000000000, 3 FROM supplier UNION ALL SELECT o_orderkey + 4000000000, 4 FROM orders
   UNION ALL SELECT p_partkey + 5000000000, 5 FROM part),
-one AS (
+one AS MATERIALIZED (
   SELECT n_nationkey + 1000000000 AS src, CAST(n_regionkey AS BIGINT) AS dst FROM nation
   UNION SELECT c_custkey + 2000000000, c_nationkey + 1000000000 FROM customer UNION SELECT s_suppkey + 3000000000, s_nationkey + 1000000000 FROM supplier
   UNION SELECT o_orderkey + 4000000000, o_custkey + 2000000000 FROM orders UNION SELECT l_orderkey + 4000000000, l_partkey + 5000000000 FROM lineitem
   UNION SELECT l_orderkey + 4000000000, l_suppkey + 3000000000 FROM lineitem UNION SELECT l_partkey + 5000000000, l_suppkey + 3000000000 FROM lineitem),
-e AS (
+e AS MATERIALIZED (
   SELECT src, dst, src // 1000000000 AS ls, dst // 1000000000 AS ld FROM one
   UNION ALL SELECT dst, src, dst // 1000000000, src // 1000000000 FROM one)"""
 
@@ -38,7 +39,7 @@ def _coorder_sql(where: str = "true") -> str:
     return f"""
 v AS (SELECT p_partkey AS id, CAST(p_size % 5 AS BIGINT) AS label FROM part),
 i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE {where}),
-e AS (
+e AS MATERIALIZED (
   SELECT DISTINCT a.p AS src, b.p AS dst, x.label AS ls, y.label AS ld
   FROM i a JOIN i b ON a.o = b.o AND a.p <> b.p JOIN v x ON x.id = a.p JOIN v y ON y.id = b.p)"""
 
@@ -154,19 +155,19 @@ def _items(spark, sf_dir, *columns):
 
 
 def _ordered(spark, sf_dir, *columns):
-    # Order and line number are not unique in this data, so every column takes part in the order.
-    cols = ["l_orderkey", "l_linenumber", *columns]
-    return prim.Ordered(_items(spark, sf_dir, *columns).distinct(), *cols)
+    # Order and line number are not unique in this data, so every column takes part in the
+    # order; rows equal in all of them all stay, and which comes first makes no difference.
+    return prim.Ordered(_items(spark, sf_dir, *columns), "l_orderkey", "l_linenumber", *columns)
 
 
 def _qty():
     return F.col("l_quantity").cast("bigint")
 
 
-_QTY_ROWS = "(SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem)"
-_FLAG_ROWS = "(SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem)"
+_QTY_ROWS = "(SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem)"
+_FLAG_ROWS = "(SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, row_number() OVER () AS _copy FROM lineitem)"
 _QTY_ORDER = "l_orderkey, l_linenumber, l_quantity"
-_FLAG_ORDER = "l_orderkey, l_linenumber, l_returnflag, l_quantity"
+_FLAG_ORDER = "l_orderkey, l_linenumber, l_returnflag, l_quantity, _copy"
 _RUNS = f"""r AS (SELECT *, CASE WHEN l_returnflag IS NOT DISTINCT FROM lag(l_returnflag) OVER (ORDER BY {_FLAG_ORDER})
                         AND row_number() OVER (ORDER BY {_FLAG_ORDER}) > 1 THEN 0 ELSE 1 END AS head FROM {_FLAG_ROWS}),
 n AS (SELECT *, CAST(sum(head) OVER (ORDER BY {_FLAG_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM r)"""
@@ -181,12 +182,73 @@ _ALL = ("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_partkey",
 _ALL_ORDER = ", ".join(_ALL)
 _ALL_ROWS = f"(SELECT {_ALL_ORDER}, row_number() OVER (PARTITION BY {_ALL_ORDER}) AS _copy FROM lineitem)"
 _ALL_RUNS = _RUNS.replace(_FLAG_ROWS, _ALL_ROWS).replace(f"ORDER BY {_FLAG_ORDER}", f"ORDER BY {_ALL_ORDER}, _copy")
+_KEY_SUM = "CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY run ORDER BY " + _ALL_ORDER + ", _copy ROWS BETWEEN UNBOUNDED PRECEDING AND {} PRECEDING), 0) AS BIGINT) AS total"
+_ROW = "l_orderkey, l_linenumber, l_returnflag, l_quantity"
 
 
 def _all(spark, sf_dir):
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_ALL)
-    copies = Window.partitionBy(*_ALL).orderBy("l_orderkey")
-    return prim.Ordered(items.withColumn("_copy", F.row_number().over(copies)), *_ALL, "_copy")
+    return prim.Ordered(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_ALL), *_ALL)
+
+
+def _flagged(spark, sf_dir):
+    return _items(spark, sf_dir, "l_quantity").withColumn("flag", (F.col("l_linenumber") % 3 == 0).cast("int"))
+
+
+def _by_custkey(spark, sf_dir):
+    orders = _orders(spark, sf_dir).select("o_custkey", "o_orderkey", "o_totalprice")
+    return prim.Ordered(orders, "o_custkey", "o_orderkey")
+
+
+def _text_round_trip(spark, sf_dir):
+    """The trade graph through its text form and back."""
+    path = new_path(spark, "graph-text")
+    write_text(trade_graph(spark, sf_dir), path)
+    return from_text(spark, path).labelled_edges()
+
+
+def _nuclei(spark, sf_dir):
+    """Nuclei of all patterns of the catalog, which are all that the tables need not be read for."""
+    rows = [(n, *r) for n, (_, p) in PATTERNS.items() for rs in ((1, 2), (2, 3), (3, 4)) for r in structure.nuclei_rows(p.adjacency(), *rs)]
+    return spark.createDataFrame(rows, "pattern string, id int, parent int, k int, r int, s int, n_vertices int, n_edges int, density double")
+
+
+# Peeling in SQL: each round keeps what still has support, and ends when a round drops nothing.
+_KCORE_SQL = f"""WITH RECURSIVE {_COORDER},
+r(i, src, dst) AS (
+  SELECT 0, src, dst FROM e
+  UNION ALL
+  SELECT i + 1, src, dst FROM (
+    SELECT *, min(least(a, b)) OVER () AS low FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM r))
+  WHERE low < 4 AND a >= 4 AND b >= 4)
+SELECT src AS id, count(*) AS degree FROM r WHERE i = (SELECT max(i) FROM r) GROUP BY src"""
+
+# The h-index of the neighbours' values, until nothing changes.
+_CORE_SQL = f"""WITH RECURSIVE {_COORDER},
+r(i, id, core, changed) AS (
+  SELECT 0, src, count(*), 1 FROM e GROUP BY src
+  UNION ALL
+  SELECT i + 1, id, h, CAST(sum(CASE WHEN h <> core THEN 1 ELSE 0 END) OVER () AS BIGINT) FROM (
+    SELECT any_value(i) AS i, src AS id, any_value(own) AS core, max(least(value, place)) AS h FROM (
+      SELECT r.i, e.src, o.core AS own, r.core AS value, row_number() OVER (PARTITION BY e.src ORDER BY r.core DESC) AS place
+      FROM e JOIN r ON r.id = e.dst JOIN r o ON o.id = e.src WHERE r.changed > 0) GROUP BY src))
+SELECT v.id, CAST(coalesce(l.core, 0) AS BIGINT) AS core FROM v LEFT JOIN (SELECT id, core FROM r WHERE i = (SELECT max(i) FROM r)) l ON l.id = v.id"""
+
+_TRIANGLES = "t AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN e c ON c.src = a.src AND c.dst = b.dst)"
+_KTRUSS_SQL = f"""WITH RECURSIVE {_COORDER}, {_TRIANGLES},
+r(i, x, y, z) AS (
+  SELECT 0, x, y, z FROM t
+  UNION ALL
+  SELECT i + 1, x, y, z FROM (
+    SELECT any_value(i) AS i, x, y, z, min(n) AS n, min(min(n)) OVER () AS low FROM (
+      SELECT i, x, y, z, count(*) OVER (PARTITION BY p.a, p.b) AS n FROM (SELECT i, x, y, z, unnest([{{'a': x, 'b': y}}, {{'a': x, 'b': z}}, {{'a': y, 'b': z}}]) AS p FROM r))
+    GROUP BY x, y, z)
+  WHERE low < 2 AND n >= 2),
+last AS (SELECT * FROM r WHERE i = (SELECT max(i) FROM r))
+SELECT x AS a, y AS b FROM last UNION SELECT x, z FROM last UNION SELECT y, z FROM last"""
+
+_NUCLEUS_SQL = f"""WITH {_COORDER}, {_TRIANGLES},
+q AS (SELECT s.x, s.y, s.z, o.z AS w FROM t s JOIN t o ON s.x = o.x AND s.y = o.y AND s.z < o.z JOIN e ON e.src = s.z AND e.dst = o.z)
+SELECT x, y, z FROM q UNION SELECT x, y, w FROM q UNION SELECT x, z, w FROM q UNION SELECT y, z, w FROM q"""
 
 
 def _orders(spark, sf_dir):
@@ -208,6 +270,11 @@ QUERIES = {
     "cand_edges_refined": _refined,
     "cand_first": lambda s, d: filtering.first_candidates(_refined(s, d), 2),
     "cand_stats": lambda s, d: filtering.candidate_stats(_refined(s, d)),
+    "cand_counts": lambda s, d: filtering.candidate_counts(filtering.candidates(_sparse(s, d), _P)),
+    "cand_counts_coorder": lambda s, d: filtering.candidate_counts(filtering.candidates(coorder_graph(s, d), _P)),
+    "match_partial_counts": lambda s, d: match(trade_graph(s, d), PATTERNS["triangle"][1], method="BFS").partial_counts(),
+    "graph_text_round_trip": _text_round_trip,
+    "nuclei_report": _nuclei,
     "cand_nlf_coorder": lambda s, d: filtering.candidates(coorder_graph(s, d), _P),
     "cand_edges_coorder": lambda s, d: filtering.candidate_edges(coorder_graph(s, d), _P),
     "cand_edges_refined_coorder": partial(_refined, graph="coorder"),
@@ -233,13 +300,26 @@ QUERIES = {
     "prim_reduce_by_key": lambda s, d: prim.reduce_by_key(_flags(s, d), "l_returnflag", _qty()),
     "prim_rle": lambda s, d: prim.run_lengths(_flags(s, d), "l_returnflag"),
     "prim_rle_nontrivial": lambda s, d: prim.run_lengths(_flags(s, d), "l_returnflag").filter("length > 1"),
-    "prim_select_unique_all": lambda s, d: prim.unique(_all(s, d), "l_returnflag").drop("_copy"),
-    "prim_exclusive_sum_all": lambda s, d: _all(s, d).scan(_qty(), "total", inclusive=False).drop("_copy"),
-    "prim_inclusive_sum_all": lambda s, d: _all(s, d).scan(_qty(), "total").drop("_copy"),
+    "prim_select_unique_all": lambda s, d: prim.unique(_all(s, d), "l_returnflag"),
+    "prim_exclusive_sum_all": lambda s, d: _all(s, d).scan(_qty(), "total", inclusive=False),
+    "prim_inclusive_sum_all": lambda s, d: _all(s, d).scan(_qty(), "total"),
     "prim_reduce_by_key_all": lambda s, d: prim.reduce_by_key(_all(s, d), "l_returnflag", _qty()),
     "prim_rle_all": lambda s, d: prim.run_lengths(_all(s, d), "l_returnflag"),
     "prim_rle_nontrivial_all": lambda s, d: prim.run_lengths(_all(s, d), "l_returnflag").filter("length > 1"),
     "prim_adjacent_diff_all": lambda s, d: _all(s, d).before(_qty(), "_b").select(*_ALL, (_qty() - F.coalesce("_b", F.lit(0))).alias("diff")),
+    "prim_scan_max": lambda s, d: _all(s, d).scan_by(_qty(), "most"),
+    "prim_scan_min": lambda s, d: _all(s, d).scan_by(_qty(), "least", F.min),
+    "prim_scan_max_exclusive": lambda s, d: _all(s, d).scan_by(_qty(), "most", inclusive=False),
+    "prim_inclusive_sum_by_key": lambda s, d: _all(s, d).scan_by_key("l_returnflag", _qty(), "total"),
+    "prim_exclusive_sum_by_key": lambda s, d: _all(s, d).scan_by_key("l_returnflag", _qty(), "total", inclusive=False),
+    "prim_sort_keys_descending": lambda s, d: prim.Ordered(_orders(s, d).select("o_orderkey", (-F.col("o_custkey")).alias("down"), "o_custkey"), "down", "o_orderkey").position("position").drop("down"),
+    "prim_sort_pairs": lambda s, d: _by_custkey(s, d).position("position"),
+    "prim_select_flagged": lambda s, d: prim.select_flagged(_flagged(s, d), "flag"),
+    "prim_partition_flagged": lambda s, d: prim.partition_flagged(_flagged(s, d), "flag"),
+    "prim_unique_by_key": lambda s, d: prim.unique(_by_custkey(s, d), "o_custkey"),
+    "prim_right_diff": lambda s, d: _all(s, d).after(_qty(), "_a").select(*_ALL, (_qty() - F.coalesce("_a", F.lit(0))).alias("diff")),
+    "prim_segmented_arg": lambda s, d: prim.segmented_arg(_orders(s, d), "o_custkey", "o_totalprice", "o_orderkey"),
+    "prim_histogram_multi": lambda s, d: prim.histogram_multi(_items(s, d, "l_quantity", "l_discount"), {"quantity": (F.col("l_quantity"), 0.0, 50.0, 10), "line": (F.col("l_linenumber").cast("double"), 1.0, 5.0, 4)}),
     "prim_histogram": lambda s, d: prim.histogram_even(_items(s, d, "l_quantity"), F.col("l_quantity"), 0.0, 50.0, 10),
     "prim_histogram_range": lambda s, d: prim.histogram_range(_items(s, d, "l_quantity"), F.col("l_quantity"), [0.0, 5.0, 20.0, 40.0, 51.0]),
     "prim_partition": lambda s, d: prim.partition3(_items(s, d, "l_quantity"), F.col("l_quantity") < 10, F.col("l_quantity") < 40).groupBy("part").agg(F.count("*").alias("n")),
@@ -268,6 +348,13 @@ _SQL = {
     "cand_edges_refined": f"WITH {_SPARSE}, {_ecand_sql(_P)} SELECT * FROM er",
     "cand_first": f"WITH {_SPARSE}, {_ecand_sql(_P)} SELECT src AS v, count(DISTINCT qe) AS k FROM er WHERE u = 2 GROUP BY src",
     "cand_stats": f"WITH {_SPARSE}, {_ecand_sql(_P)} SELECT qe, u, w, count(DISTINCT src) AS n_keys, count(*) AS n_pairs FROM er GROUP BY qe, u, w",
+    "cand_counts": f"WITH {_SPARSE}, {_cand_sql(_P)} SELECT u, count(*) AS n FROM cand GROUP BY u",
+    "cand_counts_coorder": f"WITH {_COORDER}, {_cand_sql(_P)} SELECT u, count(*) AS n FROM cand GROUP BY u",
+    "graph_text_round_trip": f"WITH {TRADE_SQL} SELECT src, dst, ls, ld FROM e",
+    "kcore": _KCORE_SQL,
+    "core_numbers": _CORE_SQL,
+    "ktruss": _KTRUSS_SQL,
+    "nucleus34": _NUCLEUS_SQL,
     "cand_nlf_coorder": f"WITH {_COORDER}, {_cand_sql(_P)} SELECT u, v FROM cand",
     "cand_edges_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT * FROM ec",
     "cand_edges_refined_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT * FROM er",
@@ -280,7 +367,7 @@ _SQL = {
     "clique4_count": f"WITH {_SPARSE} SELECT count(*) AS cliques FROM e a, e b, e c, e x, e y, e z WHERE a.src < a.dst AND a.dst = b.src AND b.src < b.dst AND b.dst = c.src AND c.src < c.dst AND x.src = a.src AND x.dst = b.dst AND y.src = a.src AND y.dst = c.dst AND z.src = a.dst AND z.dst = c.dst",
     "clique4_count_coorder": f"WITH {_COORDER} {_CLIQUES}",
     "prim_select_if": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 40",
-    "prim_select_unique": f"WITH {_RUNS} SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, run FROM n WHERE head = 1",
+    "prim_select_unique": f"WITH {_RUNS} SELECT {_ROW}, run FROM n WHERE head = 1",
     "prim_exclusive_sum": f"SELECT *, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_QTY_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total FROM {_QTY_ROWS}",
     "prim_inclusive_sum": f"SELECT *, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_QTY_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM {_QTY_ROWS}",
     "prim_sort_keys": "SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS position FROM orders",
@@ -296,6 +383,19 @@ _SQL = {
     "prim_rle_all": f"WITH {_ALL_RUNS} SELECT run, any_value(l_returnflag) AS value, count(*) AS length FROM n GROUP BY run",
     "prim_rle_nontrivial_all": f"WITH {_ALL_RUNS} SELECT run, any_value(l_returnflag) AS value, count(*) AS length FROM n GROUP BY run HAVING count(*) > 1",
     "prim_adjacent_diff_all": f"SELECT {_ALL_ORDER}, CAST(l_quantity AS BIGINT) - coalesce(lag(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy), 0) AS diff FROM {_ALL_ROWS}",
+    "prim_scan_max": f"SELECT {_ALL_ORDER}, max(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy) AS most FROM {_ALL_ROWS}",
+    "prim_scan_min": f"SELECT {_ALL_ORDER}, min(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy) AS least FROM {_ALL_ROWS}",
+    "prim_scan_max_exclusive": f"SELECT {_ALL_ORDER}, max(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM {_ALL_ROWS}",
+    "prim_inclusive_sum_by_key": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, {_KEY_SUM.format(0).replace('0 PRECEDING', 'CURRENT ROW')} FROM n",
+    "prim_exclusive_sum_by_key": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, {_KEY_SUM.format(1)} FROM n",
+    "prim_sort_keys_descending": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS position FROM orders",
+    "prim_sort_pairs": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS position FROM orders",
+    "prim_select_flagged": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber % 3 = 0",
+    "prim_partition_flagged": "SELECT l_orderkey, l_linenumber, l_quantity, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS part FROM lineitem",
+    "prim_unique_by_key": "SELECT o_custkey, min(o_orderkey) AS o_orderkey, first(o_totalprice ORDER BY o_orderkey) AS o_totalprice, row_number() OVER (ORDER BY o_custkey) AS run FROM orders GROUP BY o_custkey",
+    "prim_right_diff": f"SELECT {_ALL_ORDER}, CAST(l_quantity AS BIGINT) - coalesce(lead(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy), 0) AS diff FROM {_ALL_ROWS}",
+    "prim_segmented_arg": "SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS argmin, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS argmax FROM orders GROUP BY o_custkey",
+    "prim_histogram_multi": "SELECT 'quantity' AS channel, CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 2 UNION ALL SELECT 'line', CAST(l_linenumber - 1 AS BIGINT), count(*) FROM lineitem WHERE l_linenumber >= 1 AND l_linenumber < 5 GROUP BY 2",
     "prim_histogram": "SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 1",
     "prim_histogram_range": "SELECT CAST((l_quantity >= 5)::INT + (l_quantity >= 20)::INT + (l_quantity >= 40)::INT AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 51 GROUP BY 1",
     "prim_partition": "SELECT CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 40 THEN 1 ELSE 2 END AS INTEGER) AS part, count(*) AS n FROM lineitem GROUP BY 1",

@@ -44,6 +44,11 @@ def candidates(g: PropertyGraph, pattern: Pattern) -> DataFrame:
     return met.groupBy("u", "src").agg(F.count("*").alias("k")).filter(F.col("k") == full[F.col("u")]).select("u", F.col("src").alias("v"))
 
 
+def candidate_counts(cand: DataFrame) -> DataFrame:
+    """(u, n): candidates of each pattern vertex that has any."""
+    return cand.groupBy("u").agg(F.count("*").alias("n"))
+
+
 def candidate_edges(g: PropertyGraph, pattern: Pattern, cand: DataFrame | None = None) -> DataFrame:
     """ecand(qe, u, w, src, dst): edges between candidates, for every directed pattern edge."""
     cand = candidates(g, pattern) if cand is None else cand

@@ -3,8 +3,10 @@
 The edges are written once, in a folder for each pair of labels or, where candidates
 are filtered, for each pattern edge, so each join reads only its own slice and Spark
 knows the slice's true size.  Embeddings grow by
-one pattern vertex for each join: the neighbour with the shortest lists gives the new
-vertex, and every further neighbour is a join on both columns, which only filters.
+one pattern vertex for each step.  A vertex with one neighbour before it comes from that
+neighbour's list.  Where there are more, either the shortest list gives the vertex and
+the other edges filter, or the lists of two neighbours are joined to wedges first, which
+meet the rows on both columns at once; whichever is expected to hold fewer rows.
 Inequality is tested between vertices of equal label that have no edge, all others
 differ anyway.
 
@@ -84,19 +86,29 @@ class Match:
             out.pairs[u, w], out.keys[u, w] = found.get((self.pattern.labels[u], self.pattern.labels[w]), (0, 0))
         return out
 
+    def _steps(self, order: list[tuple[int, list[int]]]):
+        """(vertex, neighbour whose list gives it, second neighbour of a wedge or None, other neighbours, rows held at most)."""
+        stats, p = self._stats, self.pattern
+        rows = stats.size(order[0][0], p) if order else 0
+        for u, before in order[1:]:
+            best, *others = sorted(before, key=lambda b: (stats.list_size(b, u), b))
+            held, second = rows * stats.list_size(best, u), None
+            if others:
+                # Pairs of an image of b and one of c that share an image of u.
+                wedges = {(b, c): stats.pairs.get((b, u), 0) * stats.list_size(u, c) for b in before for c in before if b < c}
+                pair = min(wedges, key=lambda bc: (wedges[bc], bc))
+                if wedges[pair] < held:
+                    held, (best, second) = wedges[pair], pair
+                    others = [b for b in before if b not in pair]
+            rows *= stats.list_size(best, u)
+            for b in before:
+                if b != best:
+                    rows *= stats.list_size(b, u) / max(1, stats.size(u, p))
+            yield u, best, second, others, max(held, rows)
+
     def _expected(self) -> float:
         """The most rows that the join chain is expected to hold, edges taken as independent."""
-        rows = most = 1.0
-        for k, (u, before) in enumerate(self._plan.backward()):
-            if not k:
-                rows = self._stats.size(u, self.pattern)
-                continue
-            best, *others = sorted(before, key=lambda b: (self._stats.list_size(b, u), b))
-            rows *= self._stats.list_size(best, u)
-            most = max(most, rows)
-            for b in others:
-                rows *= self._stats.list_size(b, u) / max(1, self._stats.size(u, self.pattern))
-        return most
+        return max((held for *_, held in self._steps(self._plan.backward())), default=1.0)
 
     @property
     def plan(self) -> MatchPlan:
@@ -120,12 +132,15 @@ class Match:
     def _joined(self, order: list[tuple[int, list[int]]], weights: dict[int, DataFrame]) -> DataFrame:
         """Rows over the ordered vertices, with a column f<u> for each folded weight."""
         unequal = self.pattern.same_label_pairs()
-        (start, _), *rest = order
+        self._prepare()
+        start = order[0][0]
         out, placed = None, {start}
-        for u, before in rest:
-            best, *others = sorted(before, key=lambda b: (self._stats.list_size(b, u), b))
+        for u, best, second, others, _ in self._steps(order):
             step = self.slice(best, u)
-            out = step if out is None else out.join(step, f"u{best}")
+            if second is not None:
+                out = out.join(step.join(self.slice(second, u), f"u{u}"), [f"u{best}", f"u{second}"])
+            else:
+                out = step if out is None else out.join(step, f"u{best}")
             for b in others:
                 out = out.join(self.slice(b, u), [f"u{b}", f"u{u}"], "left_semi")
             for a, b in unequal:
@@ -153,6 +168,17 @@ class Match:
             order, weights = self._folded(order)
         return self._total(self._joined(order, weights), weights)
 
+    def partial_counts(self) -> DataFrame:
+        """(group, vertices, rows): partial embeddings after each group of the plan; statistics on request."""
+        order, groups = self.plan.backward(), self.plan.groups
+        out = None
+        for k in range(len(groups)):
+            n = sum(map(len, groups[: k + 1]))
+            rows = self._joined(order[:n], {})
+            part = rows.agg(F.count("*").alias("rows")).select(F.lit(k).alias("group"), F.lit(n).alias("vertices"), "rows")
+            out = part if out is None else out.union(part)
+        return out
+
     def _total(self, out: DataFrame, weights) -> DataFrame:
         product = F.lit(1).cast("bigint")
         for u in weights:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.sources.graphs import PropertyGraph
 from graphloom.sources.shared import remove, written
@@ -42,19 +43,29 @@ def k_core(g: PropertyGraph, k: int) -> DataFrame:
 
 
 def core_numbers(g: PropertyGraph) -> DataFrame:
-    """(id, core) for every vertex."""
-    e, k = g.edges, 1
-    out = g.vertices.select("id", F.lit(0).cast("bigint").alias("core"))
-    while True:
-        e = _core_edges(e, k)
-        inside = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-        least = inside.agg(F.min("degree")).first()[0]  # one row
-        if least is None:
-            return out
-        # All of this core have at least the least degree, so it is that core too.
-        level = inside.select("id", F.lit(least).cast("bigint").alias("k"))
-        out, _ = written(out.join(level, "id", "left").select("id", F.coalesce("k", "core").alias("core")), "core-numbers")
-        k = least + 1
+    """(id, core) for every vertex.
+
+    Every vertex starts with its degree and takes, round by round, the h-index of its
+    neighbours' values, which settles at the core numbers.  Rounds do not grow with the
+    cores but with the longest chain along which values still fall: tens on dense graphs,
+    half its length on a long path.  Neighbours count by value, so a hub costs no task
+    more than its share.
+    """
+    edges, _ = written(g.edges.select("src", "dst"), "core-edges")
+    now, path = written(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")), "core-numbers")
+    total = now.agg(F.sum("core")).first()[0]
+    while total:
+        beside = edges.join(now.select(F.col("id").alias("dst"), "core"), "dst").groupBy("src", "core").agg(F.count("*").alias("n"))
+        reach = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("core")))
+        new = beside.select("src", F.least("core", reach).alias("h")).groupBy(F.col("src").alias("id")).agg(F.max("h").alias("core"))
+        (now, next_path), old = written(new, "core-numbers"), path
+        path = next_path
+        remove(now.sparkSession, old)
+        # Values only ever fall: the same sum means the same values.
+        before, total = total, now.agg(F.sum("core")).first()[0]
+        if before == total:
+            break
+    return g.vertices.select("id").join(now, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))
 
 
 def oriented(edges: DataFrame) -> DataFrame:

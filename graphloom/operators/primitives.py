@@ -15,13 +15,17 @@ from graphloom.sources.shared import written
 
 
 class Ordered:
-    """Rows in a total order, kept with the number of their range partition."""
+    """Rows in a total order, kept with the number of their range partition.
+
+    Rows that tie are numbered once, when they are written, so that every step sees
+    them in the same order; all rows stay.
+    """
 
     def __init__(self, df: DataFrame, *order: str):
-        self.order = list(order)
-        ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+        self.order = [*order, "_row"]
+        ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
         self.rows, _ = written(ranged, "ordered")
-        self.inside = Window.partitionBy("_part").orderBy(*order)
+        self.inside = Window.partitionBy("_part").orderBy(*self.order)
         #: Over one row for each partition.
         self.parts = Window.orderBy("_part")
 
@@ -32,9 +36,28 @@ class Ordered:
 
     def scan(self, value: Column, name: str, inclusive: bool = True) -> DataFrame:
         """The rows with the running sum of value, their own included or not."""
+        return self._scan(value, name, inclusive).drop("_part", "_row")
+
+    def _scan(self, value: Column, name: str, inclusive: bool = True) -> DataFrame:
         frame = self.inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         run = F.coalesce(F.sum(value).over(frame), F.lit(0)) + F.col("_base")
-        return self.rows.join(self._ahead(F.sum(value)), "_part").withColumn(name, run).drop("_base", "_part")
+        return self.rows.join(self._ahead(F.sum(value)), "_part").withColumn(name, run).drop("_base")
+
+    def scan_by(self, value: Column, name: str, reduce=F.max, inclusive: bool = True) -> DataFrame:
+        """The rows with the running greatest (or least) value; null before the first where their own is not included."""
+        frame = self.inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        best = self.rows.groupBy("_part").agg(reduce(value).alias("_t"))
+        base = best.select("_part", reduce("_t").over(self.parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+        pick = F.greatest if reduce is F.max else F.least
+        return self.rows.join(base, "_part").withColumn(name, pick(reduce(value).over(frame), F.col("_base"))).drop("_base", "_part", "_row")
+
+    def scan_by_key(self, key: str, value: Column, name: str, inclusive: bool = True) -> DataFrame:
+        """The rows with the running sum within their run of equal keys: that of all rows less that before the run's head."""
+        total = self._with(self._headed(key)._scan(value, "_sum", inclusive=False))
+        held = F.when(F.col("_head") == 1, F.struct(F.struct(*self.order).alias("at"), F.col("_sum").alias("sum")))
+        out = total.scan_by(held, "_held")
+        before = F.col("_sum") - F.col("_held")["sum"]
+        return out.withColumn(name, before + value if inclusive else before).drop("_sum", "_held", "_head")
 
     def position(self, name: str) -> DataFrame:
         return self.scan(F.lit(1).cast("bigint"), name)
@@ -47,33 +70,44 @@ class Ordered:
         out = self.rows.join(edge, "_part").withColumn(name, F.when(first, F.col("_edge")).otherwise(F.lag(value).over(self.inside)))
         return out.drop("_edge")
 
-    def runs(self, value: Column, name: str = "run") -> DataFrame:
+    def after(self, value: Column, name: str) -> DataFrame:
+        """The rows with the value of the row after, null for the last."""
+        first = self.rows.groupBy("_part").agg(F.min_by(value, F.struct(*self.order)).alias("_v"))
+        edge = first.select("_part", F.lead("_v").over(self.parts).alias("_edge"))
+        end = F.lead(F.lit(1)).over(self.inside).isNull()
+        return self.rows.join(edge, "_part").withColumn(name, F.when(end, F.col("_edge")).otherwise(F.lead(value).over(self.inside))).drop("_edge")
+
+    def _with(self, rows: DataFrame) -> Ordered:
+        """The same order and parts, with further columns."""
+        out = Ordered.__new__(Ordered)
+        out.order, out.inside, out.parts = self.order, self.inside, self.parts
+        out.rows, _ = written(rows, "ordered")
+        return out
+
+    def _headed(self, key: str) -> Ordered:
+        """The rows with ``_head``: 1 where a run of equal values begins, else 0."""
+        # The value before travels in a struct, so that a null is told from no row at all.
+        marked = self.before(F.struct(F.col(key).alias("v")), "_before")
+        same = F.col("_before").isNotNull() & F.col("_before")["v"].eqNullSafe(F.col(key))
+        return self._with(marked.withColumn("_head", F.when(same, 0).otherwise(1).cast("bigint")).drop("_before"))
+
+    def runs(self, key: str, name: str = "run") -> DataFrame:
         """The rows with the number of their run of equal values, from 1 on."""
-        marked = self.before(value, "_before").withColumn("_head", F.when(F.col("_before").eqNullSafe(value) & (F.struct(*self.order) != self._least()), 0).otherwise(1).cast("bigint"))
-        heads = Ordered.__new__(Ordered)
-        heads.order, heads.inside, heads.parts = self.order, self.inside, self.parts
-        heads.rows, _ = written(marked.drop("_before"), "runs")
-        return heads.scan(F.col("_head"), name).drop("_head")
-
-    def _least(self) -> Column:
-        first = self.rows.agg(F.min(F.struct(*self.order)).alias("m")).first()["m"]  # one row
-        return F.struct(*[F.lit(first[c] if first else None).alias(c) for c in self.order])
+        return self._headed(key).scan(F.col("_head"), name).drop("_head")
 
 
 def unique(o: Ordered, value: str) -> DataFrame:
-    """The first row of each run of equal values."""
-    runs = o.runs(F.col(value))
-    first = Window.partitionBy("run").orderBy(*o.order)
-    return runs.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    """The first row of each run of equal values, with the run's number."""
+    return o._headed(value).scan(F.col("_head"), "run").filter("_head = 1").drop("_head")
 
 
 def run_lengths(o: Ordered, value: str) -> DataFrame:
-    return o.runs(F.col(value)).groupBy("run").agg(F.first(value).alias("value"), F.count("*").alias("length"))
+    return o.runs(value).groupBy("run").agg(F.first(value).alias("value"), F.count("*").alias("length"))
 
 
 def reduce_by_key(o: Ordered, key: str, value: Column) -> DataFrame:
     """The sum over each run of equal keys."""
-    return o.runs(F.col(key)).groupBy("run").agg(F.first(key).alias("key"), F.sum(value).alias("total"))
+    return o.runs(key).groupBy("run").agg(F.first(key).alias("key"), F.sum(value).alias("total"))
 
 
 def histogram_even(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -88,6 +122,31 @@ def histogram_range(df: DataFrame, value: Column, bounds: list[float]) -> DataFr
     return v.groupBy(bin_.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_multi(df: DataFrame, channels: dict[str, tuple[Column, float, float, int]]) -> DataFrame:
+    """(channel, bin, n): even histograms of several values of the same rows, in one pass."""
+    each = []
+    for name, (value, low, high, bins) in channels.items():
+        bin_ = F.when((value >= low) & (value < high), F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)) - 1)
+        each.append(F.struct(F.lit(name).alias("channel"), bin_.cast("bigint").alias("bin")))
+    return df.select(F.explode(F.array(*each)).alias("x")).filter("x.bin is not null").groupBy("x.channel", "x.bin").agg(F.count("*").alias("n"))
+
+
+def select_flagged(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose flag is set; a null is not."""
+    return df.filter(F.col(flag) != 0).drop(flag)
+
+
+def partition_flagged(df: DataFrame, flag: str) -> DataFrame:
+    """The rows with their part: 0 where the flag is set, else 1."""
+    return df.withColumn("part", F.when(F.col(flag) != 0, 0).otherwise(1)).drop(flag)
+
+
+def segmented_arg(df: DataFrame, segment: str, value: str, tie: str) -> DataFrame:
+    """(segment, argmin, argmax): ``tie`` of the rows with the least and the greatest value; its least where they tie."""
+    low, high = F.min_by(tie, F.struct(F.col(value), F.col(tie))), F.max_by(tie, F.struct(F.col(value), -F.col(tie)))
+    return df.groupBy(segment).agg(low.alias("argmin"), high.alias("argmax"))
+
+
 def partition3(df: DataFrame, first: Column, second: Column) -> DataFrame:
     """The rows with the number (0, 1, 2) of the first predicate that holds."""
     return df.withColumn("part", F.when(first, 0).when(second, 1).otherwise(2))

@@ -107,6 +107,11 @@ def nuclei(adj: Adjacency, r: int, s: int) -> list[Nucleus]:
     return out
 
 
+def nuclei_rows(adj: Adjacency, r: int, s: int) -> list[tuple]:
+    """(id, parent, k, r, s, n_vertices, n_edges, density) of every nucleus of a pattern."""
+    return [(i, n.parent, n.k, r, s, len(n.vertices), n.n_edges, n.density) for i, n in enumerate(nuclei(adj, r, s))]
+
+
 def densest_core(adj: Adjacency) -> set[int]:
     """Where matching starts: the densest (3, 4) nucleus, else a triangle, else an edge, of greatest degree sum."""
     best = max(nuclei(adj, 3, 4), key=lambda n: (n.density, len(n.vertices), -min(n.vertices)), default=None)

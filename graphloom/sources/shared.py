@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     spark.sparkContext.setCheckpointDir(root)
     return root

@@ -6,24 +6,27 @@ from graphloom.plans.pattern import Pattern
 from graphloom.sources.graphs import from_text
 from tests.graphs import embeddings, frames, random_graph, random_pattern
 
-SAMPLE = """t 8 9
-v 0 13 3
-v 1 0 2
-v 2 8 3
-v 3 11 4
-v 4 9 1
-v 5 10 2
-v 6 11 2
-v 7 3 1
+#: A triangle of three labels (2, 4, 5), an edge of one label twice (1-6), and two ends.
+SAMPLE = """t 9 10
+v 0 21 1
+v 1 35 4
+v 2 40 3
+v 3 17 2
+v 4 52 3
+v 5 64 3
+v 6 35 2
+v 7 17 1
+v 8 70 1
 e 0 1
-e 0 2
-e 0 5
+e 1 2
+e 1 6
 e 1 3
-e 2 3
+e 2 4
 e 2 5
-e 3 4
+e 4 5
 e 3 6
-e 6 7
+e 4 8
+e 5 7
 """
 
 
@@ -38,10 +41,10 @@ def n(m):
 
 
 def test_sample_graph(sample):
-    assert sample.vertices.count() == 8 and sample.edges.count() == 18
-    assert sorted(map(tuple, match(sample, Pattern([13, 8, 10], [(0, 1), (0, 2), (1, 2)])).rows().collect())) == [(0, 2, 5)]
-    assert sorted(map(tuple, match(sample, Pattern([11, 11], [(0, 1)])).rows().collect())) == [(3, 6), (6, 3)]
-    assert n(match(sample, Pattern([11], []))) == 2 and n(match(sample, Pattern([77, 11], [(0, 1)]))) == 0
+    assert sample.vertices.count() == 9 and sample.edges.count() == 20
+    assert sorted(map(tuple, match(sample, Pattern([40, 52, 64], [(0, 1), (0, 2), (1, 2)])).rows().collect())) == [(2, 4, 5)]
+    assert sorted(map(tuple, match(sample, Pattern([35, 35], [(0, 1)])).rows().collect())) == [(1, 6), (6, 1)]
+    assert n(match(sample, Pattern([35], []))) == 2 and n(match(sample, Pattern([77, 35], [(0, 1)]))) == 0
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -99,7 +102,7 @@ def test_text_reader(spark, tmp_path):
     loose.write_text("e 1 0\ne 0 1\nt 2 1\ne 1 1\nv 1 5 9\nv 0 5 1\n\n")
     g = from_text(spark, str(loose))
     assert sorted(map(tuple, g.edges.collect())) == [(0, 1), (1, 0)] and g.vertices.count() == 2
-    for bad in (SAMPLE + "e 0 1\n", SAMPLE + "e 3 3\n", SAMPLE + "e 0 44\n", SAMPLE.replace("v 7 3 1", "v 7 3 2"), SAMPLE.replace("t 8", "t 9")):
+    for bad in (SAMPLE + "e 0 1\n", SAMPLE + "e 3 3\n", SAMPLE + "e 0 44\n", SAMPLE.replace("v 7 17 1", "v 7 17 2"), SAMPLE.replace("t 9", "t 8")):
         loose.write_text(bad)
         with pytest.raises(ValueError):
             from_text(spark, str(loose), strict=True)
@@ -114,3 +117,22 @@ def test_text_round_trip(spark, tmp_path, sample):
     again = from_text(spark, str(tmp_path / "out"), strict=True)
     assert sorted(map(tuple, again.edges.collect())) == sorted(map(tuple, sample.edges.collect()))
     assert sorted(map(tuple, again.vertices.collect())) == sorted(map(tuple, sample.vertices.collect()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wedges_against_permutations(spark, seed):
+    """Rings and cliques, where wedges are cheaper than lists."""
+    graph = random_graph(seed + 30, n=10, p=0.6, labels=2)
+    g = frames(spark, graph)
+    for pattern in (Pattern([0, 1, 0, 1], [(0, 1), (1, 2), (2, 3), (0, 3)]), Pattern([0, 1, 1, 0, 1], [(0, 1), (0, 2), (1, 2), (0, 3), (0, 4), (3, 4)])):
+        want = embeddings(graph, pattern)
+        m = match(g, pattern)
+        assert sorted(map(tuple, m.rows().collect())) == want and n(match(g, pattern, method="BFS")) == len(want)
+        assert seed or any(second is not None for _, _, second, *_ in m._steps(m.plan.backward()))
+
+
+def test_partial_counts(spark):
+    graph = random_graph(2, n=9, p=0.6, labels=2)
+    pattern = Pattern([0, 1, 0], [(0, 1), (1, 2), (0, 2)])
+    got = [tuple(r) for r in match(frames(spark, graph), pattern, method="BFS").partial_counts().orderBy("group").collect()]
+    assert [g[:2] for g in got] == [(0, 1), (1, 2), (2, 3)] and got[-1][2] == len(embeddings(graph, pattern))

@@ -55,6 +55,12 @@ def test_peeling_queries_take_the_whole_graph(spark, graph, adj, tmp_path):
     assert run("clique4_count_coorder")[0][0] == len(structure.cliques(adj, 4))
 
 
+def test_core_numbers_of_a_clique_with_a_long_tail(spark):
+    edges = [(a, b) for a in range(7) for b in range(a)] + [(k, k + 1) for k in range(6, 40)]
+    g = frames(spark, ({v: 0 for v in range(43)}, set(edges)))
+    assert {r["id"]: r["core"] for r in peeling.core_numbers(g).collect()} == {v: 6 if v < 7 else 1 if v < 41 else 0 for v in range(43)}
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
@@ -72,6 +78,12 @@ def by_k(df, *columns):
 
 def test_scans(ordered, rows):
     sums = list(accumulate(r[2] for r in rows))
+    assert by_k(ordered.scan_by(F.col("n"), "s"), "s") == list(accumulate((r[2] for r in rows), max))
+    assert by_k(ordered.scan_by(F.col("n"), "s", F.min, inclusive=False), "s") == [None, *accumulate((r[2] for r in rows[:-1]), min)]
+    assert by_k(ordered.after(F.col("n"), "b"), "b") == [*(r[2] for r in rows[1:]), None]
+    by_key = [x for _, g in groupby(rows, key=lambda r: r[1]) for x in accumulate(r[2] for r in g)]
+    assert by_k(ordered.scan_by_key("c", F.col("n"), "s"), "s") == by_key
+    assert by_k(ordered.scan_by_key("c", F.col("n"), "s", inclusive=False), "s") == [x - r[2] for x, r in zip(by_key, rows, strict=True)]
     assert by_k(ordered.scan(F.col("n"), "s"), "s") == sums
     assert by_k(ordered.scan(F.col("n"), "s", inclusive=False), "s") == [0, *sums[:-1]]
     assert by_k(ordered.position("p"), "p") == list(range(1, 201))
