@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import shuffle_partitions, spread_join, written
+from graphloom.llm.common import spread_join, written
 from graphloom.llm.links import Forest, components
 
 SAMPLE = 8_192  # vectors to which the codebooks are fitted, at least ...
@@ -47,7 +47,7 @@ SAMPLE_NUMBERS = 1 << 24  # bound of the sample, in vector components
 MOST_WORDS = 8_192  # codewords of a half
 PER_CELL = 4  # vectors for each cell of the grid, counted once
 MOST = 2_048  # members of a cell, or of a side of a comparison, in one task
-BUCKET = 32_768  # rows of cells that travel together
+SPOT = 8  # times as many rows of a spot go to one task
 TARGET_RECALL = 0.995  # of pairs at exactly the least cosine
 CROWD = 8  # sampled neighbours of a pivot
 SHELLS = 16
@@ -81,7 +81,7 @@ def _parts(n: int, step: int = 2_000):
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """k codewords by Lloyd's rounds from a random start."""
+    """k codewords by Lloyd's rounds from a random start, in order along their main axis."""
     rng = np.random.default_rng(seed)
     words = points[rng.choice(len(points), min(k, len(points)), replace=False)]
     for _ in range(rounds):
@@ -90,7 +90,8 @@ def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
         held, at = np.unique(near[order], return_index=True)
         words = words.copy()
         words[held] = np.add.reduceat(points[order], at) / np.diff(np.append(at, len(order)))[:, None]
-    return words
+    axis = np.linalg.svd(words - words.mean(0), full_matrices=False)[2][:1]
+    return words[np.argsort((words @ axis.T).sum(1), kind="stable")]
 
 
 def _least(values: np.ndarray, m: int) -> np.ndarray:
@@ -221,32 +222,41 @@ def _blocks(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame
 
 
 def cell_links(vectors: DataFrame, n: int, words, m: int, dim: int, cosine: float, most: int) -> DataFrame:
-    """Rows (node, n, other): n links more for a class of equal vectors; or, if other is set, a link."""
+    """Rows (node, n, other): n links more for a class of equal vectors; or, if other is set, a link.
+
+    Cells travel by *spots*: those of one codeword of the first half and of a stretch of
+    the second codebook.  A vector goes to each of its spots once, whatever the number of
+    its cells there.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(words)
+    rows_of_spot, seconds = SPOT * most, len(words[1])
+    stretches = int(np.clip(n * m // (len(words[0]) * rows_of_spot), 1, seconds))
+
+    def spot_of(cell):
+        """Of arrays and of columns alike: first codeword, then stretch."""
+        whole = (lambda x, k: x // k) if isinstance(cell, np.ndarray) else (lambda x, k: F.floor(x / F.lit(k)).cast("bigint"))
+        first = whole(cell, seconds)
+        return first * stretches + whole((cell - first * seconds) * stretches, seconds)
 
     def index(batches):
         for whole in batches:
             for s in range(0, whole.num_rows, 2_000):
                 b = whole.slice(s, 2_000)
-                raw = matrix(b.column("vec"), dim)
-                cells = np.sort(traverse(units(raw), shared.value, m), 1)
-                row = pa.array(np.repeat(np.arange(len(raw)), cells.shape[1]))
-                lists = pa.array([c.tobytes() for c in cells.astype("<i4")], pa.binary())
-                data = pa.array([v.tobytes() for v in raw], pa.binary())
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.ravel().astype(np.int32)), "node": b.column("node").take(row), "copies": b.column("copies").take(row), "raw": data.take(row), "cells": lists.take(row)})
-
-    kind = "<f4" if isinstance(vectors.schema["vec"].dataType.elementType, T.FloatType) else "<f8"
-    placed, _ = written(vectors.mapInArrow(index, "cell int, node bigint, copies bigint, raw binary, cells binary"), "imi-cells")
-    part = _blocks(placed, ["cell"], most, "p")
+                cells = np.sort(traverse(units(matrix(b.column("vec"), dim)), shared.value, m), 1)
+                lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), cells.ravel().astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"node": b.column("node"), "copies": b.column("copies"), "vec": b.column("vec"), "cells": lists})
+
+    kind = vectors.schema["vec"].dataType.simpleString()
+    indexed, _ = written(vectors.mapInArrow(index, f"node bigint, copies bigint, vec {kind}, cells array<int>"), "imi-cells")
+    spots = F.array_distinct(F.transform("cells", lambda c: spot_of(c.cast("bigint"))))
+    part = _blocks(indexed.withColumn("spot", F.explode(spots)), ["spot"], rows_of_spot, "p")
     spread = part.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q")).drop("q", "parts")
-    # Many small cells make one group, so that each costs no call of its own.
-    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(max(2 * shuffle_partitions(vectors.sparkSession), n * m // BUCKET))))
 
-    def compare_cell(cell, lo, hi, ids, copies, part, raw, lists):
-        x = units(raw)
-        links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-        left = np.arange(len(ids)) if lo == hi else np.flatnonzero(part == lo)
+    def compare_cell(cell, lo, hi, x, copies, part, lists):
+        """The links of each member, and a forest of them."""
+        links, forest = np.zeros(len(x), np.int64), Forest(len(x))
+        left = np.arange(len(x)) if lo == hi else np.flatnonzero(part == lo)
         right = left if lo == hi else np.flatnonzero(part == hi)
         # A pair is counted here if it shares no earlier cell.
         early = np.where(lists < cell, lists, -1)
@@ -262,26 +272,31 @@ def cell_links(vectors: DataFrame, n: int, words, m: int, dim: int, cosine: floa
                 for c in range(early.shape[1]):
                     fresh[p] &= ~((early[i[p], c, None] == early[j[p]]) & (early[i[p], c, None] >= 0)).any(1)
             i, j = i[fresh], j[fresh]
-            links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            links += np.bincount(i, copies[j], len(x)).astype(np.int64) + np.bincount(j, copies[i], len(x)).astype(np.int64)
             forest.join(i, j)
-        return _result(ids, links, forest)
+        return links, forest
 
     def compare(t):
-        cell, lo, hi = (t.column(c).to_numpy() for c in ("cell", "lo", "hi"))
-        order = np.lexsort((hi, lo, cell))
-        ids, copies, part = (t.column(c).to_numpy()[order] for c in ("node", "copies", "p"))
-        raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), kind).reshape(-1, dim)[order]
-        lists = np.frombuffer(b"".join(t.column("cells").to_pylist()), "<i4").reshape(len(ids), -1)[order]
-        cell, lo, hi = cell[order], lo[order], hi[order]
-        head = np.flatnonzero(np.diff(cell, prepend=-1) | np.diff(lo, prepend=-1) | np.diff(hi, prepend=-1))
-        out = [pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())]).empty_table()]
-        for a, z in zip(head, np.append(head[1:], len(ids)), strict=True):
+        spot, lo, hi = (t.column(c)[0].as_py() for c in ("spot", "lo", "hi"))
+        ids, copies, part = (t.column(c).to_numpy() for c in ("node", "copies", "p"))
+        x, lists = units(matrix(t.column("vec").combine_chunks(), dim)), matrix(t.column("cells").combine_chunks(), min(m, len(words[0]) * seconds)).astype(np.int64)
+        row, at = np.nonzero(spot_of(lists) == spot)
+        cell = lists[row, at]
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        links, tied = np.zeros(len(ids), np.int64), [np.zeros((2, 0), np.int64)]
+        head = np.flatnonzero(np.diff(cell, prepend=-1))
+        for a, z in zip(head, np.append(head[1:], len(row)), strict=True):
             if z - a > 1:
-                p = slice(a, z)
-                out.append(compare_cell(cell[a], lo[a], hi[a], ids[p], copies[p], part[p], raw[p], lists[p]))
-        return pa.concat_tables(out)
+                r = row[a:z]
+                more, forest = compare_cell(cell[a], lo, hi, x[r], copies[r], part[r], lists[r])
+                links[r] += more  # a row is in a cell once
+                tied.append(np.stack([r, r[forest.roots()]]))
+        forest = Forest(len(ids))
+        forest.join(*np.concatenate(tied, 1))
+        return _result(ids, links, forest)
 
-    return spread.groupBy("bucket").applyInArrow(compare, _FOUND)
+    return spread.groupBy("spot", "lo", "hi").applyInArrow(compare, _FOUND)
 
 
 def ball_links(vectors: DataFrame, at: np.ndarray, dim: int, cosine: float, most: int) -> tuple[DataFrame, DataFrame]:
