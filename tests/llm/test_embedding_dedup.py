@@ -130,6 +130,12 @@ def test_empty_and_unusable(spark):
     assert sorted(map(tuple, embedding_dedup.near_duplicates(one).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_vectors_of_one_part(spark):
+    """The first half is empty then."""
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [-1.0]), (4, None)], "vec_id bigint, embedding array<float>")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(20, 60)] + [(3, 7), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
