@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, mixing, packing, quality, simhash, substring_dedup, token_counts, token_files, toxicity, warc
+from graphloom.llm import alignment, clustering, embedding_dedup, mixing, packing, piece_codec, quality, simhash, substring_dedup, token_counts, token_files, toxicity, warc
 from graphloom.llm.common import table, tokenizer_path
 
-WORD_BPE, PIECE_BPE, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 1
+WORD_BPE, BYTE_BPE, PIECE_BPE, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model", 1
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,47 @@ FROM z
 """
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.cross_alignment(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_codec.coded(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """The same rounds in a recursive query, every vector against every centroid."""
+    nearest = """SELECT vec_id, x, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+      SELECT q.vec_id, q.x, t.c, list_sum(list_transform(list_zip(q.x, t.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM q, {} t) GROUP BY vec_id, x"""
+    return f"""
+WITH RECURSIVE q AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {dims}),
+r(i, c, x) AS (
+  SELECT 0, c, x FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, x FROM q) WHERE c < {k}
+  UNION ALL
+  SELECT r.i + 1, r.c, coalesce(m.x, r.x) FROM r LEFT JOIN (
+    SELECT c, list(v ORDER BY dim) AS x FROM (
+      SELECT c, dim, CAST((sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+      FROM (SELECT c, unnest(x) AS v, unnest(range({dims})) AS dim FROM ({nearest.format("r")})) GROUP BY c, dim) GROUP BY c) m ON m.c = r.c
+  WHERE r.i < {rounds}),
+f AS (SELECT c, x FROM r WHERE i = {rounds}),
+a AS ({nearest.format("f")})
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a JOIN f ON f.c = a.c
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -152,6 +193,9 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_cross_alignment": op11_cross_alignment,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_clustering": op13_clustering,
 }
 
-ORACLE_SQL = {"op9_mixing": _op9_sql(), "op10_quality": _op10_sql()}
+ORACLE_SQL = {"op9_mixing": _op9_sql(), "op10_quality": _op10_sql(), "op13_clustering": _op13_sql()}

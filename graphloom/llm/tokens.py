@@ -20,7 +20,7 @@ CACHE_CHUNKS = 600_000
 _TAIL = b".,!?;:"
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable character by which byte-level vocabularies write each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, extra = [""] * 256, 0
@@ -53,7 +53,7 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.cache = cache
         self._clear()
 
