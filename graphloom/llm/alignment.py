@@ -4,11 +4,12 @@ A is a byte-level vocabulary read by tokenizers, applied to a space and the text
 sentencepiece model, which adds that space itself.  Tokens become rows (``posexplode``);
 a window sums their byte lengths to the byte at which each ends; ends of A and B meet by
 an equi-join on document and end.  An end is unique on each side, so that join is a
-grouping of both sides' rows, which needs no exchange.  Bytes where both end are cuts; a
-running count of cuts numbers the groups.  Between two neighbouring ends lies a stretch
-of bytes under one token of each side, and each pair that overlaps has one such stretch,
-so links are a range join that a running window answers: each end takes the next token
-of either side.
+grouping of both sides' rows, which needs no exchange.  (An end is written with the token
+that it begins, so that all steps read rows in ascending order and none sorts anew.)
+Bytes where both end are cuts; a running count of cuts numbers the groups.  Between two
+neighbouring ends lies a stretch of bytes under one token of each side, and each pair
+that overlaps has one such stretch, so links are a range join that a running window
+answers: each stretch takes the last token of either side that began.
 
 What meets are *fragments*, not whole documents.  No token of either side crosses a
 single space or line end between two other characters (checked on loading for B; for A
@@ -30,6 +31,7 @@ import re
 import uuid
 from array import array
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import new_path, remove, shuffle_partitions, written
 from graphloom.llm.tokens import byte_letters, slices
 
-#: A unit ends with the batch in which its fragments reach this many tokens or bytes.
-UNIT_TOKENS, UNIT_BYTES = 8_000_000, 48_000_000
+#: A unit ends with the batch in which its fragments reach this many tokens of A or bytes: larger units repeat less, and take more memory.
+UNIT_TOKENS, UNIT_BYTES = 1_000_000, 16_000_000
 #: Fewer pairs than this hold more than one in so many links each; only those are broadcast.
 HOT_PAIRS = 200_000
 #: A pair of ids as one number: A's id times this, plus B's.
@@ -52,45 +54,50 @@ SPAN = 1 << 32
 _OTHER_SPACE = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\x80", b"\xe2\x80\x81", b"\xe2\x80\x82", b"\xe2\x80\x83", b"\xe2\x80\x84", b"\xe2\x80\x85", b"\xe2\x80\x86", b"\xe2\x80\x87", b"\xe2\x80\x88", b"\xe2\x80\x89", b"\xe2\x80\x8a", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", "▁".encode())
 _CUT = re.compile(r"(?<![\s▁])(?=[ \n][^\s▁])")
 _PLAIN_TAIL = b".,!?;:"
+_WHOLE = b"\xff"
 
 
 def fragments(text: bytes) -> list[bytes]:
-    """A space and the text, cut before single spaces and line ends between other characters."""
+    """A space and the text, cut before single spaces and line ends between other characters; a space at the start of a fragment is left out.
+
+    A fragment of a space and a line end keeps its space, behind a byte that no text holds.
+    """
     words = text.split()
     if len(words) == text.count(b" ") + text.count(b"\n") + 1 and not any(s in text for s in _OTHER_SPACE):
-        if b"\n" not in text:
-            return [b" " + w for w in words]
-        return [w if w[:1] == b"\n" else b" " + w for w in text.replace(b"\n", b" \n").split(b" ")]
-    return [x.encode() for x in _CUT.split(" " + text.decode()) if x]
+        return text.replace(b"\n", b" \n").split(b" ") if b"\n" in text else words
+    cut = [x.encode() for x in _CUT.split(" " + text.decode()) if x]
+    return [x[1:] if x[:1] == b" " and x[1:2] != b"\n" else x if x[:1] == b"\n" else _WHOLE + x for x in cut]
 
 
 class FragmentTokens(dict):
-    """Fragment -> its number in the unit; ids and byte lengths of both sides in growing arrays."""
+    """Fragment -> its number in the unit; ids of both sides in growing arrays."""
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.model, self.letters = self.a.model, byte_letters()
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = np.zeros(max(vocab.values()) + 1, np.int32)
-        for token, i in vocab.items():
-            self.a_bytes[i] = len(token)
+        self.tok = Tokenizer.from_file(byte_path)
+        self.tok.encode_special_tokens = True
+        self.model, self.letters = self.tok.model, byte_letters()
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
         if any(x not in vocab for x in self.letters):
             raise ValueError("the byte-level vocabulary lacks some bytes")
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("pieces of this vocabulary span white space")
-        self.b_text = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.piece_bytes = [bytes([int(p[3:-1], 16)]) if self.sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        #: Byte lengths of each side's ids.
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int32), np.array([len(x) for x in self.piece_bytes], np.int32)
+        for token, i in vocab.items():
+            self.sizes[0][i] = len(token)
+        self.space, self.line = self.letters[32], [t.id for t in self.model.tokenize(self.letters[10])]
         self.start()
 
     def start(self) -> None:
         """Begins a unit."""
         self.clear()
-        self.ids, self.sizes, self.ends = (array("i"), array("i")), (array("i"), array("i")), (array("q", [0]), array("q", [0]))
+        self.ids, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
         self.bad: set[int] = set()
         self.n_bytes = 0
 
@@ -98,64 +105,73 @@ class FragmentTokens(dict):
     def full(self) -> bool:
         return len(self.ids[0]) >= UNIT_TOKENS or self.n_bytes >= UNIT_BYTES
 
-    def _a(self, fragment: bytes, text: str) -> list[int]:
+    def byte_side(self, fragment: bytes) -> list[int]:
         """A word with an optional tail of stops is one or two pre-tokens; all else goes through the library's pattern."""
-        stem = fragment[1:].rstrip(_PLAIN_TAIL)
-        tail = fragment[1 + len(stem) :]
-        word = stem.decode()
-        if not word.isalpha() or max(word) > "ɏ":
-            return self.a.encode(text, add_special_tokens=False).ids
-        word = "".join(self.letters[x] for x in stem) if not stem.isascii() else word
-        first, ids = self.letters[fragment[0]], []
-        if fragment[:1] == b" ":
-            word = first + word
+        if fragment[:1] == _WHOLE:
+            return self.tok.encode(fragment[1:].decode(), add_special_tokens=False).ids
+        lead, tokenize = fragment[:1] == b"\n", self.model.tokenize
+        whole = fragment[1:] if lead else fragment
+        stem = whole.rstrip(_PLAIN_TAIL)
+        if stem.isalpha():  # ASCII letters
+            word = stem.decode()
         else:
-            ids = [t.id for t in self.model.tokenize(first)]
-        ids += [t.id for t in self.model.tokenize(word)]
-        return ids + [t.id for t in self.model.tokenize(tail.decode())] if tail else ids
-
-    def __missing__(self, fragment: bytes) -> int:
-        n, text = len(self), fragment.decode()
-        if text[0] == " ":
-            b = self.b.encode(text[1:]) if len(text) > 1 else self.b.encode(text)[:0]
-        else:  # the mark that the library puts before a first word is no part of the fragment
-            b = self.b.encode(text)[1:]
-        a = self._a(fragment, text)
-        parts = [self.b_text[i] for i in b]
-        if b"".join(parts) != fragment:
-            self.bad.add(n)
-        for side, ids in enumerate((a, b)):
-            self.ids[side].extend(ids)
-            self.ends[side].append(len(self.ids[side]))
-        self.sizes[0].extend(self.a_bytes[a].tolist())
-        self.sizes[1].extend(map(len, parts))
-        self.n_bytes += len(fragment)
-        self[fragment] = n
-        return n
-
-    def codes(self, text: bytes) -> list[int]:
-        """The text's fragments, or none where its tokens do not give back its bytes."""
-        if not text:
-            return []
-        try:
-            out = list(map(self.__getitem__, fragments(text)))
-        except UnicodeDecodeError:
-            return []
-        if not self.bad.isdisjoint(out):
+            word = stem.decode()
+            if not word.isalpha() or max(word) > "ɏ":
+                return self.tok.encode(fragment.decode() if lead else " " + fragment.decode(), add_special_tokens=False).ids
+            word = "".join([self.letters[x] for x in stem])
+        ids = [t.id for t in tokenize(word if lead else self.space + word)]
+        if len(stem) < len(whole):
+            ids += [t.id for t in tokenize(whole[len(stem) :].decode())]
+        return self.line + ids if lead else ids
+
+    def add(self, new: list[bytes]) -> None:
+        """Numbers new fragments and tokenizes them."""
+        # The library puts the space mark before each; before a line end it is no part of the fragment.
+        (ids_a, ids_b), (ends_a, ends_b), join = self.ids, self.ends, self.piece_bytes.__getitem__
+        texts = [(x[2:] if x[:1] == _WHOLE else x).decode() for x in new]
+        for fragment, b in zip(new, self.sp.encode(texts, num_threads=1), strict=True):
+            if fragment[:1] == b"\n":
+                b, whole = b[1:], fragment
+            elif fragment[:1] == _WHOLE:
+                whole = fragment[1:]
+            else:
+                # An empty fragment is the space alone.
+                b, whole = b or self.sp.encode(" ")[:1], b" " + fragment
+            if b"".join(map(join, b)) != whole:
+                self.bad.add(len(self))
+            ids_a.extend(self.byte_side(fragment))
+            ids_b.extend(b)
+            ends_a.append(len(ids_a))
+            ends_b.append(len(ids_b))
+            self.n_bytes += len(whole)
+            self[fragment] = len(self)
+
+    def codes(self, texts: list[bytes]) -> list[list[int]]:
+        """Each text's fragments, or none where its tokens do not give back its bytes."""
+        cut = []
+        for t in texts:
+            try:
+                t.isascii() or t.decode()
+                cut.append(fragments(t) if t else [])
+            except UnicodeDecodeError:
+                cut.append([])
+        self.add([x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in self])
+        out = [list(map(self.__getitem__, x)) for x in cut]
+        if self.bad:
             at, ids = self.ends[1], self.ids[1]
-            joined = b"".join(self.b_text[i] for c in out for i in ids[at[c] : at[c + 1]])
-            if joined != b" " + text:
-                return []
+            for k, codes in enumerate(out):
+                if not self.bad.isdisjoint(codes) and b"".join(self.piece_bytes[i] for c in codes for i in ids[at[c] : at[c + 1]]) != b" " + texts[k]:
+                    out[k] = []
         return out
 
     def lists(self, first: int, last: int) -> dict[str, pa.Array]:
-        """Ids and sizes of the fragments first to last as lists."""
+        """Ids and byte lengths of the fragments first to last as lists."""
         out = {}
         for side, name in enumerate("ab"):
             at = np.frombuffer(self.ends[side], np.int64)[first : last + 1]
-            for column, data in ((name, self.ids), (f"{name}_len", self.sizes)):
-                values = np.frombuffer(data[side], np.int32)[at[0] : at[-1]] if len(data[side]) else np.zeros(0, np.int32)
-                out[column] = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(values))
+            values = np.frombuffer(self.ids[side], np.int32)[at[0] : at[-1]].copy() if len(self.ids[side]) else np.zeros(0, np.int32)
+            bounds = pa.array((at - at[0]).astype(np.int32))
+            out[name], out[f"{name}_len"] = pa.ListArray.from_arrays(bounds, pa.array(values)), pa.ListArray.from_arrays(bounds, pa.array(self.sizes[side][values]))
         return out
 
 
@@ -183,7 +199,7 @@ def tokenized(df: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         for batch in batches:
             for p, q in slices(batch, "text"):
                 piece = batch.slice(p, q - p)
-                codes = [own.codes(x or b"") for x in piece.column("text").to_pylist()]
+                codes = own.codes([x or b"" for x in piece.column("text").to_pylist()])
                 rows = pa.array(np.arange(row, row + q - p, dtype=np.int64) + (part << 40))
                 yield emit(q - p, row=rows, doc_id=piece.column("doc_id"), codes=pa.array(codes, pa.list_(pa.int32())))
                 row += q - p
@@ -202,46 +218,41 @@ def align(tokens: DataFrame, *keys: str) -> DataFrame:
     """
     side = lambda name, k: F.transform(F.arrays_zip(name, f"{name}_len"), lambda x: F.struct(F.lit(k).alias("side"), x[name].alias("id"), x[f"{name}_len"].alias("n")))
     rows = tokens.select(*keys, F.posexplode(F.concat(side("a", 0), side("b", 1))).alias("pos", "x")).select(*keys, "pos", "x.side", "x.id", "x.n")
-    ended = rows.withColumn("end", F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    # The equi-join of both sides on keys and end.
-    met = ended.groupBy(*keys, "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("b"))
-    # From the last end backwards, so that each end meets the tokens that cover the bytes before it.
-    back = Window.partitionBy(*keys).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    links = met.select(
-        *keys,
-        "end",
-        F.col("a").alias("a_here"),
-        F.col("b").alias("b_here"),
-        F.last("a", True).over(back).alias("a"),
-        F.last("b", True).over(back).alias("b"),
-        F.count(F.when(cut, 1)).over(back).cast("int").alias("g"),
-    )
+    # Where the token before ends: tokens of both sides that start at one byte are told by the same number.
+    length = F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    begun = rows.select(*keys, (length - F.col("n")).cast("int").alias("at"), F.when(F.col("side") == 0, F.col("id")).alias("a"), F.when(F.col("side") == 1, F.col("id")).alias("b"))
+    # The equi-join of both sides on keys and byte, over rows in that order, which the steps below keep.
+    met = begun.sortWithinPartitions(*keys, "at").groupBy(*keys, "at").agg(F.max("a").alias("a_here"), F.max("b").alias("b_here"))
+    # Each stretch of bytes from one number to the next lies under the last tokens that began.
+    so_far = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.col("a_here").isNotNull() & F.col("b_here").isNotNull()
+    links = met.select(*keys, "at", "a_here", "b_here", cut.alias("cut"), F.last("a_here", True).over(so_far).alias("a"), F.last("b_here", True).over(so_far).alias("b"), F.count(F.when(cut, 1)).over(so_far).alias("g"))
     told = links.groupBy(*keys).agg(
         F.count("a_here").alias("n_a"),
         F.count("b_here").alias("n_b"),
-        F.max("g").cast("bigint").alias("n_groups"),
+        F.max("g").alias("n_groups"),
         F.count("*").alias("n_links"),
         F.collect_list(F.col("a").cast("bigint") * SPAN + F.col("b")).alias("pairs"),
-        F.sort_array(F.collect_list(F.struct("end", F.col("a_here").alias("a"), F.col("b_here").alias("b")))).alias("ends"),
+        F.sort_array(F.collect_list(F.struct("at", "cut", F.col("a_here").alias("a"), F.col("b_here").alias("b")))).alias("begun"),
     )
-    # Each side's ids in order, with a line between groups; then the groups of both sides side by side.
-    other = {"a": "b", "b": "a"}
-    one = lambda s: F.split(F.array_join(F.transform(F.filter("ends", lambda x: x[s].isNotNull()), lambda x: F.concat(x[s].cast("string"), F.when(x[other[s]].isNull(), ",").otherwise(";"))), ""), ";")
-    groups = F.array_join(F.filter(F.zip_with(one("a"), one("b"), lambda x, y: F.when(x != "", F.concat(x, F.lit("|"), y))), lambda x: x.isNotNull()), ";")
+    # Each side's ids in order, with a mark before each group's first; then the groups of both sides side by side.
+    one = lambda s: F.split(F.array_join(F.transform(F.filter("begun", lambda x: x[s].isNotNull()), lambda x: F.concat(F.when(x["at"] == 0, "").when(x["cut"], ";").otherwise(","), x[s].cast("string"))), ""), ";")
+    groups = F.array_join(F.zip_with(one("a"), one("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
     return told.select(*keys, "n_a", "n_b", "n_groups", "n_links", "pairs", groups.alias("groups"))
 
 
 @contextmanager
-def _by_some_keys(spark: SparkSession):
-    """Joins on (unit, f) keep tables where they are that are dealt by unit alone; affects plans only."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _in_place(spark: SparkSession):
+    """Joins on (unit, f) keep tables where they are that are dealt by unit alone, and groups of rows in order are read in order; affects plans only."""
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class _Bucketed:
@@ -266,10 +277,35 @@ def pair_counts(documents: DataFrame, aligned: DataFrame) -> DataFrame:
     docs = held.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
     times = aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("k"))
     both = docs.join(times, "pair")
-    most = F.max("docs").over(Window.partitionBy((F.col("pair") / SPAN).cast("bigint")))  # at most as many rows as B has ids
+    most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))  # at most as many rows as B has ids
     return both.select("pair", "docs", (F.col("docs") == most).cast("int").alias("best"), "k")
 
 
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def _assembled(documents: DataFrame, each: DataFrame) -> DataFrame:
+    """doc_id, the sums over each document's fragments, and their groups one after another; a task holds the fragments of one unit."""
+
+    def run(docs: pa.Table, frags: pa.Table) -> pa.Table:
+        size = len(frags)
+        at = np.zeros(size + 1, np.int64)
+        at[frags.column("f").to_numpy()] = np.arange(size)
+        groups = np.array(frags.column("groups").to_pylist() or [""], dtype=object)
+        lists = docs.column("codes").combine_chunks()
+        codes = at[lists.flatten().to_numpy()]
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        out = {"doc_id": docs.column("doc_id")}
+        for name in _NUMBERS:
+            before = np.concatenate([[0], np.cumsum(frags.column(name).to_numpy()[codes])]) if len(codes) else np.zeros(1, np.int64)
+            out[name] = pa.array(np.diff(before[bounds]), pa.int64())
+        out["groups"] = pa.array([";".join(groups[codes[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        return pa.table(out)
+
+    schema = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS) + ", groups string"
+    return documents.groupBy("unit").cogroup(each.groupBy("unit")).applyInArrow(run, schema)
+
+
 def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups for every row of df.
 
@@ -283,7 +319,7 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
     tokens = _Bucketed(tokenized(texts, byte_path, piece_path), n)
     documents = tokens.rows.filter("row is not null").select("unit", "row", "doc_id", "codes")
     pieces = tokens.rows.filter("f is not null").select("unit", "f", "a", "a_len", "b", "b_len")
-    with _by_some_keys(spark):
+    with _in_place(spark):
         aligned = _Bucketed(align(pieces, "unit", "f"), n)
         counts, counts_path = written(pair_counts(documents, aligned.rows), "pair-counts")
         total = counts.agg(F.sum("k")).first()[0] or 0
@@ -293,17 +329,8 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
         sums = lambda x: x.groupBy("unit", "f").agg(F.sum("docs").alias("docs"), F.sum("best").alias("best"))
         rest = links.join(many.select("pair"), "pair", "left_anti").join(counts.filter(~hot).select("pair", "docs", "best"), "pair")
         value = _Bucketed(sums(sums(links.join(many, "pair")).unionByName(rest.select("unit", "f", "docs", F.col("best").cast("bigint").alias("best"))).repartition(n, "unit")), n)
-        each = aligned.rows.drop("pairs").join(value.rows, ["unit", "f"])
-        used = documents.select("unit", "row", F.posexplode("codes").alias("pos", "f")).join(each.hint("shuffle_hash"), ["unit", "f"])
-        totals = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "best", "docs")]
-        told = used.groupBy("unit", "row").agg(*totals, F.sort_array(F.collect_list(F.struct("pos", "groups"))).alias("parts"))
-        joined = told.select("unit", "row", *[c for c in told.columns if c not in ("unit", "row", "parts")], F.array_join("parts.groups", ";").alias("groups"))
-        out = documents.select("unit", "row", "doc_id").join(joined, ["unit", "row"], "left")
-        count = lambda c, name: F.coalesce(c, F.lit(0)).cast("bigint").alias(name)
-        result, _ = written(
-            out.select("doc_id", *[count(c, c) for c in ("n_a", "n_b", "n_groups", "n_links")], count("best", "n_best"), count("docs", "count_sum"), F.coalesce("groups", F.lit("")).alias("groups")),
-            "alignment",
-        )
+        each = aligned.rows.drop("pairs").join(value.rows, ["unit", "f"]).select("unit", "f", "n_a", "n_b", "n_groups", "n_links", F.col("best").alias("n_best"), F.col("docs").alias("count_sum"), "groups")
+        result, _ = written(_assembled(documents, each), "alignment")
     for table in (tokens, aligned, value):
         table.drop()
     remove(spark, counts_path)
