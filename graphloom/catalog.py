@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import graph_stats
-from graphloom.operators import filtering, peeling
+from graphloom.operators import filtering, hierarchy, peeling
 from graphloom.operators import primitives as prim
 from graphloom.operators.matching import match
-from graphloom.plans import structure
 from graphloom.plans.pattern import Pattern
 from graphloom.sources.graphs import coorder_graph, from_text, trade_graph, write_text
 from graphloom.sources.shared import new_path
@@ -206,20 +206,44 @@ def _text_round_trip(spark, sf_dir):
     return from_text(spark, path).labelled_edges()
 
 
-def _nuclei(spark, sf_dir):
-    """Nuclei of all patterns of the catalog, which are all that the tables need not be read for."""
-    rows = [(n, *r) for n, (_, p) in PATTERNS.items() for rs in ((1, 2), (2, 3), (3, 4)) for r in structure.nuclei_rows(p.adjacency(), *rs)]
-    return spark.createDataFrame(rows, "pattern string, id int, parent int, k int, r int, s int, n_vertices int, n_edges int, density double")
+#: Peels ask for this share of the mean support, which drops some and keeps some.
+PEEL_SHARE = 0.7
+
+
+def _peel_k(total: DataFrame) -> int:
+    """The support asked for: a share of the mean, from one row (n, of)."""
+    r = total.first()
+    return math.ceil(PEEL_SHARE * r["n"] / max(r["of"], 1))
+
+
+def _kcore(spark, sf_dir):
+    g = coorder_graph(spark, sf_dir)
+    return peeling.k_core(g, _peel_k(g.edges.agg(F.count("*").alias("n"), F.countDistinct("src").alias("of"))))
+
+
+def _ktruss(spark, sf_dir):
+    """Edges in enough triangles, of which each has three."""
+    g = coorder_graph(spark, sf_dir)
+    t = peeling.triangle_count(g).select((3 * F.col("triangles")).alias("n"))
+    return peeling.k_truss(g, 2 + _peel_k(t.crossJoin(g.edges.agg((F.count("*") / 2).alias("of")))))  # one row each
+
+
+def _nucleus34(spark, sf_dir):
+    """Triangles in enough cliques of four vertices, each of which has four."""
+    g = coorder_graph(spark, sf_dir)
+    q = peeling.four_clique_count(g).select((4 * F.col("cliques")).alias("n"))
+    return peeling.nucleus34(g, _peel_k(q.crossJoin(peeling.triangle_count(g).select(F.col("triangles").alias("of")))))  # one row each
 
 
 # Peeling in SQL: each round keeps what still has support, and ends when a round drops nothing.
 _KCORE_SQL = f"""WITH RECURSIVE {_COORDER},
+k AS MATERIALIZED (SELECT CAST(ceil({PEEL_SHARE} * count(*) / count(DISTINCT src)) AS BIGINT) AS k FROM e),
 r(i, src, dst) AS (
   SELECT 0, src, dst FROM e
   UNION ALL
   SELECT i + 1, src, dst FROM (
     SELECT *, min(least(a, b)) OVER () AS low FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM r))
-  WHERE low < 4 AND a >= 4 AND b >= 4)
+  WHERE low < (SELECT k FROM k) AND a >= (SELECT k FROM k) AND b >= (SELECT k FROM k))
 SELECT src AS id, count(*) AS degree FROM r WHERE i = (SELECT max(i) FROM r) GROUP BY src"""
 
 # The h-index of the neighbours' values, until nothing changes.
@@ -235,6 +259,7 @@ SELECT v.id, CAST(coalesce(l.core, 0) AS BIGINT) AS core FROM v LEFT JOIN (SELEC
 
 _TRIANGLES = "t AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN e c ON c.src = a.src AND c.dst = b.dst)"
 _KTRUSS_SQL = f"""WITH RECURSIVE {_COORDER}, {_TRIANGLES},
+k AS MATERIALIZED (SELECT CAST(ceil({PEEL_SHARE} * 3 * (SELECT count(*) FROM t) / (SELECT count(*) / 2 FROM e)) AS BIGINT) AS k),
 r(i, x, y, z) AS (
   SELECT 0, x, y, z FROM t
   UNION ALL
@@ -242,13 +267,76 @@ r(i, x, y, z) AS (
     SELECT any_value(i) AS i, x, y, z, min(n) AS n, min(min(n)) OVER () AS low FROM (
       SELECT i, x, y, z, count(*) OVER (PARTITION BY p.a, p.b) AS n FROM (SELECT i, x, y, z, unnest([{{'a': x, 'b': y}}, {{'a': x, 'b': z}}, {{'a': y, 'b': z}}]) AS p FROM r))
     GROUP BY x, y, z)
-  WHERE low < 2 AND n >= 2),
+  WHERE low < (SELECT k FROM k) AND n >= (SELECT k FROM k)),
 last AS (SELECT * FROM r WHERE i = (SELECT max(i) FROM r))
 SELECT x AS a, y AS b FROM last UNION SELECT x, z FROM last UNION SELECT y, z FROM last"""
 
-_NUCLEUS_SQL = f"""WITH {_COORDER}, {_TRIANGLES},
-q AS (SELECT s.x, s.y, s.z, o.z AS w FROM t s JOIN t o ON s.x = o.x AND s.y = o.y AND s.z < o.z JOIN e ON e.src = s.z AND e.dst = o.z)
-SELECT x, y, z FROM q UNION SELECT x, y, w FROM q UNION SELECT x, z, w FROM q UNION SELECT y, z, w FROM q"""
+_FOUR = "f AS MATERIALIZED (SELECT s.x, s.y, s.z, o.z AS w FROM t s JOIN t o ON s.x = o.x AND s.y = o.y AND s.z < o.z JOIN e ON e.src = s.z AND e.dst = o.z)"
+_FACES = "unnest([{'a': x, 'b': y, 'c': z}, {'a': x, 'b': y, 'c': w}, {'a': x, 'b': z, 'c': w}, {'a': y, 'b': z, 'c': w}])"
+_NUCLEUS_SQL = f"""WITH RECURSIVE {_COORDER}, {_TRIANGLES}, {_FOUR},
+k AS MATERIALIZED (SELECT CAST(ceil({PEEL_SHARE} * 4 * (SELECT count(*) FROM f) / (SELECT count(*) FROM t)) AS BIGINT) AS k),
+r(i, x, y, z, w) AS (
+  SELECT 0, x, y, z, w FROM f
+  UNION ALL
+  SELECT i + 1, x, y, z, w FROM (
+    SELECT any_value(i) AS i, x, y, z, w, min(n) AS n, min(min(n)) OVER () AS low FROM (
+      SELECT i, x, y, z, w, count(*) OVER (PARTITION BY p) AS n FROM (SELECT i, x, y, z, w, {_FACES} AS p FROM r))
+    GROUP BY x, y, z, w)
+  WHERE low < (SELECT k FROM k) AND n >= (SELECT k FROM k))
+SELECT DISTINCT p.a AS x, p.b AS y, p.c AS z FROM (SELECT {_FACES} AS p FROM r WHERE i = (SELECT max(i) FROM r))"""
+
+# c(id, v0, ...): the r-cliques, numbered in the order of their vertices; m(q, id): those in each (r + 1)-clique.
+_MEMBERS_SQL = {
+    1: f"{_COORDER}, c AS (SELECT id, id AS v0 FROM v), m AS MATERIALIZED (SELECT q, unnest([src, dst]) AS id FROM (SELECT row_number() OVER () AS q, src, dst FROM e WHERE src < dst))",
+    2: f"""{_COORDER}, {_TRIANGLES},
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst) AS id, src AS v0, dst AS v1 FROM e WHERE src < dst),
+s AS (SELECT row_number() OVER () AS q, * FROM t),
+m AS MATERIALIZED (SELECT q, c.id FROM (SELECT q, unnest([{{'a': x, 'b': y}}, {{'a': x, 'b': z}}, {{'a': y, 'b': z}}]) AS p FROM s) JOIN c ON c.v0 = p.a AND c.v1 = p.b)""",
+    3: f"""{_COORDER}, {_TRIANGLES}, {_FOUR},
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY x, y, z) AS id, x AS v0, y AS v1, z AS v2 FROM t),
+s AS (SELECT row_number() OVER () AS q, * FROM f),
+m AS MATERIALIZED (SELECT q, c.id FROM (SELECT q, {_FACES} AS p FROM s) JOIN c ON c.v0 = p.a AND c.v1 = p.b AND c.v2 = p.c)""",
+}
+# The h-index of the least values of the other members, until nothing changes.
+_ROUNDS_SQL = """r(i, id, n, changed) AS (
+  SELECT 0, id, count(*), 1 FROM m GROUP BY id
+  UNION ALL
+  SELECT i + 1, id, h, CAST(sum(CASE WHEN h <> n THEN 1 ELSE 0 END) OVER () AS BIGINT) FROM (
+    SELECT any_value(i) AS i, id, any_value(n) AS n, max(least(passed, place)) AS h FROM (
+      SELECT i, id, n, passed, row_number() OVER (PARTITION BY id ORDER BY passed DESC) AS place FROM (
+        SELECT i, id, n, CASE WHEN n = v[1] THEN v[2] ELSE v[1] END AS passed FROM (
+          SELECT r.i, m.id, r.n, list_sort(list(r.n) OVER (PARTITION BY m.q)) AS v FROM m JOIN r ON r.id = m.id WHERE r.changed > 0))) GROUP BY id)),
+n AS MATERIALIZED (SELECT id, n FROM r WHERE i = (SELECT max(i) FROM r))"""
+
+
+def _numbers_sql(r: int) -> str:
+    return f"WITH RECURSIVE {_MEMBERS_SQL[r]}, {_ROUNDS_SQL} SELECT {', '.join(f'c.v{k}' for k in range(r))}, CAST(coalesce(n.n, 0) AS BIGINT) AS number FROM c LEFT JOIN n ON n.id = c.id"
+
+
+def _nuclei_sql(r: int) -> str:
+    """Components at every level at once, by passing on the least id."""
+    points = "UNION".join(f" SELECT l.k, l.root, c.v{k} AS x FROM l JOIN c ON c.id = l.id " for k in range(r))
+    n_edges = "SELECT l.k, l.root, count(*) AS n_edges FROM j JOIN l ON l.id = j.a AND j.w >= l.k GROUP BY 1, 2" if r == 1 else "SELECT k, root, count(*) AS n_edges FROM l GROUP BY 1, 2"
+    name = "concat_ws('-', " + ", ".join(f"c.v{k}" for k in range(r)) + ")"
+    return f"""WITH RECURSIVE {_MEMBERS_SQL[r]}, {_ROUNDS_SQL},
+g AS (SELECT q, min(m.id) AS a, min(n) AS w, list(m.id) AS ids FROM m JOIN n ON n.id = m.id GROUP BY q),
+j AS MATERIALIZED (SELECT a, b, max(w) AS w FROM (SELECT a, unnest(ids) AS b, w FROM g) WHERE a <> b GROUP BY a, b),
+both_ways AS MATERIALIZED (SELECT a, b, w FROM j UNION ALL SELECT b, a, w FROM j),
+d(i, k, id, root, changed) AS (
+  SELECT 0, k, id, id, 1 FROM (SELECT DISTINCT n AS k FROM n) JOIN n ON n.n >= k
+  UNION ALL
+  SELECT i + 1, k, id, new, CAST(sum(CASE WHEN new <> root THEN 1 ELSE 0 END) OVER () AS BIGINT) FROM (
+    SELECT any_value(d.i) AS i, d.k, d.id, any_value(d.root) AS root, least(any_value(d.root), min(o.root)) AS new
+    FROM d JOIN both_ways x ON x.a = d.id AND x.w >= d.k JOIN d o ON o.k = d.k AND o.id = x.b WHERE d.changed > 0 GROUP BY d.k, d.id)),
+l AS MATERIALIZED (SELECT k, id, root FROM d WHERE i = (SELECT max(i) FROM d)),
+u AS MATERIALIZED (SELECT l.k, l.root FROM l JOIN n ON n.id = l.id GROUP BY 1, 2 HAVING min(n.n) = l.k),
+up AS (SELECT u.k, u.root, max(p.k) AS up_k, max_by(p.root, p.k) AS up_root FROM u JOIN l ON l.id = u.root AND l.k < u.k JOIN u p ON p.k = l.k AND p.root = l.root GROUP BY 1, 2),
+nv AS (SELECT k, root, count(*) AS n_vertices FROM ({points}) GROUP BY 1, 2),
+ne AS ({n_edges}),
+names AS (SELECT c.id, {name} AS name FROM c)
+SELECT u.k || ':' || a.name AS id, up.up_k || ':' || b.name AS parent, CAST(u.k AS BIGINT) AS k, n_vertices, n_edges, 2 * n_edges / (n_vertices * (n_vertices - 1)) AS density
+FROM u JOIN nv ON nv.k = u.k AND nv.root = u.root JOIN ne ON ne.k = u.k AND ne.root = u.root JOIN names a ON a.id = u.root
+LEFT JOIN up ON up.k = u.k AND up.root = u.root LEFT JOIN names b ON b.id = up.up_root"""
 
 
 def _orders(spark, sf_dir):
@@ -274,7 +362,10 @@ QUERIES = {
     "cand_counts_coorder": lambda s, d: filtering.candidate_counts(filtering.candidates(coorder_graph(s, d), _P)),
     "match_partial_counts": lambda s, d: match(trade_graph(s, d), PATTERNS["triangle"][1], method="BFS").partial_counts(),
     "graph_text_round_trip": _text_round_trip,
-    "nuclei_report": _nuclei,
+    "truss_numbers": lambda s, d: hierarchy.numbers(coorder_graph(s, d), 2),
+    "nucleus_numbers": lambda s, d: hierarchy.numbers(coorder_graph(s, d), 3),
+    "nuclei_core": lambda s, d: hierarchy.nuclei(coorder_graph(s, d), 1),
+    "nuclei_truss": lambda s, d: hierarchy.nuclei(coorder_graph(s, d), 2),
     "cand_nlf_coorder": lambda s, d: filtering.candidates(coorder_graph(s, d), _P),
     "cand_edges_coorder": lambda s, d: filtering.candidate_edges(coorder_graph(s, d), _P),
     "cand_edges_refined_coorder": partial(_refined, graph="coorder"),
@@ -283,10 +374,10 @@ QUERIES = {
     **{f"match_{n}": partial(count_query, n) for n in PATTERNS},
     **{f"match_{n}_rows": partial(rows_query, n) for n in ROWS},
     **{m: partial(count_query, "tailed_triangle", **o) for m, o in MODES.items()},
-    "kcore": lambda s, d: peeling.k_core(coorder_graph(s, d), 4),
+    "kcore": _kcore,
     "core_numbers": lambda s, d: peeling.core_numbers(coorder_graph(s, d)),
-    "ktruss": lambda s, d: peeling.k_truss(coorder_graph(s, d), 4),
-    "nucleus34": lambda s, d: peeling.nucleus34(coorder_graph(s, d), 1),
+    "ktruss": _ktruss,
+    "nucleus34": _nucleus34,
     "triangle_count": lambda s, d: peeling.triangle_count(coorder_graph(s, d)),
     "clique4_count": lambda s, d: peeling.four_clique_count(_sparse(s, d)),
     "clique4_count_coorder": lambda s, d: peeling.four_clique_count(coorder_graph(s, d)),
@@ -355,6 +446,10 @@ _SQL = {
     "core_numbers": _CORE_SQL,
     "ktruss": _KTRUSS_SQL,
     "nucleus34": _NUCLEUS_SQL,
+    "truss_numbers": _numbers_sql(2),
+    "nucleus_numbers": _numbers_sql(3),
+    "nuclei_core": _nuclei_sql(1),
+    "nuclei_truss": _nuclei_sql(2),
     "cand_nlf_coorder": f"WITH {_COORDER}, {_cand_sql(_P)} SELECT u, v FROM cand",
     "cand_edges_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT * FROM ec",
     "cand_edges_refined_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT * FROM er",

@@ -23,7 +23,11 @@ def rows(columns, data):
     return sorted(tuple(str(r[k]) for k in order) for r in data)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLE_SQL if not n.startswith("mode_")])
+#: The smallest tables give the densest graph, with a million cliques of four; tests/test_hierarchy.py has these on small graphs.
+DENSE = ("nucleus_numbers", "nuclei_truss")
+
+
+@pytest.mark.parametrize("name", [n for n in catalog.ORACLE_SQL if not n.startswith("mode_") and n not in DENSE])
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     want = duck.execute(catalog.ORACLE_SQL[name])
