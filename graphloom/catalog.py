@@ -86,6 +86,10 @@ MODES = {
 }
 
 
+ONE_ROUND = ("clique4", "cycle4", "cycle4_same_label")
+REPLANNED = ("tailed_triangle", "bowtie")
+
+
 def count_query(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     graph, pattern = PATTERNS[name]
     return match(GRAPHS[graph][0](spark, sf_dir), pattern, **options).count()
@@ -96,6 +100,13 @@ def rows_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(GRAPHS[graph][0](spark, sf_dir), pattern).rows()
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two triangles at a vertex, in batches of expected rows, counted by the image of that vertex."""
+    m = match(coorder_graph(spark, sf_dir), PATTERNS["bowtie"][1])
+    found = m.rows_in_batches(new_path(spark, "batches"), budget=4_000_000)
+    return found.groupBy("u0").agg(F.count("*").alias("n"))
+
+
 def pattern_sql(name: str, rows: bool = False) -> str:
     """Self-joins of the edge view, one for each pattern edge."""
     graph, p = PATTERNS[name]
@@ -360,7 +371,11 @@ QUERIES = {
     "cand_stats": lambda s, d: filtering.candidate_stats(_refined(s, d)),
     "cand_counts": lambda s, d: filtering.candidate_counts(filtering.candidates(_sparse(s, d), _P)),
     "cand_counts_coorder": lambda s, d: filtering.candidate_counts(filtering.candidates(coorder_graph(s, d), _P)),
-    "match_partial_counts": lambda s, d: match(trade_graph(s, d), PATTERNS["triangle"][1], method="BFS").partial_counts(),
+    "match_partial_counts": lambda s, d: match(trade_graph(s, d), PATTERNS["triangle"][1], method="BFS", filter=False).partial_counts(),
+    **{f"match_{n}_one_round": partial(count_query, n, one_round=True) for n in ONE_ROUND},
+    **{f"match_{n}_replanned": partial(count_query, n, replan=True) for n in REPLANNED},
+    "match_triangle_labels_one_round_rows": lambda s, d: match(coorder_graph(s, d), PATTERNS["triangle_labels"][1], one_round=True).rows(),
+    "match_bowtie_batches": _batches,
     "graph_text_round_trip": _text_round_trip,
     "truss_numbers": lambda s, d: hierarchy.numbers(coorder_graph(s, d), 2),
     "nucleus_numbers": lambda s, d: hierarchy.numbers(coorder_graph(s, d), 3),
@@ -403,6 +418,11 @@ QUERIES = {
     "prim_scan_max_exclusive": lambda s, d: _all(s, d).scan_by(_qty(), "most", inclusive=False),
     "prim_inclusive_sum_by_key": lambda s, d: _all(s, d).scan_by_key("l_returnflag", _qty(), "total"),
     "prim_exclusive_sum_by_key": lambda s, d: _all(s, d).scan_by_key("l_returnflag", _qty(), "total", inclusive=False),
+    "prim_max_by_key": lambda s, d: _all(s, d).scan_by_key("l_returnflag", _qty(), "most", reduce=F.max),
+    "prim_min_by_key_exclusive": lambda s, d: _all(s, d).scan_by_key("l_returnflag", _qty(), "least", inclusive=False, reduce=F.min),
+    "prim_sum_by_key_nan": lambda s, d: _all(s, d).scan_by_key("l_returnflag", F.when(F.col("l_orderkey") % 97 == 0, float("nan")).otherwise(F.col("l_quantity")), "total"),
+    "prim_scan_xor": lambda s, d: _all(s, d).scan_by(F.col("l_partkey"), "mixed", F.bit_xor),
+    "prim_segmented_sort_large": lambda s, d: prim.segmented_sort(_orders(s, d).select("o_orderpriority", "o_orderkey", "o_totalprice"), "o_orderpriority", F.desc("o_totalprice"), "o_orderkey"),
     "prim_sort_keys_descending": lambda s, d: prim.Ordered(_orders(s, d).select("o_orderkey", (-F.col("o_custkey")).alias("down"), "o_custkey"), "down", "o_orderkey").position("position").drop("down"),
     "prim_sort_pairs": lambda s, d: _by_custkey(s, d).position("position"),
     "prim_select_flagged": lambda s, d: prim.select_flagged(_flagged(s, d), "flag"),
@@ -456,6 +476,15 @@ _SQL = {
     "cand_first_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT src AS v, count(DISTINCT qe) AS k FROM er WHERE u = 2 GROUP BY src",
     "cand_stats_coorder": f"WITH {_COORDER}, {_ecand_sql(_P)} SELECT qe, u, w, count(DISTINCT src) AS n_keys, count(*) AS n_pairs FROM er GROUP BY qe, u, w",
     **{f"match_{n}": pattern_sql(n) for n in PATTERNS},
+    **{f"match_{n}_one_round": pattern_sql(n) for n in ONE_ROUND},
+    **{f"match_{n}_replanned": pattern_sql(n) for n in REPLANNED},
+    "match_triangle_labels_one_round_rows": pattern_sql("triangle_labels", rows=True),
+    "match_bowtie_batches": f"SELECT u0, count(*) AS n FROM ({pattern_sql('bowtie', rows=True)}) GROUP BY u0",
+    # The order that BFS takes: the order, its few suppliers, the parts.
+    "match_partial_counts": f"""WITH {TRADE_SQL}, {_cand_sql(PATTERNS["triangle"][1])}
+SELECT CAST(0 AS INTEGER) AS "group", CAST(1 AS INTEGER) AS vertices, (SELECT count(*) FROM cand WHERE u = 0) AS rows
+UNION ALL SELECT 1, 2, (SELECT count(*) FROM e WHERE ls = 4 AND ld = 3)
+UNION ALL SELECT 2, 3, (SELECT count(*) FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.ls = 4 AND a.ld = 3 AND b.ld = 5 AND c.ld = 5)""",
     **{f"match_{n}_rows": pattern_sql(n, rows=True) for n in ROWS},
     **{m: pattern_sql("tailed_triangle") for m in MODES},
     "triangle_count": f"WITH {_coorder_sql()} SELECT count(*) AS triangles FROM e a, e b, e c WHERE a.src < a.dst AND a.dst = b.src AND b.src < b.dst AND c.src = a.src AND c.dst = b.dst",
@@ -483,6 +512,11 @@ _SQL = {
     "prim_scan_max_exclusive": f"SELECT {_ALL_ORDER}, max(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_ALL_ORDER}, _copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM {_ALL_ROWS}",
     "prim_inclusive_sum_by_key": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, {_KEY_SUM.format(0).replace('0 PRECEDING', 'CURRENT ROW')} FROM n",
     "prim_exclusive_sum_by_key": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, {_KEY_SUM.format(1)} FROM n",
+    "prim_max_by_key": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, max(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY run ORDER BY {_ALL_ORDER}, _copy) AS most FROM n",
+    "prim_min_by_key_exclusive": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, min(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY run ORDER BY {_ALL_ORDER}, _copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM n",
+    "prim_sum_by_key_nan": f"WITH {_ALL_RUNS} SELECT {_ALL_ORDER}, sum(CASE WHEN l_orderkey % 97 = 0 THEN CAST('nan' AS DOUBLE) ELSE l_quantity END) OVER (PARTITION BY run ORDER BY {_ALL_ORDER}, _copy ROWS UNBOUNDED PRECEDING) AS total FROM n",
+    "prim_scan_xor": f"SELECT {_ALL_ORDER}, bit_xor(l_partkey) OVER (ORDER BY {_ALL_ORDER}, _copy ROWS UNBOUNDED PRECEDING) AS mixed FROM {_ALL_ROWS}",
+    "prim_segmented_sort_large": "SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders",
     "prim_sort_keys_descending": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS position FROM orders",
     "prim_sort_pairs": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS position FROM orders",
     "prim_select_flagged": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber % 3 = 0",
@@ -497,7 +531,7 @@ _SQL = {
     "prim_partition_rows": "SELECT l_orderkey, l_linenumber, l_quantity, CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 40 THEN 1 ELSE 2 END AS INTEGER) AS part FROM lineitem",
     "prim_adjacent_diff": f"SELECT *, CAST(l_quantity AS BIGINT) - coalesce(lag(CAST(l_quantity AS BIGINT)) OVER (ORDER BY {_QTY_ORDER}), 0) AS diff FROM {_QTY_ROWS}",
     "prim_segmented_reduce": "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, min(CAST(l_quantity AS BIGINT)) AS least, max(CAST(l_quantity AS BIGINT)) AS most FROM lineitem GROUP BY l_orderkey",
-    "prim_segmented_sort": "SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS position FROM orders",
+    "prim_segmented_sort": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders",
     "prim_spmv": "SELECT l_orderkey AS i, CAST(sum(CAST(l_quantity AS BIGINT) * p_size) AS BIGINT) AS y FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
 }
 ORACLE_SQL = _SQL

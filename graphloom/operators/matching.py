@@ -17,19 +17,25 @@ so it multiplies what it hangs on by the length of its list, and need not be joi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import filtering
+from graphloom.operators import filtering, one_round
+from graphloom.operators.primitives import Ordered
 from graphloom.plans.pattern import Pattern
 from graphloom.plans.planner import MatchPlan, Stats, plan
 from graphloom.sources.graphs import PropertyGraph
-from graphloom.sources.shared import written
+from graphloom.sources.shared import exists, remove, written
 
 
 #: Filtering is worth its passes over the edges if the joins are expected to exceed them so many times.
 LIGHT = 8
+#: One shuffle of copied edges is worth it if the chain's rows are expected to exceed them so many times.
+ONE_ROUND = 2
+#: Rows whose fan-out is looked at before the next vertex is chosen.
+FAN_SAMPLE = 10_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +48,10 @@ class Options:
     #: By neighbour labels: True, False, or None to filter where the joins are expected to grow large.
     filter: bool | None = None
     fold: bool = True  # trees, when counting
+    #: All joins in one shuffle: True, False, or None where the chain is expected to hold so many more rows.
+    one_round: bool | None = None
+    #: Choose each vertex after the rows before it are written, by their true fan-out.
+    replan: bool = False
 
 
 class Match:
@@ -129,55 +139,160 @@ class Match:
         ends = ("src", "dst") if a <= b else ("dst", "src")
         return e.select(F.col(ends[0]).alias(f"u{u}"), F.col(ends[1]).alias(f"u{w}"))
 
-    def _joined(self, order: list[tuple[int, list[int]]], weights: dict[int, DataFrame]) -> DataFrame:
-        """Rows over the ordered vertices, with a column f<u> for each folded weight."""
-        unequal = self.pattern.same_label_pairs()
+    def _joined(self, order: list[tuple[int, list[int]]], weights: dict[int, DataFrame], start_rows: DataFrame | None = None) -> DataFrame:
+        """Rows over the ordered vertices, with a column f<u> for each folded weight; start_rows (u<start>) restricts where they begin."""
         self._prepare()
         start = order[0][0]
-        out, placed = None, {start}
-        for u, best, second, others, _ in self._steps(order):
-            step = self.slice(best, u)
-            if second is not None:
-                out = out.join(step.join(self.slice(second, u), f"u{u}"), [f"u{best}", f"u{second}"])
-            else:
-                out = step if out is None else out.join(step, f"u{best}")
-            for b in others:
-                out = out.join(self.slice(b, u), [f"u{b}", f"u{u}"], "left_semi")
-            for a, b in unequal:
-                if u in (a, b) and (a if b == u else b) in placed:
-                    out = out.filter(F.col(f"u{a}") != F.col(f"u{b}"))
-            placed.add(u)
+        out, placed = start_rows, {start}
+        for step in self._steps(order):
+            out = self._extended(out, placed, *step[:4])
         if out is None:
             if start in weights:
                 return weights[start]
-            cand = filtering.candidates(self.graph, self.pattern)
-            return cand.select(F.col("v").alias(f"u{start}"))
+            return self._starts(start)
         for u, w in weights.items():
             out = out.join(w, f"u{u}")
         return out
 
+    def _starts(self, start: int) -> DataFrame:
+        """(u<start>): its candidates."""
+        cand = filtering.candidates(self.graph, self.pattern)
+        return cand.filter(F.col("u") == start).select(F.col("v").alias(f"u{start}"))
+
+    def _extended(self, out: DataFrame | None, placed: set[int], u: int, best: int, second: int | None, others: list[int]) -> DataFrame:
+        """The rows with an image of u, which is then placed."""
+        step = self.slice(best, u)
+        if second is not None:
+            out = out.join(step.join(self.slice(second, u), f"u{u}"), [f"u{best}", f"u{second}"])
+        else:
+            out = step if out is None else out.join(step, f"u{best}")
+        for b in others:
+            out = out.join(self.slice(b, u), [f"u{b}", f"u{u}"], "left_semi")
+        for a, b in self.pattern.same_label_pairs():
+            if u in (a, b) and (a if b == u else b) in placed:
+                out = out.filter(F.col(f"u{a}") != F.col(f"u{b}"))
+        placed.add(u)
+        return out
+
+    def _replanned(self) -> DataFrame:
+        """All embeddings; the next vertex is that of the least true fan-out of the rows so far, by a sample of them.
+
+        Rows are written after each vertex, so none is joined twice and the size is known.
+        """
+        p, (start, _) = self.pattern, self.plan.backward()[0]
+        self.sizes: list[tuple[int, int]] = []
+        placed, order, out, path, n = {start}, [(start, [])], None, None, 0
+        while len(placed) < len(p):
+            ready = sorted(u for u in range(len(p)) if u not in placed and p.neighbours(u) & placed)
+            steps = {u: list(self._steps([*order, (u, sorted(p.neighbours(u) & placed))]))[-1][:4] for u in ready}
+            if out is None:
+                u = min(ready, key=lambda w: (self._stats.pairs.get((start, w), 0), w))
+            elif len(ready) == 1 or not n:
+                u = ready[0]
+            else:
+                some, some_path = written(out.sample(min(1.0, FAN_SAMPLE / n), seed=n), "sampled-rows")
+                counts = [self._extended(some, set(placed), *steps[w]).agg(F.count("*").alias("n")).select(F.lit(w).alias("u"), "n") for w in ready]
+                fan = {r["u"]: r["n"] for r in reduce(DataFrame.union, counts).collect()}  # one row for each vertex that may be next
+                remove(some.sparkSession, some_path)
+                u = min(ready, key=lambda w: (fan[w], w))
+            order.append((u, sorted(p.neighbours(u) & placed)))
+            (out, next_path), old = written(self._extended(out, placed, *steps[u]), "partial-rows"), path
+            if old:
+                remove(out.sparkSession, old)
+            path, n = next_path, out.count()
+            self.sizes.append((u, n))
+        return self._starts(start) if out is None else out
+
     def rows(self, limit: int | None = None) -> DataFrame:
         """One row u0, u1, ... for each embedding; ``limit`` is a cut on request only."""
-        out = self._joined(self.plan.backward(), {}).select(*[f"u{u}" for u in range(len(self.pattern))])
+        order = self.plan.backward()
+        if self.options.replan:
+            out = self._replanned().select(*[f"u{u}" for u in range(len(self.pattern))])
+        elif self._in_one_round(order, {}):
+            out = self._one_round(order, rows=True)
+        else:
+            out = self._joined(order, {}).select(*[f"u{u}" for u in range(len(self.pattern))])
         return out if limit is None else out.limit(limit)
 
     def count(self) -> DataFrame:
         """One row: matches."""
+        if self.options.replan:
+            return self._total(self._replanned(), {})
         order, weights = self.plan.backward(), {}
         if self.options.fold:
             order, weights = self._folded(order)
+        if self._in_one_round(order, weights):
+            return self._one_round(order, rows=False).agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("matches"))
         return self._total(self._joined(order, weights), weights)
 
+    def _in_one_round(self, order, weights) -> bool:
+        """Whether all joins go in one shuffle; trees are folded instead, and two vertices need no grid."""
+        if weights or len(order) < 3 or len(order) < len(self.pattern) or self.options.one_round is False:
+            return False
+        if self.options.one_round:
+            return True
+        sizes = {e: self._stats.pairs.get(e, 0) for e in self.pattern.edges}
+        cells = max(1, int(self.graph.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // one_round.CELL_EDGES))
+        shape = one_round.sides(len(order), list(sizes), sizes, cells)
+        copied = sum(n * one_round.copies(shape, e) for e, n in sizes.items())
+        return max((held for *_, held in self._steps(order)), default=0) > ONE_ROUND * copied
+
+    def _one_round(self, order, rows: bool) -> DataFrame:
+        slices = {(a, b): self.slice(a, b) for a, b in self.pattern.edges}
+        sizes = {e: self._stats.pairs.get(e, 0) for e in slices}
+        return one_round.joined(slices, sizes, order, self.pattern.same_label_pairs(), rows)
+
     def partial_counts(self) -> DataFrame:
-        """(group, vertices, rows): partial embeddings after each group of the plan; statistics on request."""
-        order, groups = self.plan.backward(), self.plan.groups
-        out = None
-        for k in range(len(groups)):
-            n = sum(map(len, groups[: k + 1]))
-            rows = self._joined(order[:n], {})
-            part = rows.agg(F.count("*").alias("rows")).select(F.lit(k).alias("group"), F.lit(n).alias("vertices"), "rows")
-            out = part if out is None else out.union(part)
-        return out
+        """(group, vertices, rows): partial embeddings after each group of the plan; statistics on request.
+
+        A group's rows are written and the next group goes on from them, so no prefix is
+        joined twice, and a task that runs again counts nothing twice.
+        """
+        order, counts = self.plan.backward(), []
+        steps, out, path = list(self._steps(order)), None, None
+        placed = {order[0][0]}
+        for k, group in enumerate(self.plan.groups):
+            done = sum(map(len, self.plan.groups[:k]))
+            if done == 0 and len(group) == 1:
+                counts.append((k, 1, self._starts(group[0]).count()))
+                continue
+            for step in steps[max(done, 1) - 1 : done + len(group) - 1]:
+                out = self._extended(out, placed, *step[:4])
+            (out, next_path), old = written(out, "partial-rows"), path
+            if old:
+                remove(out.sparkSession, old)
+            path = next_path
+            counts.append((k, done + len(group), out.count()))
+        return self.graph.vertices.sparkSession.createDataFrame(counts, "group int, vertices int, rows bigint")
+
+    def rows_in_batches(self, path: str, budget: int) -> DataFrame:
+        """The same rows as ``rows()``, written to path batch by batch; a stopped run goes on where it ended.
+
+        Start vertices are cut, in order, into batches whose rows are expected to stay
+        within budget (a vertex that is expected to exceed it alone has a batch of its
+        own).  The cut is written first and read again by a later run, and a batch is
+        there when its folder is whole.
+        """
+        spark, order = self.graph.vertices.sparkSession, self.plan.backward()
+        start = order[0][0]
+        table = f"{path}/batches"
+        if not exists(spark, f"{table}/_SUCCESS"):
+            u = order[1][0] if len(order) > 1 else start
+            lists = self.slice(start, u).groupBy(f"u{start}").agg(F.count("*").alias("n")) if u != start else self._starts(start).withColumn("n", F.lit(1).cast("bigint"))
+            # What a first edge is expected to grow to, at most, in the steps after it.
+            growth = max(1.0, self._expected() / max(1, self._stats.pairs.get((start, u), 1)))
+            weight = (F.col("n") * growth).cast("bigint") + 1
+            Ordered(lists, f"u{start}").scan(weight, "upto").select(f"u{start}", F.floor((F.col("upto") - 1) / budget).cast("bigint").alias("batch")).write.mode("overwrite").parquet(table)
+        cut = spark.read.parquet(table)
+        for r in cut.select("batch").distinct().orderBy("batch").toLocalIterator():
+            target = f"{path}/rows/batch={r['batch']}"
+            if not exists(spark, f"{target}/_SUCCESS"):
+                self._batch(order, cut.filter(F.col("batch") == r["batch"]).select(f"u{start}")).write.mode("overwrite").parquet(target)
+        names = [f"u{u}" for u in range(len(self.pattern))]
+        return spark.read.schema(", ".join(f"{x} bigint" for x in names)).parquet(f"{path}/rows").select(*names) if exists(spark, f"{path}/rows") else self.rows().limit(0)
+
+    def _batch(self, order, starts: DataFrame) -> DataFrame:
+        return self._joined(order, {}, starts).select(*[f"u{u}" for u in range(len(self.pattern))])
 
     def _total(self, out: DataFrame, weights) -> DataFrame:
         product = F.lit(1).cast("bigint")

@@ -38,6 +38,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
@@ -55,3 +60,22 @@ def written(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def in_buckets(df: DataFrame, name: str, n: int, by: str) -> DataFrame:
+    """Writes df in n buckets by a column, so that joins, groups and windows by it read rows where they are.
+
+    The table is dropped when the driver ends.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, by).option("path", path).option("compression", "zstd").saveAsTable(table)
+    atexit.register(_drop_quietly, spark, table)
+    return spark.table(table)
+
+
+def _drop_quietly(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session may have ended before
+        pass
