@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ UNIT_TOKENS, UNIT_BYTES = 1_000_000, 16_000_000
 HOT_PAIRS = 200_000
 #: A pair of ids as one number: A's id times this, plus B's.
 SPAN = 1 << 32
+#: A token as one number: its side from this bit on, its byte length from bit 32 on, its id.
+SIDE_BIT = 62
 
 #: Bytes of white space, or the start of such a character, besides the space and the line end.
 _OTHER_SPACE = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\x80", b"\xe2\x80\x81", b"\xe2\x80\x82", b"\xe2\x80\x83", b"\xe2\x80\x84", b"\xe2\x80\x85", b"\xe2\x80\x86", b"\xe2\x80\x87", b"\xe2\x80\x88", b"\xe2\x80\x89", b"\xe2\x80\x8a", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", "▁".encode())
@@ -164,27 +167,26 @@ class FragmentTokens(dict):
                     out[k] = []
         return out
 
-    def lists(self, first: int, last: int) -> dict[str, pa.Array]:
-        """Ids and byte lengths of the fragments first to last as lists."""
-        out = {}
-        for side, name in enumerate("ab"):
-            at = np.frombuffer(self.ends[side], np.int64)[first : last + 1]
-            values = np.frombuffer(self.ids[side], np.int32)[at[0] : at[-1]].copy() if len(self.ids[side]) else np.zeros(0, np.int32)
-            bounds = pa.array((at - at[0]).astype(np.int32))
-            out[name], out[f"{name}_len"] = pa.ListArray.from_arrays(bounds, pa.array(values)), pa.ListArray.from_arrays(bounds, pa.array(self.sizes[side][values]))
-        return out
+    def lists(self, first: int, last: int) -> pa.Array:
+        """The tokens of fragments first to last as lists, those of A before those of B: side, byte length and id in one number."""
+        n, at = last - first, [np.frombuffer(self.ends[k], np.int64)[first : last + 1] for k in (0, 1)]
+        values = [np.array(np.frombuffer(self.ids[k], np.int32)[at[k][0] : at[k][-1]], np.int64) if len(self.ids[k]) else np.zeros(0, np.int64) for k in (0, 1)]
+        coded = np.concatenate([(k << SIDE_BIT) + (self.sizes[k][values[k]].astype(np.int64) << 32) + values[k] for k in (0, 1)])
+        owner = np.concatenate([np.repeat(np.arange(n), np.diff(at[k])) for k in (0, 1)])
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(coded[np.argsort(owner, kind="stable")]))
 
 
-_SCHEMA = "unit bigint, row bigint, doc_id bigint, codes array<int>, f int, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
+_SCHEMA = "unit bigint, row bigint, doc_id bigint, codes array<int>, f int, tokens array<bigint>"
 
 
 def tokenized(df: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """Rows of two kinds by unit: documents (row, doc_id, codes) and fragments (f, ids and byte lengths of both sides)."""
+    """Rows of two kinds by unit: documents (row, doc_id, codes) and fragments (f, tokens)."""
 
     def run(batches):
         part, units, row = TaskContext.get().partitionId(), 0, 0
         own = FragmentTokens(byte_path, piece_path)
-        types = {"unit": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "codes": pa.list_(pa.int32()), "f": pa.int32()} | dict.fromkeys(("a", "a_len", "b", "b_len"), pa.list_(pa.int32()))
+        types = {"unit": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "codes": pa.list_(pa.int32()), "f": pa.int32(), "tokens": pa.list_(pa.int64())}
 
         def emit(n: int, **columns):
             columns = {"unit": pa.array(np.full(n, part << 24 | units)), **columns}
@@ -193,7 +195,7 @@ def tokenized(df: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         def unit():
             for k in range(0, len(own), 50_000):
                 last = min(len(own), k + 50_000)
-                yield emit(last - k, f=pa.array(np.arange(k, last, dtype=np.int32)), **own.lists(k, last))
+                yield emit(last - k, f=pa.array(np.arange(k, last, dtype=np.int32)), tokens=own.lists(k, last))
             own.start()
 
         for batch in batches:
@@ -207,17 +209,19 @@ def tokenized(df: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                     yield from unit()
                     units += 1
         yield from unit()
+        pa.default_memory_pool().release_unused()
 
     return df.selectExpr("doc_id", "cast(text as binary) as text").mapInArrow(run, _SCHEMA)
 
 
 def align(tokens: DataFrame, *keys: str) -> DataFrame:
-    """One row for the keys of each row of tokens(keys, a, a_len, b, b_len): n_a, n_b, n_groups, n_links, pairs, groups.
+    """One row for the keys of each row of tokens(keys, tokens): n_a, n_b, n_groups, n_links, pairs, groups.
 
-    pairs has one number for each link; groups is ``a1,a2|b1;a3|b2,b3``.
+    tokens are those of A, then those of B, each as one number (``SIDE_BIT``).  pairs
+    has one number for each link; groups is ``a1,a2|b1;a3|b2,b3``.
     """
-    side = lambda name, k: F.transform(F.arrays_zip(name, f"{name}_len"), lambda x: F.struct(F.lit(k).alias("side"), x[name].alias("id"), x[f"{name}_len"].alias("n")))
-    rows = tokens.select(*keys, F.posexplode(F.concat(side("a", 0), side("b", 1))).alias("pos", "x")).select(*keys, "pos", "x.side", "x.id", "x.n")
+    rows = tokens.select(*keys, F.posexplode("tokens").alias("pos", "x"))
+    rows = rows.select(*keys, "pos", F.shiftright("x", SIDE_BIT).cast("int").alias("side"), F.col("x").bitwiseAND((1 << 32) - 1).cast("int").alias("id"), F.shiftright("x", 32).bitwiseAND((1 << (SIDE_BIT - 32)) - 1).cast("int").alias("n"))
     # Where the token before ends: tokens of both sides that start at one byte are told by the same number.
     length = F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     begun = rows.select(*keys, (length - F.col("n")).cast("int").alias("at"), F.when(F.col("side") == 0, F.col("id")).alias("a"), F.when(F.col("side") == 1, F.col("id")).alias("b"))
@@ -227,16 +231,17 @@ def align(tokens: DataFrame, *keys: str) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a_here").isNotNull() & F.col("b_here").isNotNull()
     links = met.select(*keys, "at", "a_here", "b_here", cut.alias("cut"), F.last("a_here", True).over(so_far).alias("a"), F.last("b_here", True).over(so_far).alias("b"), F.count(F.when(cut, 1)).over(so_far).alias("g"))
+    # Each side's ids in order, with a mark before each group's first; then the groups of both sides side by side.
+    mark = F.when(F.col("at") == 0, "").when(F.col("cut"), ";").otherwise(",")
     told = links.groupBy(*keys).agg(
         F.count("a_here").alias("n_a"),
         F.count("b_here").alias("n_b"),
         F.max("g").alias("n_groups"),
         F.count("*").alias("n_links"),
         F.collect_list(F.col("a").cast("bigint") * SPAN + F.col("b")).alias("pairs"),
-        F.sort_array(F.collect_list(F.struct("at", "cut", F.col("a_here").alias("a"), F.col("b_here").alias("b")))).alias("begun"),
+        F.sort_array(F.collect_list(F.struct("at", F.concat(mark, F.col("a_here").cast("string")).alias("a"), F.concat(mark, F.col("b_here").cast("string")).alias("b")))).alias("begun"),
     )
-    # Each side's ids in order, with a mark before each group's first; then the groups of both sides side by side.
-    one = lambda s: F.split(F.array_join(F.transform(F.filter("begun", lambda x: x[s].isNotNull()), lambda x: F.concat(F.when(x["at"] == 0, "").when(x["cut"], ";").otherwise(","), x[s].cast("string"))), ""), ";")
+    one = lambda s: F.split(F.array_join(f"begun.{s}", ""), ";")
     groups = F.array_join(F.zip_with(one("a"), one("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
     return told.select(*keys, "n_a", "n_b", "n_groups", "n_links", "pairs", groups.alias("groups"))
 
@@ -291,7 +296,6 @@ def _assembled(documents: DataFrame, each: DataFrame) -> DataFrame:
         size = len(frags)
         at = np.zeros(size + 1, np.int64)
         at[frags.column("f").to_numpy()] = np.arange(size)
-        groups = np.array(frags.column("groups").to_pylist() or [""], dtype=object)
         lists = docs.column("codes").combine_chunks()
         codes = at[lists.flatten().to_numpy()]
         bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -299,7 +303,9 @@ def _assembled(documents: DataFrame, each: DataFrame) -> DataFrame:
         for name in _NUMBERS:
             before = np.concatenate([[0], np.cumsum(frags.column(name).to_numpy()[codes])]) if len(codes) else np.zeros(1, np.int64)
             out[name] = pa.array(np.diff(before[bounds]), pa.int64())
-        out["groups"] = pa.array([";".join(groups[codes[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        texts = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), frags.column("groups").combine_chunks().take(pa.array(codes)))
+        out["groups"] = pc.binary_join(texts, ";")
+        pa.default_memory_pool().release_unused()
         return pa.table(out)
 
     schema = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS) + ", groups string"
@@ -318,7 +324,7 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = _Bucketed(tokenized(texts, byte_path, piece_path), n)
     documents = tokens.rows.filter("row is not null").select("unit", "row", "doc_id", "codes")
-    pieces = tokens.rows.filter("f is not null").select("unit", "f", "a", "a_len", "b", "b_len")
+    pieces = tokens.rows.filter("f is not null").select("unit", "f", "tokens")
     with _in_place(spark):
         aligned = _Bucketed(align(pieces, "unit", "f"), n)
         counts, counts_path = written(pair_counts(documents, aligned.rows), "pair-counts")
