@@ -217,19 +217,19 @@ def _text_round_trip(spark, sf_dir):
     return from_text(spark, path).labelled_edges()
 
 
-#: Peels ask for this share of the mean support, which drops some and keeps some.
-PEEL_SHARE = 0.7
+#: Peels of vertices, and of edges and triangles, ask for this share of the mean support, which drops some and keeps some.
+CORE_SHARE, CLIQUE_SHARE = 0.7, 0.5
 
 
-def _peel_k(total: DataFrame) -> int:
+def _peel_k(total: DataFrame, share: float = CLIQUE_SHARE) -> int:
     """The support asked for: a share of the mean, from one row (n, of)."""
     r = total.first()
-    return math.ceil(PEEL_SHARE * r["n"] / max(r["of"], 1))
+    return math.ceil(share * r["n"] / max(r["of"], 1))
 
 
 def _kcore(spark, sf_dir):
     g = coorder_graph(spark, sf_dir)
-    return peeling.k_core(g, _peel_k(g.edges.agg(F.count("*").alias("n"), F.countDistinct("src").alias("of"))))
+    return peeling.k_core(g, _peel_k(g.edges.agg(F.count("*").alias("n"), F.countDistinct("src").alias("of")), CORE_SHARE))
 
 
 def _ktruss(spark, sf_dir):
@@ -246,16 +246,17 @@ def _nucleus34(spark, sf_dir):
     return peeling.nucleus34(g, _peel_k(q.crossJoin(peeling.triangle_count(g).select(F.col("triangles").alias("of")))))  # one row each
 
 
-# Peeling in SQL: each round keeps what still has support, and ends when a round drops nothing.
+# Peeling in SQL: each round keeps what still has support, and ends when a round drops nothing or all is dropped.
 _KCORE_SQL = f"""WITH RECURSIVE {_COORDER},
-k AS MATERIALIZED (SELECT CAST(ceil({PEEL_SHARE} * count(*) / count(DISTINCT src)) AS BIGINT) AS k FROM e),
+k AS MATERIALIZED (SELECT CAST(ceil({CORE_SHARE} * count(*) / count(DISTINCT src)) AS BIGINT) AS k FROM e),
 r(i, src, dst) AS (
   SELECT 0, src, dst FROM e
   UNION ALL
   SELECT i + 1, src, dst FROM (
     SELECT *, min(least(a, b)) OVER () AS low FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM r))
-  WHERE low < (SELECT k FROM k) AND a >= (SELECT k FROM k) AND b >= (SELECT k FROM k))
-SELECT src AS id, count(*) AS degree FROM r WHERE i = (SELECT max(i) FROM r) GROUP BY src"""
+  WHERE low < (SELECT k FROM k) AND a >= (SELECT k FROM k) AND b >= (SELECT k FROM k)),
+s AS MATERIALIZED (SELECT src AS id, count(*) AS degree FROM r WHERE i = (SELECT max(i) FROM r) GROUP BY src)
+SELECT id, degree FROM s WHERE (SELECT min(degree) FROM s) >= (SELECT k FROM k)"""
 
 # The h-index of the neighbours' values, until nothing changes.
 _CORE_SQL = f"""WITH RECURSIVE {_COORDER},
@@ -270,7 +271,7 @@ SELECT v.id, CAST(coalesce(l.core, 0) AS BIGINT) AS core FROM v LEFT JOIN (SELEC
 
 _TRIANGLES = "t AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN e c ON c.src = a.src AND c.dst = b.dst)"
 _KTRUSS_SQL = f"""WITH RECURSIVE {_COORDER}, {_TRIANGLES},
-k AS MATERIALIZED (SELECT CAST(ceil({PEEL_SHARE} * 3 * (SELECT count(*) FROM t) / (SELECT count(*) / 2 FROM e)) AS BIGINT) AS k),
+k AS MATERIALIZED (SELECT CAST(ceil({CLIQUE_SHARE} * 3 * (SELECT count(*) FROM t) / (SELECT count(*) / 2 FROM e)) AS BIGINT) AS k),
 r(i, x, y, z) AS (
   SELECT 0, x, y, z FROM t
   UNION ALL
@@ -279,13 +280,14 @@ r(i, x, y, z) AS (
       SELECT i, x, y, z, count(*) OVER (PARTITION BY p.a, p.b) AS n FROM (SELECT i, x, y, z, unnest([{{'a': x, 'b': y}}, {{'a': x, 'b': z}}, {{'a': y, 'b': z}}]) AS p FROM r))
     GROUP BY x, y, z)
   WHERE low < (SELECT k FROM k) AND n >= (SELECT k FROM k)),
-last AS (SELECT * FROM r WHERE i = (SELECT max(i) FROM r))
-SELECT x AS a, y AS b FROM last UNION SELECT x, z FROM last UNION SELECT y, z FROM last"""
+last AS (SELECT unnest([{{'a': x, 'b': y}}, {{'a': x, 'b': z}}, {{'a': y, 'b': z}}]) AS p FROM r WHERE i = (SELECT max(i) FROM r)),
+s AS MATERIALIZED (SELECT p.a AS a, p.b AS b, count(*) AS n FROM last GROUP BY 1, 2)
+SELECT a, b FROM s WHERE (SELECT min(n) FROM s) >= (SELECT k FROM k)"""
 
 _FOUR = "f AS MATERIALIZED (SELECT s.x, s.y, s.z, o.z AS w FROM t s JOIN t o ON s.x = o.x AND s.y = o.y AND s.z < o.z JOIN e ON e.src = s.z AND e.dst = o.z)"
 _FACES = "unnest([{'a': x, 'b': y, 'c': z}, {'a': x, 'b': y, 'c': w}, {'a': x, 'b': z, 'c': w}, {'a': y, 'b': z, 'c': w}])"
 _NUCLEUS_SQL = f"""WITH RECURSIVE {_COORDER}, {_TRIANGLES}, {_FOUR},
-k AS MATERIALIZED (SELECT CAST(ceil({PEEL_SHARE} * 4 * (SELECT count(*) FROM f) / (SELECT count(*) FROM t)) AS BIGINT) AS k),
+k AS MATERIALIZED (SELECT CAST(ceil({CLIQUE_SHARE} * 4 * (SELECT count(*) FROM f) / (SELECT count(*) FROM t)) AS BIGINT) AS k),
 r(i, x, y, z, w) AS (
   SELECT 0, x, y, z, w FROM f
   UNION ALL
@@ -293,8 +295,9 @@ r(i, x, y, z, w) AS (
     SELECT any_value(i) AS i, x, y, z, w, min(n) AS n, min(min(n)) OVER () AS low FROM (
       SELECT i, x, y, z, w, count(*) OVER (PARTITION BY p) AS n FROM (SELECT i, x, y, z, w, {_FACES} AS p FROM r))
     GROUP BY x, y, z, w)
-  WHERE low < (SELECT k FROM k) AND n >= (SELECT k FROM k))
-SELECT DISTINCT p.a AS x, p.b AS y, p.c AS z FROM (SELECT {_FACES} AS p FROM r WHERE i = (SELECT max(i) FROM r))"""
+  WHERE low < (SELECT k FROM k) AND n >= (SELECT k FROM k)),
+s AS MATERIALIZED (SELECT p.a AS x, p.b AS y, p.c AS z, count(*) AS n FROM (SELECT {_FACES} AS p FROM r WHERE i = (SELECT max(i) FROM r)) GROUP BY 1, 2, 3)
+SELECT x, y, z FROM s WHERE (SELECT min(n) FROM s) >= (SELECT k FROM k)"""
 
 # c(id, v0, ...): the r-cliques, numbered in the order of their vertices; m(q, id): those in each (r + 1)-clique.
 _MEMBERS_SQL = {

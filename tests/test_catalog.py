@@ -23,8 +23,8 @@ def rows(columns, data):
     return sorted(tuple(str(r[k]) for k in order) for r in data)
 
 
-#: The smallest tables give the densest graph, with a million cliques of four; tests/test_hierarchy.py has these on small graphs.
-DENSE = ("nucleus_numbers", "nuclei_truss")
+#: The smallest tables give the densest graph, with many cliques of four; test_hierarchy.py and test_peeling_primitives.py have these on small graphs.
+DENSE = ("truss_numbers", "nucleus_numbers", "nuclei_truss", "nucleus34")
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.ORACLE_SQL if not n.startswith("mode_") and n not in DENSE])

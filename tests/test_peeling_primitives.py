@@ -51,7 +51,7 @@ def test_peeling_queries_take_the_whole_graph(spark, graph, adj, tmp_path):
     cores = {c[0]: k for c, k in peeled(adj, 1, 2).items()}
     assert {r["id"]: r["core"] for r in run("core_numbers")} == cores
     n = [len(structure.cliques(adj, k)) for k in range(5)]
-    asked = [None, *(math.ceil(catalog.PEEL_SHARE * (r + 1) * n[r + 1] / n[r]) for r in (1, 2, 3))]  # a share of the mean support
+    asked = [None, *(math.ceil(share * (r + 1) * n[r + 1] / n[r]) for r, share in ((1, catalog.CORE_SHARE), (2, catalog.CLIQUE_SHARE), (3, catalog.CLIQUE_SHARE)))]  # a share of the mean support
     assert {r["id"] for r in run("kcore")} == {v for v, k in cores.items() if k >= asked[1]}
     assert {tuple(r) for r in run("ktruss")} == {e for e, k in peeled(adj, 2, 3).items() if k >= asked[2]}
     assert {tuple(r) for r in run("nucleus34")} == {t for t, k in peeled(adj, 3, 4).items() if k >= asked[3]}
