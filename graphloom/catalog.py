@@ -269,6 +269,20 @@ r(i, id, core, changed) AS (
       FROM e JOIN r ON r.id = e.dst JOIN r o ON o.id = e.src WHERE r.changed > 0) GROUP BY src))
 SELECT v.id, CAST(coalesce(l.core, 0) AS BIGINT) AS core FROM v LEFT JOIN (SELECT id, core FROM r WHERE i = (SELECT max(i) FROM r)) l ON l.id = v.id"""
 
+# Shells of equal core number, peeled side by side: w holds, round by round, the vertices that are left with their neighbours of higher shells.
+_DEGENERACY_SQL = f"""{_CORE_SQL[: _CORE_SQL.index("SELECT v.id")].rstrip()},
+c AS MATERIALIZED ({_CORE_SQL[_CORE_SQL.index("SELECT v.id") :]}),
+g AS MATERIALIZED (SELECT e.src, e.dst, a.core AS sc, b.core AS dc FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst),
+w(layer, id, core, above, goes) AS (
+  SELECT CAST(1 AS BIGINT), c.id, c.core, count(g.src) FILTER (g.dc > g.sc), count(g.src) FILTER (g.dc >= g.sc) <= c.core FROM c LEFT JOIN g ON g.src = c.id GROUP BY c.id, c.core
+  UNION ALL
+  SELECT l.layer + 1, l.id, l.core, any_value(l.above), any_value(l.above) + count(o.id) <= l.core
+  FROM w l LEFT JOIN g ON g.src = l.id AND g.sc = g.dc LEFT JOIN w o ON o.id = g.dst AND NOT o.goes
+  WHERE NOT l.goes GROUP BY l.layer, l.id, l.core),
+p AS MATERIALIZED (SELECT id, core, layer, row_number() OVER (ORDER BY core, layer, id) AS position FROM w WHERE goes)
+SELECT p.id, p.core, p.layer, p.position, count(q.id) AS later
+FROM p LEFT JOIN e ON e.src = p.id LEFT JOIN p q ON q.id = e.dst AND q.position > p.position GROUP BY p.id, p.core, p.layer, p.position"""
+
 _TRIANGLES = "t AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN e c ON c.src = a.src AND c.dst = b.dst)"
 _KTRUSS_SQL = f"""WITH RECURSIVE {_COORDER}, {_TRIANGLES},
 k AS MATERIALIZED (SELECT CAST(ceil({CLIQUE_SHARE} * 3 * (SELECT count(*) FROM t) / (SELECT count(*) / 2 FROM e)) AS BIGINT) AS k),
@@ -394,6 +408,7 @@ QUERIES = {
     **{m: partial(count_query, "tailed_triangle", **o) for m, o in MODES.items()},
     "kcore": _kcore,
     "core_numbers": lambda s, d: peeling.core_numbers(coorder_graph(s, d)),
+    "degeneracy_order": lambda s, d: peeling.degeneracy_order(coorder_graph(s, d)),
     "ktruss": _ktruss,
     "nucleus34": _nucleus34,
     "triangle_count": lambda s, d: peeling.triangle_count(coorder_graph(s, d)),
@@ -467,6 +482,7 @@ _SQL = {
     "graph_text_round_trip": f"WITH {TRADE_SQL} SELECT src, dst, ls, ld FROM e",
     "kcore": _KCORE_SQL,
     "core_numbers": _CORE_SQL,
+    "degeneracy_order": _DEGENERACY_SQL,
     "ktruss": _KTRUSS_SQL,
     "nucleus34": _NUCLEUS_SQL,
     "truss_numbers": _numbers_sql(2),

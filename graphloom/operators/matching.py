@@ -8,7 +8,8 @@ neighbour's list.  Where there are more, either the shortest list gives the vert
 the other edges filter, or the lists of two neighbours are joined to wedges first, which
 meet the rows on both columns at once; whichever is expected to hold fewer rows.
 Inequality is tested between vertices of equal label that have no edge, all others
-differ anyway.
+differ anyway.  Where a list is long enough to make its vertex a hub, the join on it is
+cut in a grid of rows against pieces of lists.
 
 Counting first folds trees away: a leaf whose label no other vertex has cannot collide,
 so it multiplies what it hangs on by the length of its list, and need not be joined.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import filtering, one_round
+from graphloom.operators.hubs import grid_join
 from graphloom.operators.primitives import Ordered
 from graphloom.plans.pattern import Pattern
 from graphloom.plans.planner import MatchPlan, Stats, plan
@@ -52,6 +54,8 @@ class Options:
     one_round: bool | None = None
     #: Choose each vertex after the rows before it are written, by their true fan-out.
     replan: bool = False
+    #: Lists longer than this make their vertex a hub: joins on it are cut in grids.  None: never.
+    hubs: int | None = 1_000_000
 
 
 class Match:
@@ -63,6 +67,7 @@ class Match:
         self._edges: DataFrame | None = None
         self._plan: MatchPlan | None = None
         self._stats = Stats()
+        self._longest: dict[tuple[int, int], int] = {}
 
     def _prepare(self) -> None:
         """Writes the relevant edges, and the filtered ones if filtering promises to pay."""
@@ -163,9 +168,17 @@ class Match:
         """The rows with an image of u, which is then placed."""
         step = self.slice(best, u)
         if second is not None:
-            out = out.join(step.join(self.slice(second, u), f"u{u}"), [f"u{best}", f"u{second}"])
+            other = self.slice(second, u)
+            hub = self._has_hub(u, best) and self._has_hub(u, second)
+            wedges = grid_join(step, other, f"u{u}", self.options.hubs) if hub else step.join(other, f"u{u}")
+            out = out.join(wedges, [f"u{best}", f"u{second}"])
+        elif out is None:
+            out = step
+        elif self._has_hub(best, u):
+            # The true number of rows at each hub decides how they are cut.
+            out = grid_join(written(out, "hub-rows")[0], step, f"u{best}", self.options.hubs)
         else:
-            out = step if out is None else out.join(step, f"u{best}")
+            out = out.join(step, f"u{best}")
         for b in others:
             out = out.join(self.slice(b, u), [f"u{b}", f"u{u}"], "left_semi")
         for a, b in self.pattern.same_label_pairs():
@@ -174,6 +187,16 @@ class Match:
         placed.add(u)
         return out
 
+    def _has_hub(self, u: int, w: int) -> bool:
+        """Whether an image of u has so long a list of images of w that it is a hub; asked of the data only where there are enough edges for one."""
+        most = self.options.hubs
+        if most is None or self._stats.pairs.get((u, w), 0) <= most:
+            return False
+        if (u, w) not in self._longest:
+            lists = self.slice(u, w).groupBy(f"u{u}").agg(F.count("*").alias("n"))
+            self._longest[u, w] = lists.agg(F.max("n")).first()[0] or 0
+        return self._longest[u, w] > most
+
     def _replanned(self) -> DataFrame:
         """All embeddings; the next vertex is that of the least true fan-out of the rows so far, by a sample of them.
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.primitives import Ordered
 from graphloom.sources.graphs import PropertyGraph
-from graphloom.sources.shared import remove, written
+from graphloom.sources.shared import new_path, remove, written
 
 
 def _settled(table: DataFrame, step, name: str) -> DataFrame:
@@ -68,24 +69,76 @@ def core_numbers(g: PropertyGraph) -> DataFrame:
     return g.vertices.select("id").join(now, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))
 
 
-def oriented(edges: DataFrame) -> DataFrame:
-    """(a, b): each edge once, from the end of smaller degree, so that no vertex has many successors."""
+def degeneracy_order(g: PropertyGraph) -> DataFrame:
+    """(id, core, layer, position, later): an order in which each vertex has at most ``core`` neighbours after it.
+
+    The vertices of one core number are a shell.  Within its shell a vertex goes in the
+    first layer after whose predecessors no more than ``core`` of its neighbours are
+    left, those of higher shells counted.  All shells are peeled at once, so rounds grow
+    with the deepest shell and not with the number of shells, and only edges within
+    shells whose ends are both left take part in a round.  Positions, from 1 on, follow
+    core number, layer and id; ``later`` counts the neighbours after a vertex.
+    """
+    cores, _ = written(core_numbers(g), "cores")
+    at = lambda end: cores.select(F.col("id").alias(end), F.col("core").alias(f"{end}_core"))
+    edges, _ = written(g.edges.select("src", "dst").join(at("src"), "src").join(at("dst"), "dst"), "shell-edges")
+    above = edges.filter("dst_core > src_core").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("above"))
+    left, path = written(cores.join(above, "id", "left").select("id", "core", F.coalesce("above", F.lit(0)).alias("above")), "shell-left")
+    inner, inner_path = written(edges.filter("src_core = dst_core").select("src", "dst"), "shell-inner")
+    spark = cores.sparkSession
+    base, layer = new_path(spark, "shell-layers"), 0
+    while left.head(1):
+        layer += 1
+        beside = inner.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("beside"))
+        told = left.join(beside, "id", "left").withColumn("goes", F.col("above") + F.coalesce("beside", F.lit(0)) <= F.col("core"))
+        told, told_path = written(told, "shell-told")
+        told.filter("goes").select("id", "core").write.parquet(f"{base}/layer={layer}")
+        stay = told.filter(~F.col("goes")).select("id", "core", "above")
+        ids = stay.select(F.col("id").alias("src"))
+        (left, next_path), (inner, next_inner) = written(stay, "shell-left"), written(inner.join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "shell-inner")
+        for old in (path, inner_path, told_path):
+            remove(spark, old)
+        path, inner_path = next_path, next_inner
+    if not layer:
+        return cores.select("id", "core", *[F.lit(0).cast("bigint").alias(c) for c in ("layer", "position", "later")])
+    layers = spark.read.schema("id bigint, core bigint, layer bigint").parquet(base)
+    placed = Ordered(layers, "core", "layer", "id").position("position")
+    placed, _ = written(placed, "degeneracy")
+    end = lambda c: placed.select(F.col("id").alias(c), F.col("position").alias(f"{c}_at"))
+    later = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").filter("dst_at > src_at").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("later"))
+    return placed.join(later, "id", "left").select("id", "core", "layer", "position", F.coalesce("later", F.lit(0)).cast("bigint").alias("later"))
+
+
+def oriented(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(a, b): each edge once, from the end of smaller degree, so that no vertex has many successors.
+
+    With an order (id, position, later), as ``degeneracy_order`` gives it, edges go from
+    the earlier end instead if the wedges of successors are fewer so.
+    """
     e = edges.select("src", "dst")
+    if order is not None:
+        by_degree, path = written(oriented(edges), "oriented")
+        wedges = lambda n: F.coalesce(F.sum(F.col(n).cast("double") * (F.col(n) - 1)), F.lit(0.0))
+        if order.agg(wedges("later")).first()[0] >= by_degree.groupBy("a").agg(F.count("*").alias("n")).agg(wedges("n")).first()[0]:
+            return by_degree
+        remove(e.sparkSession, path)
+        at = lambda c: order.select(F.col("id").alias(c), F.col("position").alias(f"{c}_at"))
+        return e.join(at("src"), "src").join(at("dst"), "dst").filter("src_at < dst_at").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     degree = e.groupBy("src").agg(F.count("*").alias("d"))
     both = e.join(degree, "src").withColumnRenamed("d", "ds").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
     return both.filter(F.struct("ds", "src") < F.struct("dd", "dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+def triangles(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(x, y, z): every triangle once, in the order of the orientation."""
-    e, _ = written(oriented(edges), "oriented")
+    e, _ = written(oriented(edges, order), "oriented")
     wedge = e.select(F.col("a").alias("x"), F.col("b").alias("y")).join(e.select(F.col("a").alias("x"), F.col("b").alias("z")), "x")
     return wedge.join(e.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi").select("x", "y", "z")
 
 
-def four_cliques(edges: DataFrame) -> DataFrame:
+def four_cliques(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(x, y, z, w): every clique of four vertices once."""
-    t, _ = written(triangles(edges), "triangles")
+    t, _ = written(triangles(edges, order), "triangles")
     last = t.select("x", "y", F.col("z").alias("w"))
     pair = t.join(last, ["x", "y"])
     return pair.join(t.select("x", "z", F.col("y").alias("_"), F.col("z").alias("w")).select("x", F.col("_").alias("z"), "w"), ["x", "z", "w"], "left_semi").select("x", "y", "z", "w")
