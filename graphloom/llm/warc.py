@@ -15,8 +15,10 @@ start a record.  Reading a file in ranges therefore takes three steps:
 Defined results: a null html is an empty payload; of rows with equal payloads of at
 least ``least`` bytes the one with the smallest page_id is a response and the others
 revisit it; rows with the same page_id and payload are all responses of that payload
-(none refers to itself); a row without page_id is always a response; urls of any length come back whole, a null one as about:blank; payloads of any length are written
-in one piece; an empty table gives no rows.  Only page_id, url and html are read,
+(none refers to itself); a row without page_id is always a response; urls of any length
+come back whole, empty ones, null ones and those with control signs too (a null one is
+written as about:blank, and one of these words carries a mark); payloads of any length
+are written in one piece; an empty table gives no rows.  Only page_id, url and html are read,
 whatever other columns are called.
 """
 
@@ -34,10 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import move_into_place, new_path, one_task_each, remove, spread_join, written
+from graphloom.llm.common import move_into_place, new_path, one_task_each, remove, shuffle_partitions, spread_join, written
 
 VERSION = b"WARC/1.1\r\n"
 RANGE_BYTES = 8 << 20
+#: Bytes of ranges for each task, where there are more than one for each shuffle partition.
+TASK_BYTES = 1 << 30
+_NO_URL = "about:blank"
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
 #: Header blocks beyond this are fetched on while all their lines are header lines.
@@ -52,7 +57,7 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
     """One WARC record: a response with its payload, or a revisit without it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    uri = re.sub(r"\s", lambda m: quote(m[0]), url or "") or "about:blank"
+    uri = re.sub(r"[\s\x00-\x1f\x7f]", lambda m: quote(m[0]), url or "") or _NO_URL
     head = [
         b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"),
         b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")).encode(),
@@ -61,8 +66,8 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
         b"WARC-Payload-Digest: sha1:" + sha1.encode(),
         b"X-Page-Id: " + (b"" if page_id is None else b"%d" % page_id),
     ]
-    if url and uri != url:
-        # White space has no place in a URI: the url as it was goes along.
+    if url is not None and (uri != url or url == _NO_URL):
+        # White space and control signs have no place in a URI: the url as it was goes along.
         head.append(b"X-Page-Url: " + quote(url).encode())
     if refers_to is not None:
         head += [b"WARC-Profile: " + _PROFILE, b"X-Refers-To-Page-Id: %d" % refers_to]
@@ -163,12 +168,17 @@ def _candidates(folder: str, name: str, start: int, stop: int) -> list[tuple[int
     return sorted(exits.items())
 
 
+def _tasks(spark: SparkSession, files: list[tuple[str, int]], step: int) -> int:
+    """Ranges go, one after another, to so many tasks: no more than there are, and one for each TASK_BYTES or shuffle partition."""
+    return min(sum(-(-n // step) for _, n in files), max(shuffle_partitions(spark), -(-sum(n for _, n in files) // TASK_BYTES)))
+
+
 def _ranges(spark: SparkSession, files: list[tuple[str, int]], step: int) -> DataFrame:
-    """One row for each byte range; one task for each.  The driver knows the files only."""
+    """One row for each byte range.  The driver knows the files only."""
     sizes = spark.createDataFrame(files, "file string, size bigint")
     rows = sizes.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(step).cast("bigint"))))
     rows = rows.select("file", "start", F.least("size", F.col("start") + step).alias("stop"))
-    return one_task_each(rows, sum(-(-n // step) for _, n in files), "file", "start")
+    return one_task_each(rows, _tasks(spark, files, step), "file", "start")
 
 
 def reached_entries(spark: SparkSession, folder: str, files: list[tuple[str, int]], step: int = RANGE_BYTES) -> DataFrame:
@@ -234,7 +244,10 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]]
                     if kind == "response" and digest(payload) != sha1:
                         raise ValueError(f"{name}: the payload before {at} differs from its digest")
                     n = len(payload) if kind == "response" else int(_LENGTH.search(b"\r\n" + http)[1])
-                    rows.append((int(page) if page else None, unquote(f[b"x-page-url"].decode()) if b"x-page-url" in f else f[b"warc-target-uri"].decode(), payload if kind == "response" else None, n, sha1, kind, int(ref) if ref else None))
+                    uri = unquote(f[b"x-page-url"].decode()) if b"x-page-url" in f else f[b"warc-target-uri"].decode()
+                    if uri == _NO_URL and b"x-page-url" not in f:
+                        uri = None
+                    rows.append((int(page) if page else None, uri, payload if kind == "response" else None, n, sha1, kind, int(ref) if ref else None))
                     held += len(body)
                     if held > RANGE_BYTES:
                         yield batch_of(rows)
@@ -248,8 +261,7 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]]
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    n = sum(-(-size // step) for _, size in files)
-    return one_task_each(entries, n, "file", "entry").mapInArrow(parse, schema)
+    return one_task_each(entries, _tasks(spark, files, step), "file", "entry").mapInArrow(parse, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None, step: int = RANGE_BYTES) -> DataFrame:

@@ -42,12 +42,26 @@ def test_round_trip(spark, step, least):
 
 
 def test_urls_come_back_whole(spark):
-    urls = ["http://h/" + "q" * 9_000, "http://h/" + "é" * 100_000, "http://h/a b\tc%20d", " http://h/x\r\n\r\ny ", "http://h/%20"]
+    urls = ["http://h/" + "q" * 9_000, "http://h/" + "é" * 100_000, "http://h/a b\tc%20d", " http://h/x\r\n\r\ny ", "http://h/%20", "", None, "about:blank", "http://h/\x00\x01\x7f\x1c", "\x85", " "]
     df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
     got = {r["page_id"]: r["url"] for r in warc.round_trip(df, step=4096).collect()}
     assert [got[i] for i in range(len(urls))] == urls
 
 
+def test_many_ranges_share_tasks(spark, monkeypatch):
+    """Tasks grow with the bytes, not with the ranges."""
+    df = pages(spark)
+    folder = warc.new_path(spark, "warc-test")
+    files = warc.write_archives(df, folder)
+    total = sum(n for _, n in files)
+    assert total // 100 > 100
+    assert warc._ranges(spark, files, 100).rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(warc, "TASK_BYTES", total // 20)
+    assert 15 <= warc._tasks(spark, files, 100) <= 21
+    got = warc.read_archives(spark, folder, files, 100).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=repr) == slow(df.collect(), 0)
+
+
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark).limit(0)).collect() == []
 
