@@ -10,7 +10,8 @@ The codebooks are fitted to a bounded sample and grow with the number of vectors
 number of visits is the least at which made-up pairs at exactly the least cosine share
 a cell with the target recall.  Such pairs are made around sampled vectors, off in any
 direction, in directions in which the data differ, and towards a near neighbour, so no
-luck is needed where true pairs are rare; they are weighed by vectors and by cells, so
+luck is needed where true pairs are rare; true pairs of the sample that no ball joins are
+tried beside them; they are weighed by vectors and by cells, so
 that no crowded group sets the number for the others.
 
 Crowds need no comparing: vectors within half the angle of a pivot all link with each
@@ -18,6 +19,10 @@ other.  Sampled vectors with many such neighbours become pivots of *balls*.  Mem
 a ball leave the index and are counted by their number; a vector outside meets the
 shells of every ball within reach, and is compared only with those shells for which
 the triangle bounds on angles leave it open whether all or none of them link.
+Where balls lie within reach of each other, vectors would visit many: the sample tells
+how often, and only the largest crowds whose visits stay within ``FAN`` for each vector
+become balls.  The other crowds stay in the index, where their cells are compared in
+blocks.
 
 Equal vectors are indexed once and counted by their number.  Tasks pass on link counts
 and a spanning forest, not pairs.
@@ -51,6 +56,7 @@ SPOT = 8  # times as many rows of a spot go to one task
 TARGET_RECALL = 0.995  # of pairs at exactly the least cosine
 CROWD = 8  # sampled neighbours of a pivot
 SHELLS = 16
+FAN = 16  # shells of balls that a sampled vector visits, on average, at most
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -137,6 +143,16 @@ def made_up(points: np.ndarray, base: np.ndarray, cosine: float, seed: int = 7)
     return out
 
 
+def linked(points: np.ndarray, base: np.ndarray, cosine: float, at: np.ndarray, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Points outside all balls that link with some of the base, and one such partner of each, taken at random."""
+    some = base[np.random.default_rng(seed).choice(len(base), min(len(base), 2_048), replace=False)]
+    near = points @ some.T
+    open_ = (near >= cosine) & (near <= 1 - 1e-9)
+    who = np.flatnonzero(open_.any(1) & ((points @ at.T).max(1, initial=-2) < half_cosine(cosine)))
+    pick = np.where(open_[who], np.random.default_rng(seed).random((len(who), len(some))), -1)
+    return who, some[pick.argmax(1)] if len(who) else points[:0]
+
+
 def reaching(values: np.ndarray, weights: np.ndarray, share: float) -> int:
     """The least of the values up to which the given share of the weight lies."""
     order = np.argsort(values, kind="stable")
@@ -150,18 +166,22 @@ def meeting(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([np.where(x[p, :, None] == y[p, None, :], steps, most + 1).min((1, 2)) for p in _parts(len(x), 500)])
 
 
-def visits(points: np.ndarray, words: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, tried: int = 4_000) -> int:
-    """The visits with which made-up pairs meet with the recall, counted by vectors and by cells."""
+def visits(points: np.ndarray, words: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, at: np.ndarray, tried: int = 4_000) -> int:
+    """The visits with which made-up pairs, and pairs of the sample that no ball joins, meet with the recall, counted by vectors and by cells."""
     q = points[np.random.default_rng(5).choice(len(points), min(tried, len(points)), replace=False)]
-    pairs, cells, m = made_up(q, points, cosine), len(words[0]) * len(words[1]), 16
+    every = np.arange(len(q))
+    pairs, cells, m = [(every, y) for y in made_up(q, points, cosine)], len(words[0]) * len(words[1]), 16
+    who, y = linked(q, points, cosine, at)
+    if len(who):
+        pairs.append((who, y))
     while True:
         m = min(m, cells)
         own = traverse(q, words, m)
-        _, at, crowd = np.unique(own[:, 0], return_inverse=True, return_counts=True)
+        _, cell, crowd = np.unique(own[:, 0], return_inverse=True, return_counts=True)
         need = 1
-        for y in pairs:
-            met = meeting(own, traverse(y, words, m), m)
-            need = max(need, reaching(met, np.ones(len(q)), recall), reaching(met, 1 / crowd[at], recall))
+        for rows, y in pairs:
+            met = meeting(own[rows], traverse(y, words, m), m)
+            need = max(need, reaching(met, np.ones(len(rows)), recall), reaching(met, 1 / crowd[cell[rows]], recall))
         if need <= m or m == cells:
             return min(need, cells)
         m *= 2
@@ -182,6 +202,48 @@ def pivots(points: np.ndarray, cosine: float, crowd: int = CROWD) -> np.ndarray:
     return np.array(out).reshape(-1, points.shape[1])
 
 
+def afforded(points: np.ndarray, at: np.ndarray, cosine: float, fan: float = FAN) -> np.ndarray:
+    """Of the pivots, those with the most members first, all that keep the visits of the sampled points within fan for each.
+
+    A point outside all balls visits a ball whether or not others are there, and one in a
+    ball visits others only from one side, so the visits counted here, of each ball alone,
+    are an upper bound whichever pivots are left out.
+    """
+    points = points[:SAMPLE]
+    if not len(at):
+        return at
+    dots = np.concatenate([points[p] @ at.T for p in _parts(len(points))])
+    members, visited = np.bincount(dots.argmax(1)[dots.max(1) >= half_cosine(cosine)], minlength=len(at)), np.zeros(len(at))
+    for b in range(len(at)):
+        away = dots[:, b : b + 1]
+        _, _, v, _, _ = met_shells(away[away[:, 0] < half_cosine(cosine)], cosine)
+        visited[b] = len(v) / len(points)
+    kept, held = [], 0.0
+    for b in np.argsort(-members, kind="stable"):
+        if held + visited[b] <= fan:
+            held += visited[b]
+            kept.append(b)
+    return at[np.sort(np.array(kept, np.int64))]
+
+
+def met_shells(dots: np.ndarray, cosine: float):
+    """(home, own, v, shell, every): each vector's own ball, or -1, and its shell there; the shells that vectors meet.
+
+    v holds (vector, ball) of each meeting; ``every`` is true where the whole shell is within the angle.
+    """
+    whole, inner = np.arccos(cosine), np.arccos(half_cosine(cosine))
+    width, far = np.arccos(half_cosine(cosine) - 1e-9) / SHELLS, np.cos(min(np.pi, whole + inner + 1e-6))
+    upper = width * np.arange(1, SHELLS + 1)
+    home = np.where(dots.max(1, initial=-2) >= half_cosine(cosine), dots.argmax(1), -1)
+    angle = np.arccos(np.clip(dots, -1, 1))
+    rows, balls = np.nonzero((dots >= far) & ((home[:, None] < 0) | (home[:, None] > np.arange(dots.shape[1])[None, :])))
+    alpha = angle[rows, balls]
+    v, shell = np.nonzero(alpha[:, None] - upper[None, :] <= whole + 1e-6)
+    every = alpha[v] + upper[shell] <= whole - 1e-6
+    own = np.where(home >= 0, angle[np.arange(len(dots)), home] / width, 0).astype(int).clip(0, SHELLS - 1)
+    return home, own, np.stack([rows[v], balls[v]], 1), shell, every
+
+
 def half_cosine(cosine: float) -> float:
     """Two vectors with this cosine to a third have the given cosine at least."""
     return ((1 + cosine) / 2) ** 0.5 + 1e-9
@@ -192,14 +254,15 @@ def fitted(vectors: DataFrame, n: int, dim: int, cosine: float, recall: float, c
     k = int(np.clip(round((n / PER_CELL) ** 0.5), 1, MOST_WORDS))
     sample = max(1, min(max(SAMPLE, PER_WORD * k), SAMPLE_NUMBERS // dim))
     share = min(1.0, sample / max(n, 1))
-    picked = vectors.filter(F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample)
+    picked = vectors.filter(F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1 << 40)) < max(1, int(share * (1 << 40)))).limit(2 * sample)
     rows = picked.select("vec").toArrow()  # at most twice the sample
     points = units(matrix(rows.column("vec").combine_chunks(), dim)) if rows.num_rows else np.eye(1, dim)
     points = points[np.lexsort(points.T)]
     points = points[np.random.default_rng(1).permutation(len(points))]
     half, k = dim // 2, max(1, min(k, len(points) // 4))
     words = (codebook(points[:, :half], k), codebook(points[:, half:], k))
-    return words, visits(points, words, cosine, recall), pivots(points, cosine, crowd)
+    at = afforded(points, pivots(points, cosine, crowd), cosine)
+    return words, visits(points, words, cosine, recall, at), at
 
 
 def _result(ids: np.ndarray, links: np.ndarray, forest: Forest) -> pa.Table:
@@ -302,9 +365,6 @@ def cell_links(vectors: DataFrame, n: int, words, m: int, dim: int, cosine: floa
 def ball_links(vectors: DataFrame, at: np.ndarray, dim: int, cosine: float, most: int) -> tuple[DataFrame, DataFrame]:
     """The vectors outside all balls, and rows (node, n, other) of all pairs with a member of a ball."""
     shared = vectors.sparkSession.sparkContext.broadcast(at)
-    whole, inner = np.arccos(cosine), np.arccos(half_cosine(cosine))
-    width, far = np.arccos(half_cosine(cosine) - 1e-9) / SHELLS, np.cos(min(np.pi, whole + inner + 1e-6))
-    upper = width * np.arange(1, SHELLS + 1)
 
     def place(batches):
         """One row for a vector's own ball (or none), and one for each shell that it visits."""
@@ -312,20 +372,13 @@ def ball_links(vectors: DataFrame, at: np.ndarray, dim: int, cosine: float, most
             for s in range(0, batch.num_rows, 2_000):
                 b = batch.slice(s, 2_000)
                 raw = matrix(b.column("vec"), dim)
-                dots = units(raw) @ shared.value.T
-                home = np.where(dots.max(1) >= half_cosine(cosine), dots.argmax(1), -1)
-                angle = np.arccos(np.clip(dots, -1, 1))
-                rows, balls = np.nonzero((dots >= far) & ((home[:, None] < 0) | (home[:, None] > np.arange(dots.shape[1])[None, :])))
-                alpha = angle[rows, balls]
-                v, shell = np.nonzero(alpha[:, None] - upper[None, :] <= whole + 1e-6)
-                every = alpha[v] + upper[shell] <= whole - 1e-6
-                own = np.where(home >= 0, angle[np.arange(len(raw)), home] / width, 0).astype(int).clip(0, SHELLS - 1)
-                row = np.concatenate([np.arange(len(raw)), rows[v]])
+                home, own, v, shell, every = met_shells(units(raw) @ shared.value.T, cosine)
+                row = np.concatenate([np.arange(len(raw)), v[:, 0]])
                 role = np.concatenate([np.where(home >= 0, 0, 3), np.where(every, 1, 2)])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "role": pa.array(role, pa.int32()),
-                        "ball": pa.array(np.concatenate([home, balls[v]]), pa.int32()),
+                        "ball": pa.array(np.concatenate([home, v[:, 1]]), pa.int32()),
                         "shell": pa.array(np.concatenate([own, shell]), pa.int32()),
                         "node": b.column("node").take(pa.array(row)),
                         "copies": b.column("copies").take(pa.array(row)),

@@ -116,6 +116,45 @@ def test_balls_against_brute_force(spark, most):
     assert sum(r[1] for r in got) >= 0.998 * sum(r[1] for r in want)
 
 
+def near_groups(rng, groups, members, to_each_other, dim=64):
+    """Tight groups whose centres have about this cosine to each other."""
+    shared = np.eye(1, dim)
+    own = rng.normal(size=(groups, dim))
+    own[:, 0] = 0
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    centres = to_each_other**0.5 * shared + (1 - to_each_other) ** 0.5 * own
+    return np.repeat(centres, members, 0) + 0.01 * rng.normal(size=(groups * members, dim))
+
+
+@pytest.mark.parametrize("to_each_other", [0.75, 0.82, 0.87])
+def test_groups_near_each_other_visit_few_balls(spark, to_each_other):
+    rows = near_groups(np.random.default_rng(8), 200, 50, to_each_other)
+    x = embedding_dedup.units(rows)
+    at = embedding_dedup.pivots(x[np.random.default_rng(1).permutation(len(x))], 0.9)
+    assert len(at) > 100
+    some = embedding_dedup.afforded(x, at, 0.9)
+    placed = lambda p: (len(x) + len(embedding_dedup.met_shells(x @ p.T, 0.9)[3])) / len(x)
+    assert placed(some) < 20 and (to_each_other < 0.8 or placed(at) > 100)
+    # Another order of the same points, and vectors that the sample lacks, visit as few.
+    assert placed(embedding_dedup.afforded(x[::3], at, 0.9)) < 20
+
+
+def test_recall_of_groups_near_each_other(spark):
+    rows = near_groups(np.random.default_rng(9), 60, 40, 0.87)
+    got = np.array([r["n_links"] for r in embedding_dedup.near_duplicates(frame(spark, rows)).orderBy("vec_id").collect()])
+    want = counts(rows)
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_the_largest_crowd_stays_a_ball():
+    rng = np.random.default_rng(10)
+    hot = near_groups(rng, 1, 3_000, 0.87)
+    x = embedding_dedup.units(np.concatenate([hot, near_groups(rng, 100, 50, 0.87)]))
+    x = x[np.random.default_rng(2).permutation(len(x))]
+    kept = embedding_dedup.afforded(x, embedding_dedup.pivots(x, 0.9), 0.9)
+    assert (kept @ embedding_dedup.units(hot).mean(0)).max() > 0.99
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (None, [1.0, 0.01]), (None, [0.0, -1.0]), (9, [0.0, 2.0]), (3, None)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<float>, node string, copies int")
