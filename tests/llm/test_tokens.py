@@ -45,6 +45,15 @@ def test_piece_lengths_equal_library():
         assert sum(map(lengths.__getitem__, token_counts.pretokens(t.encode()))) == len(sp.encode(t)), repr(t)
 
 
+def test_long_chunks_are_counted_and_not_kept():
+    """Texts without spaces would fill the cache with whole texts."""
+    sp, lengths = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.PieceLengths(PIECES)
+    for word in ("word", "x" * 64, "y" * 65, "漢字" * 5_000, "QUJD+/" * 20_000):
+        for _ in range(2):
+            assert sum(map(lengths.__getitem__, token_counts.pretokens(word.encode()))) == len(sp.encode(word))
+    assert max(map(len, lengths)) == 64 and sum(map(len, lengths)) <= 64 * len(lengths)
+
+
 def test_token_counts(odd_docs, no_docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = sorted(((r["doc_id"], len((r["text"] or "").encode()), n := len(sp.encode(r["text"] or "")), n > 100) for r in odd_docs.collect()), key=repr)
