@@ -14,9 +14,12 @@ answers: each stretch takes the last token of either side that began.
 What meets are *fragments*, not whole documents.  No token of either side crosses a
 single space or line end between two other characters (checked on loading for B; for A
 the pattern says so), so a document's alignment is that of its fragments, one after
-another, and a fragment is aligned once for each *unit*, the documents that one task
-tokenizes.  Units are bounded in size.  All tables that meet by unit are bucketed by it,
-so only counts of pairs travel.
+another.  Documents that one task reads are a *unit* of bounded size and number their
+fragments.  Fragments of all units meet by a hash (and their bytes, so collisions do no
+harm), and each different fragment of the corpus is tokenized and aligned once; it comes
+at most once from each unit, so none is a hot key.  All tables that meet by fragment are
+bucketed by that hash, so texts of fragments are shuffled once, and what was found
+returns to the units.
 
 Defined results: null and empty texts, and texts whose tokens do not give back their
 bytes (a literal space mark, text that is no UTF-8), have no tokens and count zero;
@@ -31,7 +34,6 @@ import re
 import uuid
 from array import array
 from contextlib import contextmanager
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,10 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import new_path, remove, shuffle_partitions, written
 from graphloom.llm.tokens import byte_letters, slices
 
-#: A unit ends with the batch in which its fragments reach this many tokens of A or bytes: larger units repeat less, and take more memory.
-UNIT_TOKENS, UNIT_BYTES = 1_000_000, 16_000_000
+#: A unit ends with the batch in which it has this many different fragments, or bytes of them: larger units repeat less, and take more memory.
+UNIT_FRAGMENTS, UNIT_BYTES = 400_000, 16_000_000
+#: Fragments and bytes that are tokenized at a time.
+BATCH_FRAGMENTS, BATCH_BYTES = 20_000, 4_000_000
 #: Fewer pairs than this hold more than one in so many links each; only those are broadcast.
 HOT_PAIRS = 200_000
 #: A pair of ids as one number: A's id times this, plus B's.
@@ -72,8 +76,17 @@ def fragments(text: bytes) -> list[bytes]:
     return [x[1:] if x[:1] == b" " and x[1:2] != b"\n" else x if x[:1] == b"\n" else _WHOLE + x for x in cut]
 
 
-class FragmentTokens(dict):
-    """Fragment -> its number in the unit; ids of both sides in growing arrays."""
+def cut(text: bytes) -> list[bytes]:
+    """The fragments of a text; none for an empty text or one that is no UTF-8."""
+    try:
+        text.isascii() or text.decode()
+    except UnicodeDecodeError:
+        return []
+    return fragments(text) if text else []
+
+
+class FragmentTokens:
+    """Tokens of fragments: ids of both sides in growing arrays."""
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
@@ -98,15 +111,8 @@ class FragmentTokens(dict):
         self.start()
 
     def start(self) -> None:
-        """Begins a unit."""
-        self.clear()
         self.ids, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
-        self.bad: set[int] = set()
-        self.n_bytes = 0
-
-    @property
-    def full(self) -> bool:
-        return len(self.ids[0]) >= UNIT_TOKENS or self.n_bytes >= UNIT_BYTES
+        self.bad: list[bool] = []
 
     def byte_side(self, fragment: bytes) -> list[int]:
         """A word with an optional tail of stops is one or two pre-tokens; all else goes through the library's pattern."""
@@ -128,7 +134,7 @@ class FragmentTokens(dict):
         return self.line + ids if lead else ids
 
     def add(self, new: list[bytes]) -> None:
-        """Numbers new fragments and tokenizes them."""
+        """Tokenizes fragments; those whose pieces do not give back their bytes are ``bad``."""
         # The library puts the space mark before each; before a line end it is no part of the fragment.
         (ids_a, ids_b), (ends_a, ends_b), join = self.ids, self.ends, self.piece_bytes.__getitem__
         texts = [(x[2:] if x[:1] == _WHOLE else x).decode() for x in new]
@@ -140,78 +146,101 @@ class FragmentTokens(dict):
             else:
                 # An empty fragment is the space alone.
                 b, whole = b or self.sp.encode(" ")[:1], b" " + fragment
-            if b"".join(map(join, b)) != whole:
-                self.bad.add(len(self))
+            told = b"".join(map(join, b))
+            # As no fragment grows, one that is not given back cannot be made up for by others: its texts are not given back.
+            if len(told) > len(whole):
+                raise ValueError("pieces of this vocabulary give more bytes than they read")
+            self.bad.append(told != whole)
             ids_a.extend(self.byte_side(fragment))
             ids_b.extend(b)
             ends_a.append(len(ids_a))
             ends_b.append(len(ids_b))
-            self.n_bytes += len(whole)
-            self[fragment] = len(self)
-
-    def codes(self, texts: list[bytes]) -> list[list[int]]:
-        """Each text's fragments, or none where its tokens do not give back its bytes."""
-        cut = []
-        for t in texts:
-            try:
-                t.isascii() or t.decode()
-                cut.append(fragments(t) if t else [])
-            except UnicodeDecodeError:
-                cut.append([])
-        self.add([x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in self])
-        out = [list(map(self.__getitem__, x)) for x in cut]
-        if self.bad:
-            at, ids = self.ends[1], self.ids[1]
-            for k, codes in enumerate(out):
-                if not self.bad.isdisjoint(codes) and b"".join(self.piece_bytes[i] for c in codes for i in ids[at[c] : at[c + 1]]) != b" " + texts[k]:
-                    out[k] = []
-        return out
-
-    def lists(self, first: int, last: int) -> pa.Array:
-        """The tokens of fragments first to last as lists, those of A before those of B: side, byte length and id in one number."""
-        n, at = last - first, [np.frombuffer(self.ends[k], np.int64)[first : last + 1] for k in (0, 1)]
-        values = [np.array(np.frombuffer(self.ids[k], np.int32)[at[k][0] : at[k][-1]], np.int64) if len(self.ids[k]) else np.zeros(0, np.int64) for k in (0, 1)]
+
+    def lists(self) -> pa.Array:
+        """The tokens of the fragments as lists, those of A before those of B: side, byte length and id in one number."""
+        n, at = len(self.bad), [np.frombuffer(self.ends[k], np.int64) for k in (0, 1)]
+        values = [np.array(np.frombuffer(self.ids[k], np.int32), np.int64) if len(self.ids[k]) else np.zeros(0, np.int64) for k in (0, 1)]
         coded = np.concatenate([(k << SIDE_BIT) + (self.sizes[k][values[k]].astype(np.int64) << 32) + values[k] for k in (0, 1)])
         owner = np.concatenate([np.repeat(np.arange(n), np.diff(at[k])) for k in (0, 1)])
         bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(coded[np.argsort(owner, kind="stable")]))
 
 
-_SCHEMA = "unit bigint, row bigint, doc_id bigint, codes array<int>, f int, tokens array<bigint>"
+_UNITS = "unit bigint, row bigint, doc_id bigint, codes array<int>, f int, fragment binary"
 
 
-def tokenized(df: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """Rows of two kinds by unit: documents (row, doc_id, codes) and fragments (f, tokens)."""
+def units(df: DataFrame) -> DataFrame:
+    """Rows of two kinds by unit: documents (row, doc_id, codes), whose codes are the numbers of their fragments, and fragments (f, fragment)."""
 
     def run(batches):
-        part, units, row = TaskContext.get().partitionId(), 0, 0
-        own = FragmentTokens(byte_path, piece_path)
-        types = {"unit": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "codes": pa.list_(pa.int32()), "f": pa.int32(), "tokens": pa.list_(pa.int64())}
+        part, unit, row = TaskContext.get().partitionId(), 0, 0
+        types = {"unit": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "codes": pa.list_(pa.int32()), "f": pa.int32(), "fragment": pa.binary()}
+        own: dict[bytes, int] = {}
+        size = 0
 
         def emit(n: int, **columns):
-            columns = {"unit": pa.array(np.full(n, part << 24 | units)), **columns}
+            columns = {"unit": pa.array(np.full(n, part << 24 | unit)), **columns}
             return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in types.items()], names=list(types))
 
-        def unit():
-            for k in range(0, len(own), 50_000):
-                last = min(len(own), k + 50_000)
-                yield emit(last - k, f=pa.array(np.arange(k, last, dtype=np.int32)), tokens=own.lists(k, last))
-            own.start()
+        def whole():
+            names = list(own)
+            for k in range(0, len(names), 50_000):
+                some = names[k : k + 50_000]
+                yield emit(len(some), f=pa.array(np.arange(k, k + len(some), dtype=np.int32)), fragment=pa.array(some, pa.binary()))
+            own.clear()
 
         for batch in batches:
             for p, q in slices(batch, "text"):
                 piece = batch.slice(p, q - p)
-                codes = own.codes([x or b"" for x in piece.column("text").to_pylist()])
+                codes = []
+                for x in piece.column("text").to_pylist():
+                    fragments_here = cut(x or b"")
+                    for y in set(fragments_here).difference(own):
+                        own[y] = len(own)
+                        size += len(y)
+                    codes.append(list(map(own.__getitem__, fragments_here)))
                 rows = pa.array(np.arange(row, row + q - p, dtype=np.int64) + (part << 40))
                 yield emit(q - p, row=rows, doc_id=piece.column("doc_id"), codes=pa.array(codes, pa.list_(pa.int32())))
                 row += q - p
-                if own.full:
-                    yield from unit()
-                    units += 1
-        yield from unit()
+                if len(own) >= UNIT_FRAGMENTS or size >= UNIT_BYTES:
+                    yield from whole()
+                    unit, size = unit + 1, 0
+        yield from whole()
+        pa.default_memory_pool().release_unused()
+
+    return df.selectExpr("doc_id", "cast(text as binary) as text").mapInArrow(run, _UNITS)
+
+
+def met(pieces: DataFrame, n: int) -> DataFrame:
+    """(unit, f, h, t, fragment): equal fragments of pieces(unit, f, fragment) have one (h, t), and one of them keeps its bytes."""
+    same = Window.partitionBy("h").orderBy("fragment")
+    dealt = pieces.withColumn("h", F.xxhash64("fragment")).repartition(n, "h")
+    told = dealt.withColumn("t", F.dense_rank().over(same)).withColumn("before", F.lag("fragment").over(same))
+    return told.select("unit", "f", "h", "t", F.when(~F.col("before").eqNullSafe(F.col("fragment")), F.col("fragment")).alias("fragment"))
+
+
+def tokenized(kinds: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+    """(h, t, bad, tokens) of kinds(h, t, fragment)."""
+
+    def run(batches):
+        own = FragmentTokens(byte_path, piece_path)
+
+        def emit(batch):
+            own.start()
+            own.add(batch.column("fragment").to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("t"), pa.array(own.bad, pa.bool_()), own.lists()], names=["h", "t", "bad", "tokens"])
+
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("fragment")).to_numpy(zero_copy_only=False).astype(np.int64))
+            p = 0
+            while p < len(batch):
+                before = sizes[p - 1] if p else 0
+                q = min(p + BATCH_FRAGMENTS, max(p + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right"))))
+                yield emit(batch.slice(p, q - p))
+                p = q
         pa.default_memory_pool().release_unused()
 
-    return df.selectExpr("doc_id", "cast(text as binary) as text").mapInArrow(run, _SCHEMA)
+    return kinds.select("h", "t", "fragment").mapInArrow(run, "h bigint, t int, bad boolean, tokens array<bigint>")
 
 
 def align(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -261,12 +290,12 @@ def _in_place(spark: SparkSession):
 
 
 class _Bucketed:
-    """A table in buckets by unit in the shared folder."""
+    """A table in buckets by a column in the shared folder."""
 
-    def __init__(self, df: DataFrame, n: int):
+    def __init__(self, df: DataFrame, n: int, by: str):
         self.spark, self.name = df.sparkSession, f"alignment_{uuid.uuid4().hex}"
         self.path = new_path(self.spark, "alignment")
-        df.write.bucketBy(n, "unit").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        df.write.bucketBy(n, by).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -274,13 +303,16 @@ class _Bucketed:
         remove(self.spark, self.path)
 
 
-def pair_counts(documents: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(pair, docs, best, k): documents that hold the pair linked, whether that is the most for its A id, and its rows in aligned."""
-    used = documents.select("unit", "row", F.explode(F.array_distinct("codes")).alias("f")).join(aligned.select("unit", "f", "pairs").hint("shuffle_hash"), ["unit", "f"])
+def pair_counts(documents: DataFrame, pieces: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(pair, docs, best, k): documents that hold the pair linked, whether that is the most for its A id, and its rows in kinds.
+
+    documents(unit, row, codes), pieces(unit, f, bad, pairs) and kinds(pairs).
+    """
+    used = documents.select("unit", "row", F.explode(F.array_distinct("codes")).alias("f")).join(pieces.hint("shuffle_hash"), ["unit", "f"])
     # A document's pairs are made different in an array of its own, which needs no exchange.
-    held = used.groupBy("unit", "row").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    held = used.groupBy("unit", "row").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.bool_or("bad").alias("bad")).filter("not bad")
     docs = held.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
-    times = aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("k"))
+    times = kinds.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("k"))
     both = docs.join(times, "pair")
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))  # at most as many rows as B has ids
     return both.select("pair", "docs", (F.col("docs") == most).cast("int").alias("best"), "k")
@@ -298,7 +330,13 @@ def _assembled(documents: DataFrame, each: DataFrame) -> DataFrame:
         at[frags.column("f").to_numpy()] = np.arange(size)
         lists = docs.column("codes").combine_chunks()
         codes = at[lists.flatten().to_numpy()]
-        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        bad = frags.column("bad").to_numpy()
+        if bad.any():  # a text with a fragment that is not given back has no tokens
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            keep = ~np.isin(owner, owner[bad[codes]])
+            codes, lengths = codes[keep], np.bincount(owner[keep], minlength=len(lengths))
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         out = {"doc_id": docs.column("doc_id")}
         for name in _NUMBERS:
             before = np.concatenate([[0], np.cumsum(frags.column(name).to_numpy()[codes])]) if len(codes) else np.zeros(1, np.int64)
@@ -322,22 +360,30 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
     spark = df.sparkSession
     n = 2 * shuffle_partitions(spark)
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = _Bucketed(tokenized(texts, byte_path, piece_path), n)
-    documents = tokens.rows.filter("row is not null").select("unit", "row", "doc_id", "codes")
-    pieces = tokens.rows.filter("f is not null").select("unit", "f", "tokens")
+    read = _Bucketed(units(texts), n, "unit")
+    documents = read.rows.filter("row is not null").select("unit", "row", "doc_id", "codes")
     with _in_place(spark):
-        aligned = _Bucketed(align(pieces, "unit", "f"), n)
-        counts, counts_path = written(pair_counts(documents, aligned.rows), "pair-counts")
+        pieces = _Bucketed(met(read.rows.filter("f is not null").select("unit", "f", "fragment"), n), n, "h")
+        tokens = _Bucketed(tokenized(pieces.rows.filter("fragment is not null"), byte_path, piece_path), n, "h")
+        aligned = _Bucketed(align(tokens.rows, "h", "t"), n, "h")
+        where = pieces.rows.select("unit", "f", "h", "t")
+        bad = tokens.rows.select("h", "t", "bad")
+        # A bad fragment may lack tokens on a side; it keeps its row.
+        told = bad.join(aligned.rows, ["h", "t"], "left")
+        here = where.join(told.select("h", "t", "bad", "pairs").hint("shuffle_hash"), ["h", "t"]).select("unit", "f", "bad", "pairs")
+        counts, counts_path = written(pair_counts(documents, here, aligned.rows), "pair-counts")
         total = counts.agg(F.sum("k")).first()[0] or 0
         hot = F.col("k") > total / HOT_PAIRS  # fewer than HOT_PAIRS pairs
         many = F.broadcast(counts.filter(hot).select("pair", "docs", "best"))
-        links = aligned.rows.select("unit", "f", F.explode("pairs").alias("pair"))
-        sums = lambda x: x.groupBy("unit", "f").agg(F.sum("docs").alias("docs"), F.sum("best").alias("best"))
+        links = aligned.rows.select("h", "t", F.explode("pairs").alias("pair"))
+        sums = lambda x: x.groupBy("h", "t").agg(F.sum("docs").alias("docs"), F.sum("best").alias("best"))
         rest = links.join(many.select("pair"), "pair", "left_anti").join(counts.filter(~hot).select("pair", "docs", "best"), "pair")
-        value = _Bucketed(sums(sums(links.join(many, "pair")).unionByName(rest.select("unit", "f", "docs", F.col("best").cast("bigint").alias("best"))).repartition(n, "unit")), n)
-        each = aligned.rows.drop("pairs").join(value.rows, ["unit", "f"]).select("unit", "f", "n_a", "n_b", "n_groups", "n_links", F.col("best").alias("n_best"), F.col("docs").alias("count_sum"), "groups")
+        value = _Bucketed(sums(sums(links.join(many, "pair")).unionByName(rest.select("h", "t", "docs", F.col("best").cast("bigint").alias("best"))).repartition(n, "h")), n, "h")
+        # A pair that only bad texts hold has no count, and none of its fragments is asked for.
+        whole = told.drop("pairs").join(value.rows, ["h", "t"], "left").withColumnsRenamed({"best": "n_best", "docs": "count_sum"}).fillna(0, list(_NUMBERS)).fillna("", ["groups"]).select("h", "t", "bad", *_NUMBERS, "groups")
+        each = where.join(whole.hint("shuffle_hash"), ["h", "t"]).drop("h", "t")
         result, _ = written(_assembled(documents, each), "alignment")
-    for table in (tokens, aligned, value):
+    for table in (read, pieces, tokens, aligned, value):
         table.drop()
     remove(spark, counts_path)
     return result

@@ -104,19 +104,33 @@ def odd_texts(n=600):
 def test_fragments_have_the_tokens_of_the_whole_text():
     own = alignment.FragmentTokens(BYTES, PIECES)
     for t in odd_texts():
-        (codes,) = own.codes([t.encode()])
+        own.start()
+        own.add(alignment.cut(t.encode()))
         want = both(t)
-        if want is None:
-            assert codes == [], repr(t)
-            continue
-        for side in (0, 1):
-            ids = [i for c in codes for i in own.ids[side][own.ends[side][c] : own.ends[side][c + 1]]]
-            assert ids == want[side][0], repr(t)
+        assert (want is None) == any(own.bad), repr(t)
+        if want is not None:
+            assert [list(x) for x in own.ids] == [want[0][0], want[1][0]], repr(t)
+
+
+def test_equal_fragments_meet_once(spark, monkeypatch):
+    """However many units hold a fragment, one row keeps its bytes; fragments of one hash stay apart."""
+    rows = [(u, f, w) for u in range(40) for f, w in enumerate([b"the", b"of", b"", b"x%d" % (u % 3)])]
+    df = spark.createDataFrame(rows, "unit bigint, f int, fragment binary")
+    for same_hash in (False, True):
+        if same_hash:
+            monkeypatch.setattr(alignment.F, "xxhash64", lambda c: alignment.F.lit(7).cast("bigint"))
+        got = alignment.met(df, 4).collect()
+        assert len(got) == len(rows)
+        kept = {(r["h"], r["t"]): bytes(r["fragment"]) for r in got if r["fragment"] is not None}
+        assert sorted(kept.values()) == [b"", b"of", b"the", b"x0", b"x1", b"x2"]
+        assert sum(r["fragment"] is not None for r in got) == len(kept)
+        assert sorted((r["unit"], r["f"], kept[r["h"], r["t"]]) for r in got) == sorted(rows)
 
 
 @pytest.mark.parametrize("hot", [1, 50])
 def test_small_units_and_few_hot_pairs(spark, monkeypatch, hot):
     """Units of a batch each and any share of broadcast pairs give the same rows."""
     monkeypatch.setattr(alignment, "HOT_PAIRS", hot)
+    monkeypatch.setattr(alignment, "BATCH_FRAGMENTS", 3 * hot)
     docs = [(i, t) for i, t in enumerate(odd_texts(80))] + [(i, "the same words, again and again") for i in range(30)]
     assert query(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)) == plain(docs)
