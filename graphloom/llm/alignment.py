@@ -50,6 +50,8 @@ from graphloom.llm.tokens import byte_letters, slices
 UNIT_FRAGMENTS, UNIT_BYTES = 400_000, 16_000_000
 #: Fragments and bytes that are tokenized at a time.
 BATCH_FRAGMENTS, BATCH_BYTES = 20_000, 4_000_000
+#: Fragments whose groups are put together at a time.
+JOINED = 200_000
 #: Fewer pairs than this hold more than one in so many links each; only those are broadcast.
 HOT_PAIRS = 200_000
 #: A pair of ids as one number: A's id times this, plus B's.
@@ -341,8 +343,13 @@ def _assembled(documents: DataFrame, each: DataFrame) -> DataFrame:
         for name in _NUMBERS:
             before = np.concatenate([[0], np.cumsum(frags.column(name).to_numpy()[codes])]) if len(codes) else np.zeros(1, np.int64)
             out[name] = pa.array(np.diff(before[bounds]), pa.int64())
-        texts = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), frags.column("groups").combine_chunks().take(pa.array(codes)))
-        out["groups"] = pc.binary_join(texts, ";")
+        groups, texts, p = frags.column("groups").combine_chunks(), [], 0
+        while p < len(lengths):  # few documents at a time: their texts are many times as long as the codes
+            q = max(p + 1, int(np.searchsorted(bounds, bounds[p] + JOINED, "right")) - 1)
+            some = groups.take(pa.array(codes[bounds[p] : bounds[q]]))
+            texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array((bounds[p : q + 1] - bounds[p]).astype(np.int32)), some), ";"))
+            p = q
+        out["groups"] = pa.chunked_array(texts, pa.string())
         pa.default_memory_pool().release_unused()
         return pa.table(out)
 
@@ -365,12 +372,11 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
     with _in_place(spark):
         pieces = _Bucketed(met(read.rows.filter("f is not null").select("unit", "f", "fragment"), n), n, "h")
         tokens = _Bucketed(tokenized(pieces.rows.filter("fragment is not null"), byte_path, piece_path), n, "h")
-        aligned = _Bucketed(align(tokens.rows, "h", "t"), n, "h")
+        # Every fragment has a token of A, so it has its row.
+        aligned = _Bucketed(align(tokens.rows, "h", "t", "bad"), n, "h")
+        tokens.drop()
         where = pieces.rows.select("unit", "f", "h", "t")
-        bad = tokens.rows.select("h", "t", "bad")
-        # A bad fragment may lack tokens on a side; it keeps its row.
-        told = bad.join(aligned.rows, ["h", "t"], "left")
-        here = where.join(told.select("h", "t", "bad", "pairs").hint("shuffle_hash"), ["h", "t"]).select("unit", "f", "bad", "pairs")
+        here = where.join(aligned.rows.select("h", "t", "bad", "pairs").hint("shuffle_hash"), ["h", "t"]).select("unit", "f", "bad", "pairs")
         counts, counts_path = written(pair_counts(documents, here, aligned.rows), "pair-counts")
         total = counts.agg(F.sum("k")).first()[0] or 0
         hot = F.col("k") > total / HOT_PAIRS  # fewer than HOT_PAIRS pairs
@@ -380,10 +386,10 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
         rest = links.join(many.select("pair"), "pair", "left_anti").join(counts.filter(~hot).select("pair", "docs", "best"), "pair")
         value = _Bucketed(sums(sums(links.join(many, "pair")).unionByName(rest.select("h", "t", "docs", F.col("best").cast("bigint").alias("best"))).repartition(n, "h")), n, "h")
         # A pair that only bad texts hold has no count, and none of its fragments is asked for.
-        whole = told.drop("pairs").join(value.rows, ["h", "t"], "left").withColumnsRenamed({"best": "n_best", "docs": "count_sum"}).fillna(0, list(_NUMBERS)).fillna("", ["groups"]).select("h", "t", "bad", *_NUMBERS, "groups")
+        whole = aligned.rows.drop("pairs").join(value.rows, ["h", "t"], "left").withColumnsRenamed({"best": "n_best", "docs": "count_sum"}).fillna(0, list(_NUMBERS)).select("h", "t", "bad", *_NUMBERS, "groups")
         each = where.join(whole.hint("shuffle_hash"), ["h", "t"]).drop("h", "t")
         result, _ = written(_assembled(documents, each), "alignment")
-    for table in (read, pieces, tokens, aligned, value):
+    for table in (read, pieces, aligned, value):
         table.drop()
     remove(spark, counts_path)
     return result

@@ -132,5 +132,6 @@ def test_small_units_and_few_hot_pairs(spark, monkeypatch, hot):
     """Units of a batch each and any share of broadcast pairs give the same rows."""
     monkeypatch.setattr(alignment, "HOT_PAIRS", hot)
     monkeypatch.setattr(alignment, "BATCH_FRAGMENTS", 3 * hot)
+    monkeypatch.setattr(alignment, "JOINED", hot)
     docs = [(i, t) for i, t in enumerate(odd_texts(80))] + [(i, "the same words, again and again") for i in range(30)]
     assert query(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)) == plain(docs)
