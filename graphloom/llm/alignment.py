@@ -327,32 +327,29 @@ def _assembled(documents: DataFrame, each: DataFrame) -> DataFrame:
     """doc_id, the sums over each document's fragments, and their groups one after another; a task holds the fragments of one unit."""
 
     def run(docs: pa.Table, frags: pa.Table) -> pa.Table:
-        size = len(frags)
-        at = np.zeros(size + 1, np.int64)
-        at[frags.column("f").to_numpy()] = np.arange(size)
+        at = np.zeros(len(frags) + 1, np.int32)
+        at[frags.column("f").to_numpy()] = np.arange(len(frags), dtype=np.int32)
+        numbers = {name: frags.column(name).to_numpy() for name in _NUMBERS}
+        bad, groups = frags.column("bad").to_numpy(), frags.column("groups").combine_chunks()
         lists = docs.column("codes").combine_chunks()
-        codes = at[lists.flatten().to_numpy()]
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        bad = frags.column("bad").to_numpy()
-        if bad.any():  # a text with a fragment that is not given back has no tokens
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            keep = ~np.isin(owner, owner[bad[codes]])
-            codes, lengths = codes[keep], np.bincount(owner[keep], minlength=len(lengths))
-        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        out = {"doc_id": docs.column("doc_id")}
-        for name in _NUMBERS:
-            before = np.concatenate([[0], np.cumsum(frags.column(name).to_numpy()[codes])]) if len(codes) else np.zeros(1, np.int64)
-            out[name] = pa.array(np.diff(before[bounds]), pa.int64())
-        groups, texts, p = frags.column("groups").combine_chunks(), [], 0
-        while p < len(lengths):  # few documents at a time: their texts are many times as long as the codes
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        done, p = [], 0
+        while p < len(docs):  # few documents at a time: what is made of them is many times as long as their codes
             q = max(p + 1, int(np.searchsorted(bounds, bounds[p] + JOINED, "right")) - 1)
-            some = groups.take(pa.array(codes[bounds[p] : bounds[q]]))
-            texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array((bounds[p : q + 1] - bounds[p]).astype(np.int32)), some), ";"))
+            codes, lengths = at[lists.slice(p, q - p).flatten().to_numpy()], np.diff(bounds[p : q + 1])
+            if bad[codes].any():  # a text with a fragment that is not given back has no tokens
+                owner = np.repeat(np.arange(q - p), lengths)
+                keep = ~np.isin(owner, owner[bad[codes]])
+                codes, lengths = codes[keep], np.bincount(owner[keep], minlength=q - p)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(x[codes])])[ends]), pa.int64()) for x in numbers.values()]
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), groups.take(pa.array(codes))), ";")
+            done.append(pa.table([docs.column("doc_id").slice(p, q - p), *sums, texts], names=["doc_id", *_NUMBERS, "groups"]))
             p = q
-        out["groups"] = pa.chunked_array(texts, pa.string())
         pa.default_memory_pool().release_unused()
-        return pa.table(out)
+        return pa.concat_tables(done) if done else out_schema.empty_table()
 
+    out_schema = pa.schema([("doc_id", pa.int64()), *[(name, pa.int64()) for name in _NUMBERS], ("groups", pa.string())])
     schema = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS) + ", groups string"
     return documents.groupBy("unit").cogroup(each.groupBy("unit")).applyInArrow(run, schema)
 
