@@ -47,7 +47,7 @@ from graphloom.llm.common import new_path, remove, shuffle_partitions, written
 from graphloom.llm.tokens import byte_letters, slices
 
 #: A unit ends with the batch in which it has this many different fragments, or bytes of them: larger units repeat less, and take more memory.
-UNIT_FRAGMENTS, UNIT_BYTES = 400_000, 16_000_000
+UNIT_FRAGMENTS, UNIT_BYTES = 300_000, 12_000_000
 #: Fragments and bytes that are tokenized at a time.
 BATCH_FRAGMENTS, BATCH_BYTES = 20_000, 4_000_000
 #: Fragments whose groups are put together at a time.
