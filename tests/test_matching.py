@@ -136,3 +136,14 @@ def test_partial_counts(spark):
     pattern = Pattern([0, 1, 0], [(0, 1), (1, 2), (0, 2)])
     got = [tuple(r) for r in match(frames(spark, graph), pattern, method="BFS").partial_counts().orderBy("group").collect()]
     assert [g[:2] for g in got] == [(0, 1), (1, 2), (2, 3)] and got[-1][2] == len(embeddings(graph, pattern))
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+@pytest.mark.parametrize("seed", range(2))
+def test_leaves_of_one_label_are_folded_together(spark, seed, filtered):
+    graph = random_graph(seed, n=11, p=0.5, labels=4)
+    for pattern in (Pattern([0, 1, 1, 1], [(0, 1), (0, 2), (0, 3)]), Pattern([0, 1, 2, 1, 3], [(0, 1), (0, 2), (0, 3), (1, 4)])):
+        m = match(frames(spark, graph), pattern, filter=filtered)
+        assert m.count().first()["matches"] == len(embeddings(graph, pattern))
+        order, weights = m._folded(m.plan.backward())
+        assert [u for u, _ in order] == [0] and set(weights) == {0}
