@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from graphloom.operators import matching
 from graphloom.operators.matching import Match, match
 from graphloom.plans.pattern import Pattern
 from tests.graphs import embeddings, frames, random_graph, random_pattern
@@ -89,3 +90,13 @@ def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch):
     assert found(match(g, pattern).rows_in_batches(path, 60), 3) == embeddings(graph, pattern)
     assert len(os.listdir(f"{tmp_path}/out/rows")) > 2
     assert all(os.stat(f"{tmp_path}/out/rows/{d}/_SUCCESS").st_mtime_ns == t for d, t in done.items())
+
+
+def test_jobs_do_not_grow_with_the_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matching, "BATCH_JOBS", 2)
+    graph, pattern = random_graph(5, n=9, p=0.6, labels=1), Pattern([0, 0, 0], [(0, 1), (1, 2), (0, 2)])
+    path = f"file://{tmp_path}/out"
+    assert found(match(frames(spark, graph), pattern).rows_in_batches(path, 20), 3) == embeddings(graph, pattern)
+    assert len(os.listdir(f"{tmp_path}/out/rows")) <= 2 < spark.read.parquet(f"{path}/batches").select("batch").distinct().count()
+    # A later run with another budget goes by the same cut.
+    assert found(match(frames(spark, graph), pattern).rows_in_batches(path, 1000), 3) == embeddings(graph, pattern)
