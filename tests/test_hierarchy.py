@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from graphloom.operators import components as linked
 from graphloom.operators import hierarchy
 from graphloom.operators.components import components
 from graphloom.plans import structure
@@ -110,3 +112,40 @@ def test_components_of_many_graphs(spark):
         for part in structure.components(adj, set(adj)):
             want |= {(p, v): min(part) for v in part}
     assert got == want
+
+
+def levels_of(joins):
+    """The components, as sets, at every level."""
+    out = {}
+    for k in range(1, 6):
+        adj = {}
+        for a, b, w in joins:
+            if w >= k:
+                adj.setdefault(a, set()).add(b)
+                adj.setdefault(b, set()).add(a)
+        out[k] = sorted(map(sorted, structure.components(adj, set(adj))))
+    return out
+
+
+def test_thinned_joins_have_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "PART_JOINS", 300)
+    monkeypatch.setattr(hierarchy, "CHUNK_JOINS", 100)
+    rng = random.Random(3)
+    joins = sorted({(*sorted(rng.sample(range(70), 2)), rng.randrange(1, 6)) for _ in range(1500)})
+    got = [tuple(r) for r in hierarchy.thinned(spark.createDataFrame(joins, "a bigint, b bigint, w bigint")).select("a", "b", "w").collect()]
+    assert set(got) <= set(joins) and len(got) < len(joins) / 3
+    assert levels_of(got) == levels_of(joins)
+    x, y, w = (np.array(c) for c in zip(*joins, strict=True))
+    assert len(hierarchy._forest(x, y, w)) == 70 - len(levels_of(joins)[1])
+    empty = spark.createDataFrame([], "a bigint, b bigint, w bigint")
+    assert hierarchy.thinned(empty).count() == 0
+
+
+def test_chains_within_a_range_cost_no_rounds(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(linked, "written", lambda df, name, *by, f=linked.written: (jobs.append(name), f(df, name, *by))[1])
+    chain = spark.createDataFrame([(7, k, k + 1) for k in range(400)], "p bigint, a bigint, b bigint")
+    assert {r["root"] for r in components(chain).collect()} == {0} and len(jobs) == 3
+    jobs.clear()
+    monkeypatch.setattr(linked, "PART_LINKS", 50)
+    assert {(r["node"], r["root"]) for r in components(chain).collect()} == {(k, 0) for k in range(401)}
