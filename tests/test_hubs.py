@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import hubs, peeling
+from graphloom.operators import hubs, matching, peeling
 from graphloom.operators.matching import match
 from graphloom.plans.pattern import Pattern
 from graphloom.plans.structure import cliques
@@ -57,6 +57,18 @@ def test_no_task_takes_a_hub_alone(spark, shuffled):
     assert len(got) == 8 and got[-1] < 2 * got[4]
 
 
+def test_few_keys_of_many_pairs_go_to_all_tasks(spark, monkeypatch):
+    """Lists far shorter than a hub's, but only two keys; Spark may broadcast and put partitions together here."""
+    monkeypatch.setattr(matching, "MOST_PAIRS", 500)
+    labels = {0: 1, 1: 1} | {v: 3 if v % 3 else 2 for v in range(2, 152)}
+    g = frames(spark, (labels, {(v % 2, v) for v in range(2, 152)}))
+    pattern = Pattern([3, 1, 2], [(0, 1), (1, 2)])
+    plain, cut = match(g, pattern, hubs=None).rows(), match(g, pattern).rows()
+    assert plain.count() == cut.count() == 2 * 50 * 25 and not plain.exceptAll(cut).head(1)
+    got = sizes(cut)
+    assert len(sizes(plain)) < 3 and len(got) == 4 and got[-1] < 0.5 * sum(got)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_hubs_change_no_result(spark, shuffled, seed):
     graph, pattern = random_graph(seed, n=8, p=0.6, labels=2), random_pattern(seed, n=4, labels=2)
