@@ -147,3 +147,23 @@ def test_leaves_of_one_label_are_folded_together(spark, seed, filtered):
         assert m.count().first()["matches"] == len(embeddings(graph, pattern))
         order, weights = m._folded(m.plan.backward())
         assert [u for u, _ in order] == [0] and set(weights) == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matching_edges_are_the_candidate_edges(spark, seed):
+    g, p = frames(spark, random_graph(seed, n=14, p=0.3, labels=2)), random_pattern(seed, n=4, labels=2)
+    want = filtering.candidate_edges(g, p)
+    for rounds in (0, 1, 2):
+        got = {(r["u"], r["w"], r["src"], r["dst"]) for r in filtering.matching_edges(g, p, rounds).collect()}
+        assert all(u < w for u, w, *_ in got)
+        both = got | {(w, u, b, a) for u, w, a, b in got}
+        rows = (want if not rounds else filtering.refined(want, p, rounds)).collect()
+        assert both == {(r["u"], r["w"], r["src"], r["dst"]) for r in rows}
+
+
+def test_no_edge_is_shuffled_where_all_vertices_stay(spark):
+    out = spark.createDataFrame([], "u int, v bigint").coalesce(1)
+    e = spark.range(100).selectExpr("0 AS qe", "0 AS u", "1 AS w", "id AS src", "id + 1 AS dst")
+    out, _ = filtering.written(out, "out")
+    plan = filtering._without(e, out)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
