@@ -32,3 +32,14 @@ def test_partitions_grow_with_the_rows(spark, orders, monkeypatch):
     # 13 items: as many partitions of items, and PAIRS times as many of pairs, in both directions.
     assert graphs.coorder_graph(spark, orders).edges.rdd.getNumPartitions() == 2 * 13 * graphs.PAIRS
     assert graphs.symmetric(spark.range(9).selectExpr("id src", "id + 1 dst"), 9).rdd.getNumPartitions() == 18
+
+
+def test_partitions_are_not_put_together(spark, monkeypatch):
+    """Where the setting has enough partitions, Spark puts them together for the cores; a task's rows would grow with the input."""
+    monkeypatch.setattr(graphs, "PARTITION_ROWS", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert graphs.symmetric(spark.range(9).selectExpr("id src", "id + 1 dst"), 9).rdd.getNumPartitions() == 18
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
