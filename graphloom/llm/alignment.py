@@ -30,6 +30,7 @@ and the text column are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 from array import array
@@ -45,6 +46,7 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.common import new_path, remove, shuffle_partitions, written
 from graphloom.llm.tokens import byte_letters, slices
+from graphloom.sources.shared import swept
 
 #: A unit ends with the batch in which it has this many different fragments, or bytes of them: larger units repeat less, and take more memory.
 UNIT_FRAGMENTS, UNIT_BYTES = 300_000, 12_000_000
@@ -297,13 +299,23 @@ class _Bucketed:
     def __init__(self, df: DataFrame, n: int, by: str):
         self.spark, self.name = df.sparkSession, f"alignment_{uuid.uuid4().hex}"
         self.path = new_path(self.spark, "alignment")
-        df.write.bucketBy(n, by).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        with swept(self.spark):
+            df.write.bucketBy(n, by).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         remove(self.spark, self.path)
 
+    def drop_at_end(self) -> None:
+        atexit.register(self._drop_quietly)
+
+    def _drop_quietly(self) -> None:
+        try:
+            self.drop()
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
 
 def pair_counts(documents: DataFrame, pieces: DataFrame, kinds: DataFrame) -> DataFrame:
     """(pair, docs, best, k): documents that hold the pair linked, whether that is the most for its A id, and its rows in kinds.
@@ -360,6 +372,9 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
     A pair of ids counts by the documents of the whole table that hold it linked; n_best
     is the number of a document's links whose count is the highest of their A id, ties
     included, and count_sum the sum of the counts over its links.
+
+    Documents are put together when the result is read; written groups would take more
+    disk than all else.  The tables that are read then stay until the driver ends.
     """
     spark = df.sparkSession
     n = 2 * shuffle_partitions(spark)
@@ -384,9 +399,10 @@ def cross_alignment(df: DataFrame, byte_path: str, piece_path: str, id_col: str
         value = _Bucketed(sums(sums(links.join(many, "pair")).unionByName(rest.select("h", "t", "docs", F.col("best").cast("bigint").alias("best"))).repartition(n, "h")), n, "h")
         # A pair that only bad texts hold has no count, and none of its fragments is asked for.
         whole = aligned.rows.drop("pairs").join(value.rows, ["h", "t"], "left").withColumnsRenamed({"best": "n_best", "docs": "count_sum"}).fillna(0, list(_NUMBERS)).select("h", "t", "bad", *_NUMBERS, "groups")
-        each = where.join(whole.hint("shuffle_hash"), ["h", "t"]).drop("h", "t")
-        result, _ = written(_assembled(documents, each), "alignment")
-    for table in (read, pieces, aligned, value):
+        # Written where the rows are, in the order of h, so what equal fragments repeat takes little; then all but this and the documents can go.
+        each, _ = written(where.join(whole.hint("shuffle_hash"), ["h", "t"]).drop("h", "t"), "alignment")
+    for table in (pieces, aligned, value):
         table.drop()
     remove(spark, counts_path)
-    return result
+    read.drop_at_end()
+    return _assembled(documents, each)

@@ -4,10 +4,12 @@ from collections import Counter
 
 import pytest
 import sentencepiece
+from pyspark.sql import DataFrameWriter
 from tokenizers import Tokenizer
 
 from graphloom.llm import alignment
 from graphloom.llm.common import tokenizer_path
+from graphloom.sources.shared import SWEEP, exists
 
 BYTES, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 TOK = Tokenizer.from_file(BYTES)
@@ -135,3 +137,26 @@ def test_small_units_and_few_hot_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(alignment, "JOINED", hot)
     docs = [(i, t) for i, t in enumerate(odd_texts(80))] + [(i, "the same words, again and again") for i in range(30)]
     assert query(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)) == plain(docs)
+
+
+def test_disk_is_given_back(spark, small, monkeypatch):
+    """Shuffle files go with each step, and no table holds whole documents' groups; the result can be read twice."""
+    swept, kept = [], []
+    save, write = alignment._Bucketed.__init__, alignment.written
+
+    def seen(self, df, n, by):
+        save(self, df, n, by)
+        kept.append(self)
+
+    def writes(df, name, *by):
+        assert not {"doc_id", "groups"} <= set(df.columns)
+        return write(df, name, *by)
+
+    monkeypatch.setattr(alignment._Bucketed, "__init__", seen)
+    monkeypatch.setattr(alignment, "written", writes)
+    own = DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, *a, **b: (swept.append(spark.conf.get(SWEEP, "false")), own(self, *a, **b))[1])
+    out = alignment.cross_alignment(small, BYTES, PIECES)
+    assert len(swept) == len(kept) == 5 and set(swept) == {"true"}
+    assert [exists(spark, t.path) for t in kept] == [True, False, False, False, False]
+    assert sorted(out.collect()) == sorted(out.collect())
