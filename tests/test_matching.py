@@ -167,3 +167,23 @@ def test_no_edge_is_shuffled_where_all_vertices_stay(spark):
     out, _ = filtering.written(out, "out")
     plan = filtering._without(e, out)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+@pytest.mark.parametrize(
+    "labels, edges, left",
+    [
+        ([0, 1, 2, 3, 4], [(0, 1), (0, 2), (1, 2), (0, 3), (0, 4), (3, 4)], 3),  # two triangles at a vertex
+        ([0, 1, 1, 2, 3], [(0, 1), (0, 2), (1, 2), (0, 3), (0, 4), (3, 4)], 3),  # one label twice inside a part
+        ([0, 1, 2, 1, 2], [(0, 1), (0, 2), (1, 2), (0, 3), (0, 4), (3, 4)], 5),  # parts that may collide
+        ([0, 1, 2, 3, 0, 4], [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (2, 4), (3, 5)], 5),  # part and vertex share a label
+        ([0, 1, 2, 3, 3, 4], [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (2, 4), (3, 5)], 3),  # a part with a leaf
+    ],
+)
+def test_parts_that_hang_on_a_vertex_are_folded(spark, labels, edges, left):
+    """Rows of parts that cannot collide never multiply."""
+    graph = random_graph(3, n=9, p=0.8, labels=5)
+    pattern, g = Pattern(labels, edges), frames(spark, graph)
+    want = len(embeddings(graph, pattern))
+    m = match(g, pattern)
+    assert len(m._folded(m.plan.backward())[0]) == left
+    assert n(m) == want == n(match(g, pattern, fold=False))
