@@ -43,3 +43,8 @@ def test_partitions_are_not_put_together(spark, monkeypatch):
         assert graphs.symmetric(spark.range(9).selectExpr("id src", "id + 1 dst"), 9).rdd.getNumPartitions() == 18
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_task_holds_few_rows(spark):
+    """Joins of distinct rows keep four copies of a task's rows in memory."""
+    assert graphs.spread(spark.range(10), 3_000_000, "id").rdd.getNumPartitions() >= 12
