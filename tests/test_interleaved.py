@@ -51,3 +51,14 @@ def test_members_are_numbered_where_they_are_found(interleaved):
         cliques = [set().union(*(node[x] for x in row)) for row in i.whole.collect()]
         want = [set(c) for c in itertools.combinations(range(144), r + 1) if all(p in edges for p in itertools.combinations(c, 2))]
         assert sorted(map(sorted, cliques)) == sorted(map(sorted, want)) and all(len(set(row)) == r + 1 for row in i.whole.collect())
+
+
+def test_an_order_joins_each_edge_once(interleaved, monkeypatch):
+    g, edges = interleaved
+    tables = seen(monkeypatch)
+    rows = {r["id"]: r for r in peeling.degeneracy_order(g).collect()}
+    at = {v: r["position"] for v, r in rows.items()}
+    assert sorted(at.values()) == list(range(1, 145))
+    assert {v: r["later"] for v, r in rows.items()} == {v: sum(at[a if b == v else b] > at[v] for a, b in edges if v in (a, b)) for v in rows}
+    assert all(r["later"] <= r["core"] for r in rows.values())
+    assert dict(tables)["shell-edges"] == len(edges)
